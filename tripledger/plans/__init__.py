@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_statements",)
+MODULES = ("q_statements", "q_matching", "q_decisions")
 
 
 def load_all() -> None:

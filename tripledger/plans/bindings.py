@@ -77,7 +77,8 @@ SELECT {TRIP.format("o_custkey")} AS trip_id, {GROUP.format("o_orderkey")} AS gr
 FROM (SELECT *, 1 AS leg FROM {{orders}}
       UNION ALL SELECT *, 2 AS leg FROM {{orders}} WHERE o_orderkey % 3 = 2) o""",
     "receipt_lines": f"""
-SELECT {TRIP.format("o_custkey")} AS trip_id, {FILE.format("l_orderkey")} AS source_file, l_linenumber AS pos,
+SELECT {TRIP.format("o_custkey")} AS trip_id, {FILE.format("l_orderkey")} AS source_file,
+       CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos,
        CASE l_partkey % 7 WHEN 0 THEN 'Shiraz' WHEN 1 THEN 'Ginger beer' WHEN 2 THEN 'GST' WHEN 3 THEN 'Espresso martini'
             WHEN 4 THEN 'Mocktail' ELSE p_name END AS description,
        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(0.001 AS DECIMAL(4,3)) AS DECIMAL(18,2)) AS amount,
@@ -141,3 +142,65 @@ VIEWS["statement_exports"] = (
     + ", ".join("'s9.csv' AS source_file" if c == "source_file" else c for c in LEG_COLUMNS)
     + " FROM {statement_legs} WHERE source_row % 7 = 0"
 )
+
+# Groups with an automatic match already chosen by key, for the operators after matching.
+_CAD = (
+    "CAST(CASE WHEN o_orderkey % 17 = 0 THEN -1 ELSE 1 END * CAST(o_totalprice AS DECIMAL(18,2)) "
+    "* CAST(0.0014 AS DECIMAL(8,7)) AS DECIMAL(18,2))"
+)
+VIEWS["matched_groups"] = f"""
+SELECT {TRIP.format("o_custkey")} AS trip_id,
+       concat(CASE WHEN part = 1 THEN 'g' ELSE 'h' END, lpad(CAST(o_orderkey AS VARCHAR(10)), 8, '0')) AS group_id,
+       CASE WHEN o_orderkey % 89 = 0 THEN NULL ELSE CAST(o_orderdate + INTERVAL 1 DAY * (o_orderkey % 5) AS DATE) END AS transaction_date,
+       CASE o_orderkey % 3 WHEN 0 THEN 'amex' WHEN 1 THEN 'bmo' ELSE 'wise' END AS provider,
+       concat('card-', CAST(o_orderkey % 4 AS VARCHAR(10))) AS account_label, {WORD} AS description,
+       CAST(CASE WHEN o_orderkey % 17 = 0 THEN -1 ELSE 1 END * CAST(o_totalprice AS DECIMAL(18,2)) *
+            CASE o_orderkey % 12 WHEN 3 THEN CAST(0.0012 AS DECIMAL(8,7)) WHEN 9 THEN CAST(0.002 AS DECIMAL(8,7))
+                 WHEN 1 THEN CAST(0.0005 AS DECIMAL(8,7)) WHEN 5 THEN CAST(0.0003333 AS DECIMAL(8,7))
+                 ELSE CAST(0.001 AS DECIMAL(8,7)) END AS DECIMAL(18,2)) AS purchase_amount,
+       CASE WHEN o_orderkey % 53 = 0 THEN 'GBP' ELSE {CURRENCY} END AS purchase_currency,
+       CASE WHEN o_orderkey % 6 <> 4 THEN {_CAD} END AS cad_amount,
+       CASE WHEN o_orderstatus = 'P' THEN 'not_applicable' WHEN o_orderkey % 6 <> 4 THEN 'complete' ELSE 'incomplete' END AS cad_completeness,
+       o_orderstatus <> 'P' AS match_eligible,
+       CASE WHEN o_orderkey % 31 = 0 THEN 'review' WHEN o_orderkey % 41 = 0 THEN 'possible_duplicate' ELSE 'ok' END AS normalization_status,
+       CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 5 < 3 THEN {FILE.format("o_orderkey")} END AS matched_file,
+       CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 5 < 4 THEN {FILE.format("o_orderkey")} END AS suggested_file,
+       CASE WHEN o_orderstatus = 'P' THEN 'audit' WHEN o_orderkey % 5 < 3 THEN 'auto' WHEN o_orderkey % 5 = 3 THEN 'suggested' ELSE 'unmatched' END AS match_status,
+       CAST(CASE WHEN o_orderstatus = 'P' THEN 0.000 WHEN o_orderkey % 5 < 3 THEN 0.900 WHEN o_orderkey % 5 = 3 THEN 0.750 ELSE 0.000 END AS DECIMAL(6,3)) AS match_confidence,
+       CASE WHEN o_orderkey % 10 = 3 THEN 'Receipt is 20% below the card total; review tax or tip.' ELSE '' END AS review_reason
+FROM (SELECT *, 1 AS part FROM {{orders}} UNION ALL SELECT *, 2 AS part FROM {{orders}} WHERE o_orderkey % 10 = 1) o"""
+VIEWS["group_files"] = f"""
+SELECT {TRIP.format("o_custkey")} AS trip_id, {GROUP.format("o_orderkey")} AS group_id,
+       concat('s', CAST(o_orderkey % 5 AS VARCHAR(10)), '.csv') AS source_file, CAST(o_orderkey AS BIGINT) AS source_row
+FROM {{orders}}"""
+VIEWS["manual_matches"] = f"""
+SELECT {TRIP.format("o_custkey")} AS trip_id, {GROUP.format("o_orderkey")} AS group_id,
+       CASE WHEN o_orderkey % 58 = 0 THEN NULL WHEN o_orderkey % 87 = 0 THEN 'gone.pdf' ELSE {FILE.format("o_orderkey")} END AS source_file
+FROM {{orders}} WHERE o_orderkey % 29 = 0"""
+VIEWS["dispositions"] = f"""
+SELECT {TRIP.format("o_custkey")} AS trip_id, {GROUP.format("o_orderkey")} AS group_id,
+       CASE o_orderkey % 3 WHEN 0 THEN 'ignore' WHEN 1 THEN 'keep' ELSE 'unresolved' END AS action, 'seen' AS note,
+       o_orderdate AS updated_at
+FROM {{orders}} WHERE o_orderkey % 37 = 0 OR o_orderkey % 41 = 0"""
+VIEWS["allocations"] = f"""
+SELECT {TRIP.format("o_custkey")} AS trip_id, {GROUP.format("o_orderkey")} AS group_id,
+       concat('A00', CAST(n AS VARCHAR(3))) AS allocation_id,
+       CASE WHEN n = 1 AND o_orderkey % 17 = 0 THEN 'refund' WHEN n = 1 THEN 'purchase' WHEN o_orderkey % 430 = 0 THEN 'gift' ELSE 'personal' END AS type,
+       CASE WHEN n = 1 AND o_orderkey % 129 = 0 THEN 'gone.pdf' WHEN n = 1 THEN {FILE.format("o_orderkey")} END AS source_file,
+       '' AS category,
+       CASE WHEN n = 1 AND o_orderkey % 86 = 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0007 AS DECIMAL(8,7)) AS DECIMAL(18,2)) END AS original_amount,
+       CASE WHEN n = 1 THEN CAST(CASE WHEN o_orderkey % 17 = 0 THEN -1 ELSE 1 END * CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0010 AS DECIMAL(8,7)) AS DECIMAL(18,2))
+            WHEN o_orderkey % 172 = 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0009 AS DECIMAL(8,7)) AS DECIMAL(18,2))
+            ELSE {_CAD} - CAST(CASE WHEN o_orderkey % 17 = 0 THEN -1 ELSE 1 END * CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0010 AS DECIMAL(8,7)) AS DECIMAL(18,2)) END AS cad_amount,
+       CASE WHEN o_orderkey % 5 = 0 AND n = 2 THEN '' ELSE 'why' END AS note
+FROM (SELECT *, 1 AS n FROM {{orders}} UNION ALL SELECT *, 2 AS n FROM {{orders}}) o WHERE o_orderkey % 43 = 0"""
+VIEWS["basis"] = f"""
+SELECT {TRIP.format("o_custkey")} AS trip_id, {FILE.format("o_orderkey")} AS source_file,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'full_receipt' ELSE 'personal_share' END AS basis, o_orderdate AS updated_at
+FROM {{orders}} WHERE o_orderkey % 47 = 0"""
+VIEWS["field_edits"] = f"""
+SELECT {TRIP.format("o_custkey")} AS trip_id, {FILE.format("o_orderkey")} AS source_file, 'vendor' AS field, 'Edited' AS value, o_orderdate AS updated_at
+FROM {{orders}} WHERE o_orderkey % 9 = 0
+UNION ALL
+SELECT {TRIP.format("o_custkey")}, {FILE.format("o_orderkey")}, 'amount', CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE '12.50' END, o_orderdate
+FROM {{orders}} WHERE o_orderkey % 16 < 2"""

@@ -69,3 +69,69 @@ txn_groups AS (
          purchase_currency, CAST(CASE WHEN cad_completeness = 'complete' THEN cad_sum END AS DECIMAL(18,2)) AS cad_amount,
          cad_completeness, rate_low, rate_high, cad_method, match_eligible, normalization_status, clean_legs, leg_count
   FROM groups_raw)"""
+
+
+MATCH = """
+receipts_s AS (
+  SELECT *, CAST(round(CAST(abs(amount) AS DOUBLE) / greatest(1, coalesce(number_of_people, 1)), 6) AS DECIMAL(18,6)) AS share
+  FROM receipts),
+cards AS (
+  SELECT *, abs(purchase_amount) AS p_abs, abs(cad_amount) AS c_abs FROM txn_groups WHERE match_eligible),
+estimates AS (
+  SELECT r.trip_id, r.source_file, r.currency, r.share, x.rate AS fx_rate, CAST(CAST(r.share * x.rate AS DECIMAL(30,16)) AS DECIMAL(18,2)) AS estimated_cad
+  FROM receipts_s r
+  JOIN (SELECT currency, week_start, cad_per_unit AS rate FROM fx_rates
+        UNION ALL SELECT DISTINCT 'CAD', CAST(date_trunc('week', receipt_date) AS DATE), CAST(1 AS DECIMAL(20,10)) FROM receipts WHERE receipt_date IS NOT NULL) x
+    ON x.currency = r.currency AND x.week_start = CAST(date_trunc('week', r.receipt_date) AS DATE)
+  WHERE r.share IS NOT NULL AND r.receipt_date IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM cards g WHERE g.trip_id = r.trip_id AND g.purchase_currency = r.currency
+                    AND abs(r.share - g.p_abs) <= greatest(0.03, r.share * 0.015))
+    AND EXISTS (SELECT 1 FROM cards g WHERE g.trip_id = r.trip_id AND g.cad_amount IS NOT NULL
+                AND abs(date_diff('day', g.transaction_date, r.receipt_date)) <= 7)),
+pairs AS (
+  SELECT r.trip_id, r.source_file, g.group_id, r.receipt_date, g.transaction_date, r.share, r.currency, g.purchase_currency,
+         g.p_abs, g.c_abs, e.estimated_cad, r.vendor, g.description, g.clean_legs, g.cad_amount, g.purchase_amount,
+         abs(date_diff('day', r.receipt_date, g.transaction_date)) AS delta,
+         coalesce(r.currency = g.purchase_currency AND abs(r.share - g.p_abs) <= greatest(0.03, r.share * 0.015), false)
+           OR coalesce(r.currency = 'CAD' AND abs(r.share - g.c_abs) <= greatest(0.03, r.share * 0.015), false) AS same_amount,
+         coalesce(abs(e.estimated_cad - g.c_abs) <= greatest(0.50, e.estimated_cad * 0.06), false) AS fx_amount,
+         coalesce(abs(r.share - g.c_abs) <= greatest(0.03, r.share * 0.015), false) AS number_amount,
+         CASE WHEN r.currency = g.purchase_currency THEN g.p_abs WHEN r.currency = 'CAD' THEN g.c_abs END AS card_amount,
+         CASE WHEN lower(r.vendor) = lower(g.description) THEN 1 ELSE 0 END AS same_text
+  FROM receipts_s r JOIN cards g ON g.trip_id = r.trip_id
+  LEFT JOIN estimates e ON e.trip_id = r.trip_id AND e.source_file = r.source_file),
+pairs2 AS (
+  SELECT *, coalesce(share > 0 AND card_amount > share AND share >= card_amount * 0.68 AND share <= card_amount * 0.95, false) AS has_gap
+  FROM pairs),
+scored AS (
+  SELECT *, CAST(least(1,
+      CASE WHEN delta = 0 THEN 0.30 WHEN delta <= 3 THEN greatest(0.00, 0.24 - 0.05 * delta) ELSE 0.00 END
+    + CASE WHEN share IS NULL THEN 0.00 WHEN same_amount THEN 0.36 WHEN fx_amount THEN 0.46 WHEN number_amount THEN 0.18 WHEN has_gap THEN 0.22 ELSE 0.00 END
+    + CASE WHEN delta = 0 AND share IS NOT NULL AND (same_amount OR fx_amount OR number_amount) THEN 0.08 ELSE 0.00 END
+    + 0.46 * same_text) AS DECIMAL(6,3)) AS score,
+    CASE WHEN has_gap THEN CAST(round_even((1.0 - CAST(share AS DOUBLE) / CAST(card_amount AS DOUBLE)) * 100, 0) AS INTEGER) END AS gap_percent,
+    CAST(least(1,
+      CASE WHEN delta = 0 THEN 0.35 WHEN delta <= 5 THEN greatest(0.05, 0.28 - 0.05 * delta) ELSE 0.00 END
+    + CASE WHEN share IS NULL THEN 0.00 WHEN same_amount OR fx_amount THEN 0.55 WHEN has_gap THEN 0.25 ELSE 0.00 END
+    + CASE WHEN delta = 0 AND share IS NOT NULL AND (same_amount OR fx_amount) THEN 0.05 ELSE 0.00 END
+    + 0.35 * same_text) AS DECIMAL(6,3)) AS score3
+  FROM pairs2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY trip_id, group_id ORDER BY score DESC, lower(source_file)) AS rn FROM scored),
+best AS (SELECT * FROM ranked WHERE rn = 1 AND score >= 0.35),
+reasons AS (
+  SELECT *, CASE WHEN gap_percent IS NULL THEN ''
+      WHEN delta = 0 AND same_text = 1 THEN concat('Same merchant and date; receipt is ', CAST(gap_percent AS VARCHAR), '% below the card total, possibly tax or tip.')
+      ELSE concat('Receipt is ', CAST(gap_percent AS VARCHAR), '% below the card total; review tax or tip.') END AS review_reason
+  FROM best),
+assigned AS (
+  SELECT trip_id, group_id, CASE WHEN score >= 0.72 AND review_reason = '' AND clean_legs THEN source_file END AS matched_file,
+         source_file AS suggested_file,
+         CASE WHEN score >= 0.72 AND review_reason = '' AND clean_legs THEN 'auto' ELSE 'suggested' END AS match_status,
+         score AS match_confidence, review_reason
+  FROM reasons),
+matched AS (
+  SELECT g.*, a.matched_file, a.suggested_file,
+         coalesce(a.match_status, CASE WHEN match_eligible THEN 'unmatched' ELSE 'audit' END) AS match_status,
+         coalesce(a.match_confidence, CAST(0 AS DECIMAL(6,3))) AS match_confidence, coalesce(a.review_reason, '') AS review_reason
+  FROM txn_groups g LEFT JOIN assigned a ON a.trip_id = g.trip_id AND a.group_id = g.group_id)"""

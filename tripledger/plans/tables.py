@@ -1,10 +1,15 @@
-"""Shared intermediate tables of the registered queries, built with the library's operators."""
+"""Shared intermediate tables of the registered queries, built with the library's operators.
+
+Tables that several branches of one plan read (groups, receipt side, matched groups) are
+materialized, so the plan below them runs once.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripledger.operators import fx, statements
+from tripledger.functions.materialize import materialize
+from tripledger.operators import fx, matching, statements
 from tripledger.plans.bindings import view
 
 
@@ -19,3 +24,20 @@ def cad_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.transaction_groups(cad_legs(spark, sf_dir))
+
+
+def receipt_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(receipt side with estimates, groups)."""
+    g = materialize(groups(spark, sf_dir))
+    receipts = view(spark, sf_dir, "receipts")
+    plain = matching.receipt_side(receipts)
+    estimates = fx.estimate_receipt_cad(
+        plain.drop("estimated_cad"), g.filter("match_eligible"), rates(spark, sf_dir)
+    )
+    return materialize(matching.receipt_side(receipts, estimates)), g
+
+
+def matched_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(receipt side, groups with match columns)."""
+    side, g = receipt_sides(spark, sf_dir)
+    return side, materialize(matching.match_groups(side, g))
