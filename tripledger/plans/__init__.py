@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_statements", "q_matching", "q_decisions")
+MODULES = ("q_statements", "q_matching", "q_decisions", "q_claims", "q_receipt_text")
 
 
 def load_all() -> None:

@@ -40,7 +40,18 @@ SELECT {TRIP.format("o_custkey")} AS trip_id, {FILE.format("o_orderkey")} AS sou
        CASE WHEN o_orderkey % 23 = 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0015 AS DECIMAL(5,4)) AS DECIMAL(18,2)) END AS manual_cad,
        CASE WHEN o_orderkey % 19 = 0 THEN false ELSE true END AS in_company,
        CASE WHEN o_orderkey % 19 = 0 OR o_orderkey % 13 = 0 THEN false ELSE true END AS in_sponsor,
-       CASE WHEN o_orderkey % 5 = 0 THEN 0.60 ELSE 0.90 END AS confidence
+       CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0.60 ELSE 0.90 END AS DOUBLE) AS confidence,
+       CASE WHEN o_orderkey % 21 = 0 THEN '' ELSE concat('trip to ', o_orderpriority) END AS description,
+       CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.0009 AS DECIMAL(5,4)) AS DECIMAL(18,2)) AS subtotal,
+       CASE WHEN o_orderkey % 8 < 5 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.00005 AS DECIMAL(6,5)) AS DECIMAL(18,2)) END AS gst_hst,
+       CASE WHEN o_orderkey % 8 < 3 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.00009 AS DECIMAL(6,5)) AS DECIMAL(18,2)) END AS qst,
+       CASE WHEN o_orderkey % 3 = 0 THEN '123456789RT0001' ELSE '' END AS gst_hst_number,
+       CASE WHEN o_orderkey % 4 = 0 THEN '1234567890TQ0001' ELSE '' END AS qst_number,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'Acme' ELSE '' END AS purchaser_name,
+       CASE WHEN o_orderkey % 3 = 1 THEN 'net 30' ELSE '' END AS payment_terms,
+       CASE WHEN o_custkey % 4 = 0 THEN 'Canada' WHEN o_custkey % 4 = 1 THEN 'United States' ELSE '' END AS country,
+       CASE o_orderkey % 4 WHEN 0 THEN 'QC' WHEN 1 THEN 'ON' WHEN 2 THEN 'BC' ELSE '' END AS province,
+       CASE WHEN o_orderkey % 26 = 0 THEN 'non_business' END AS exclusion_reason
 FROM {{orders}}""",
     "fx_observations": """
 SELECT c.currency, d.obs_date,
@@ -84,7 +95,8 @@ SELECT {TRIP.format("o_custkey")} AS trip_id, {FILE.format("l_orderkey")} AS sou
        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(0.001 AS DECIMAL(4,3)) AS DECIMAL(18,2)) AS amount,
        CASE WHEN l_partkey % 7 = 2 THEN 'tax' ELSE 'item' END AS line_type,
        CASE WHEN l_partkey % 7 IN (0, 3) THEN true ELSE false END AS is_alcohol,
-       CASE WHEN l_partkey % 11 = 0 THEN 0.60 ELSE 0.95 END AS confidence
+       CAST(CASE WHEN l_partkey % 11 = 0 THEN 0.60 ELSE 0.95 END AS DOUBLE) AS confidence,
+       l_partkey % 9 <> 0 AS in_sponsor, CASE WHEN l_partkey % 18 = 0 THEN 'policy_cap' END AS exclusion_reason
 FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey""",
 }
 
@@ -204,3 +216,57 @@ FROM {{orders}} WHERE o_orderkey % 9 = 0
 UNION ALL
 SELECT {TRIP.format("o_custkey")}, {FILE.format("o_orderkey")}, 'amount', CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE '12.50' END, o_orderdate
 FROM {{orders}} WHERE o_orderkey % 16 < 2"""
+
+# Receipt texts with known content; the extraction has to recover it.
+_M3 = (
+    "substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * (month(o_orderdate) - 1) + 1 AS INT), 3)"
+)
+_Y = "CAST(year(o_orderdate) + 20 AS VARCHAR(4))"
+_MM = "lpad(CAST(month(o_orderdate) AS VARCHAR(2)), 2, '0')"
+_DD = "lpad(CAST(day(o_orderdate) AS VARCHAR(2)), 2, '0')"
+_ISO = f"concat({_Y}, '-', {_MM}, '-', {_DD})"
+_PART = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST({0} AS DECIMAL(8,6)) AS DECIMAL(18,2))"
+_VENDOR = (
+    "CASE o_orderkey % 4 WHEN 0 THEN 'Blue Kitchen' WHEN 1 THEN 'City Taxi' WHEN 2 THEN 'Grand Hotel' ELSE 'Paper Shop' END"
+)
+_KIND = "CASE o_orderkey % 4 WHEN 0 THEN 'meal' WHEN 1 THEN 'transport' WHEN 2 THEN 'hotel' ELSE 'other' END"
+VIEWS["receipt_text"] = f"""
+SELECT {TRIP.format("o_custkey")} AS trip_id,
+       CASE WHEN o_orderkey % 15 = 5 THEN concat('scan_', {_Y}, {_MM}, {_DD}, '_', lpad(CAST(o_orderkey AS VARCHAR(10)), 8, '0'), '.pdf')
+            ELSE {FILE.format("o_orderkey")} END AS source_file,
+       concat_ws(chr(10), {_VENDOR},
+         CASE o_orderkey % 3 WHEN 0 THEN concat('Invoice date: ', {_ISO}) WHEN 1 THEN concat('Served ', CAST(day(o_orderdate) AS VARCHAR(2)), ' ', {_M3}, ' ', {_Y}) END,
+         concat('Shiraz glass ', CAST({_PART.format("0.0003")} AS VARCHAR(20))),
+         concat('Garlic bread ', CAST({_PART.format("0.0002")} AS VARCHAR(20))),
+         CASE WHEN o_orderkey % 6 = 0 THEN concat('Bread basket', chr(10), CAST({_PART.format("0.0001")} AS VARCHAR(20))) END,
+         concat('Subtotal ', CAST({_PART.format("0.0009")} AS VARCHAR(20))),
+         concat('GST ', CAST({_PART.format("0.00005")} AS VARCHAR(20))),
+         concat('QST ', CAST({_PART.format("0.00009")} AS VARCHAR(20))),
+         CASE WHEN o_orderkey % 2 = 0 THEN 'GST no 123456789 RT0001' END,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'QST no 1234567890 TQ0001' END,
+         CASE WHEN o_orderkey % 11 = 0 THEN concat('TOTAL $', CAST({_PART.format("0.001")} AS VARCHAR(20)))
+              ELSE concat('TOTAL ', {CURRENCY}, ' ', CAST({_PART.format("0.001")} AS VARCHAR(20))) END,
+         CASE o_orderkey % 4 WHEN 0 THEN 'Montreal' WHEN 1 THEN 'Toronto' END) AS raw_text,
+       'text' AS method, {_VENDOR} AS exp_vendor, {_KIND} AS exp_type,
+       CASE WHEN o_orderkey % 3 = 2 AND o_orderkey % 15 <> 5 THEN NULL ELSE CAST({_ISO} AS DATE) END AS exp_date,
+       o_orderkey % 15 = 5 AS exp_from_name, {_PART.format("0.001")} AS exp_amount,
+       CASE WHEN o_orderkey % 11 = 0 THEN 'AUD' ELSE {CURRENCY} END AS exp_currency,
+       {_PART.format("0.0009")} AS exp_subtotal, {_PART.format("0.00005")} AS exp_gst, {_PART.format("0.00009")} AS exp_qst,
+       {_PART.format("0.0003")} AS a1, {_PART.format("0.0002")} AS a2, {_PART.format("0.0001")} AS a3,
+       CASE WHEN o_orderkey % 2 = 0 THEN '123456789RT0001' ELSE '' END AS exp_gst_number,
+       CASE WHEN o_orderkey % 3 = 0 THEN '1234567890TQ0001' ELSE '' END AS exp_qst_number,
+       CASE o_orderkey % 4 WHEN 0 THEN 'QC' WHEN 1 THEN 'ON' ELSE '' END AS exp_province, o_orderkey AS k
+FROM {{orders}}"""
+VIEWS["raw_cells"] = f"""
+SELECT o_orderkey AS k, {_PART.format("0.001")} AS num, CAST({_ISO} AS DATE) AS day_value,
+       CASE o_orderkey % 7 WHEN 0 THEN CAST({_PART.format("0.001")} AS VARCHAR(20)) WHEN 1 THEN concat('(', CAST({_PART.format("0.001")} AS VARCHAR(20)), ')')
+            WHEN 2 THEN concat('$ ', CAST({_PART.format("0.001")} AS VARCHAR(20)), ' CR') WHEN 3 THEN replace(CAST({_PART.format("0.001")} AS VARCHAR(20)), '.', ',')
+            WHEN 4 THEN concat('1.', lpad(replace(CAST({_PART.format("0.001")} AS VARCHAR(20)), '.', ','), 6, '0'))
+            WHEN 5 THEN concat('1,', lpad(CAST({_PART.format("0.001")} AS VARCHAR(20)), 6, '0')) ELSE 'n/a' END AS num_text,
+       CASE o_orderkey % 6 WHEN 0 THEN {_ISO} WHEN 1 THEN concat({_DD}, '-', {_M3}, '-', substr({_Y}, 3, 2)) WHEN 2 THEN concat({_DD}, ' ', {_M3}, ' ', {_Y})
+            WHEN 3 THEN concat({_DD}, '/', {_MM}, '/', {_Y}) WHEN 4 THEN concat({_Y}, {_MM}, {_DD}) ELSE concat({_ISO}, ' 10:11:12') END AS date_text,
+       concat('  ', o_orderpriority, '   x ') AS words, concat('US$ ', {CURRENCY}) AS cur_text,
+       concat(CAST({_PART.format("0.001")} AS VARCHAR(20)), ' ', CASE o_orderkey % 2 WHEN 0 THEN 'US DOLLAR' ELSE 'EURO' END) AS foreign_text,
+       concat('xx', lpad(CAST(o_orderkey AS VARCHAR(10)), 10, '0')) AS account_text,
+       CASE o_orderkey % 4 WHEN 0 THEN 'SQ*BLUE  CAFE SYDNEY NSW' WHEN 1 THEN 'NIGEL BAR' WHEN 2 THEN 'paper shop - LONDON GB' ELSE 'Plain Name' END AS merchant_text
+FROM {{orders}}"""

@@ -135,3 +135,160 @@ matched AS (
          coalesce(a.match_status, CASE WHEN match_eligible THEN 'unmatched' ELSE 'audit' END) AS match_status,
          coalesce(a.match_confidence, CAST(0 AS DECIMAL(6,3))) AS match_confidence, coalesce(a.review_reason, '') AS review_reason
   FROM txn_groups g LEFT JOIN assigned a ON a.trip_id = g.trip_id AND a.group_id = g.group_id)"""
+
+
+def half_up(num: str, den: str) -> str:
+    """SQL: integer num / den rounded half away from zero."""
+    return f"(sign({num}) * ((2 * abs({num}) + ({den})) // (2 * ({den}))))"
+
+
+def cents(expr: str) -> str:
+    return f"CAST(({expr}) * 100 AS HUGEINT)"
+
+
+def money(int_expr: str) -> str:
+    return f"CAST(CAST({int_expr} AS DECIMAL(30,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
+
+
+LINES = f"""
+lines_prog AS (
+  SELECT * EXCLUDE (in_sponsor, exclusion_reason), true AS in_company, NOT is_alcohol AND in_sponsor AS in_sponsor,
+         CASE WHEN is_alcohol THEN 'alcohol' WHEN in_sponsor THEN NULL ELSE coalesce(exclusion_reason, 'other') END AS exclusion_reason
+  FROM receipt_lines),
+line_sums AS (
+  SELECT trip_id, source_file, sum(amount) AS line_total, sum(amount) AS company_included_total,
+         coalesce(sum(amount) FILTER (in_sponsor), 0) AS sponsor_included_total FROM lines_prog GROUP BY 1, 2),
+totals AS (
+  SELECT r.*, CAST(coalesce(line_total, 0) AS DECIMAL(18,2)) AS line_total, CAST(coalesce(company_included_total, 0) AS DECIMAL(18,2)) AS company_included_total,
+         CAST(coalesce(sponsor_included_total, 0) AS DECIMAL(18,2)) AS sponsor_included_total, t.claim_program
+  FROM receipts r JOIN trips t ON t.trip_id = r.trip_id LEFT JOIN line_sums s ON s.trip_id = r.trip_id AND s.source_file = r.source_file)"""
+
+CAD = """
+contributions AS (
+  SELECT trip_id, matched_file AS source_file, CASE WHEN cad_completeness = 'complete' THEN cad_amount END AS cad,
+         CASE WHEN cad_completeness = 'complete' AND purchase_amount <> 0 THEN abs(purchase_amount) END AS purchase,
+         CASE WHEN cad_completeness = 'complete' AND purchase_amount <> 0 THEN purchase_currency END AS currency,
+         NOT (cad_completeness = 'complete' AND cad_amount IS NOT NULL) AS incomplete, false AS allocated
+  FROM dec4 WHERE allocation_status = 'none' AND NOT ignored AND matched_file IS NOT NULL
+  UNION ALL
+  SELECT a.trip_id, a.source_file, a.cad_amount, abs(coalesce(a.original_amount, CASE WHEN a.parts = 1 THEN g.purchase_amount END)),
+         CASE WHEN coalesce(a.original_amount, CASE WHEN a.parts = 1 THEN g.purchase_amount END) IS NOT NULL THEN g.purchase_currency END, false, true
+  FROM (SELECT al.*, count(*) OVER (PARTITION BY al.trip_id, al.group_id) AS parts FROM allocations al
+        JOIN receipts r ON r.trip_id = al.trip_id AND r.source_file = al.source_file WHERE al.type IN ('purchase', 'refund', 'fee')) a
+  JOIN dec4 g ON g.trip_id = a.trip_id AND g.group_id = a.group_id AND g.allocation_status = 'balanced'),
+cad_totals AS (
+  SELECT trip_id, source_file, CAST(coalesce(sum(cad), 0) AS DECIMAL(18,2)) AS cad_total,
+         CASE WHEN min(currency) = max(currency) THEN CAST(sum(purchase) AS DECIMAL(18,6)) END AS statement_purchase_amount,
+         CASE WHEN min(currency) = max(currency) THEN min(currency) END AS statement_purchase_currency,
+         bool_or(incomplete) AS incomplete, bool_or(allocated) AS allocated, count(*) AS group_count
+  FROM contributions GROUP BY 1, 2),
+sourced AS (
+  SELECT r.*, c.cad_total, c.statement_purchase_amount, c.statement_purchase_currency, coalesce(c.group_count, 0) AS group_count,
+         CASE WHEN b.basis = 'full_receipt' OR r.number_of_people > 1 THEN b.basis END AS explicit_basis,
+         CASE WHEN manual_cad IS NOT NULL THEN manual_cad WHEN group_count IS NOT NULL AND NOT incomplete THEN cad_total
+              WHEN r.currency = 'CAD' AND group_count IS NULL THEN amount END AS cad_amount_used,
+         CASE WHEN manual_cad IS NOT NULL THEN 'manual'
+              WHEN group_count IS NOT NULL AND NOT incomplete THEN concat(CASE WHEN allocated THEN 'allocation' ELSE 'statement' END, CASE WHEN group_count > 1 THEN '_aggregated' ELSE '' END)
+              WHEN r.currency = 'CAD' AND group_count IS NULL THEN 'invoice' ELSE 'unavailable' END AS cad_source
+  FROM totals r LEFT JOIN cad_totals c ON c.trip_id = r.trip_id AND c.source_file = r.source_file
+  LEFT JOIN basis b ON b.trip_id = r.trip_id AND b.source_file = r.source_file),
+based0 AS (
+  SELECT *, cad_source LIKE 'statement%' OR cad_source LIKE 'allocation%' AS from_statement, abs(amount) AS ra, abs(statement_purchase_amount) AS ca,
+         CAST(round(CAST(abs(amount) AS DOUBLE) / number_of_people, 6) AS DECIMAL(18,6)) AS sh FROM sourced),
+based1 AS (
+  SELECT *, CASE WHEN coalesce(amount, 0) = 0 THEN 'unavailable'
+       WHEN NOT from_statement OR coalesce(ca, 0) = 0 THEN 'receipt_total'
+       WHEN currency <> coalesce(statement_purchase_currency, '') THEN 'receipt_fallback_currency'
+       WHEN group_count > 1 THEN 'statement_aggregated'
+       WHEN abs(ca - ra) <= greatest(2, ra * 0.08) THEN 'statement_receipt_total'
+       WHEN ca > ra + greatest(2, ra * 0.08) AND ca <= ra * 1.35 THEN 'statement_includes_tip'
+       WHEN number_of_people > 1 AND abs(ca - sh) <= greatest(2, sh * 0.08) THEN 'statement_person_share'
+       WHEN number_of_people > 1 AND ca > sh + greatest(2, sh * 0.08) AND ca <= sh * 1.35 THEN 'statement_person_share_includes_tip'
+       ELSE 'receipt_fallback_mismatch' END AS st FROM based0),
+based2 AS (
+  SELECT *, explicit_basis IS NOT NULL AND from_statement AND coalesce(amount, 0) <> 0 AS expl FROM based1),
+based AS (
+  SELECT *, CASE WHEN expl THEN concat('statement_', explicit_basis, '_explicit') ELSE st END AS st2,
+         CASE WHEN expl THEN CASE WHEN explicit_basis = 'personal_share' THEN sh ELSE ra END
+              WHEN st = 'unavailable' THEN NULL WHEN st LIKE 'statement%' THEN ca ELSE ra END AS fx_basis_amount
+  FROM based2),
+reconciled AS (
+  SELECT *, CASE WHEN cad_source = 'manual' THEN concat('manual_', st2) ELSE st2 END AS fx_basis_status,
+         coalesce(explicit_basis, CASE WHEN st2 IN ('statement_person_share', 'statement_person_share_includes_tip', 'statement_personal_share_explicit') THEN 'personal_share' ELSE 'full_receipt' END) AS statement_amount_basis,
+         CASE WHEN cad_amount_used IS NOT NULL AND coalesce(fx_basis_amount, 0) <> 0
+              THEN CAST(CAST(abs(cad_amount_used) AS DOUBLE) / CAST(fx_basis_amount AS DOUBLE) AS DECIMAL(18,6)) END AS fx_rate,
+         CASE WHEN st2 <> 'statement_aggregated' AND coalesce(amount, 0) <> 0 AND statement_purchase_amount IS NOT NULL AND currency = statement_purchase_currency
+              THEN CAST(ca - CASE WHEN st2 IN ('statement_person_share', 'statement_person_share_includes_tip') OR (st2 = 'receipt_fallback_mismatch' AND number_of_people > 1) THEN sh ELSE ra END AS DECIMAL(18,2)) END AS statement_receipt_difference
+  FROM based)"""
+
+_CUT_C = "(line_total - company_included_total) > 0.005 AND line_total <> 0"
+_CUT_S = "(line_total - sponsor_included_total) > 0.005 AND line_total <> 0"
+
+
+def _program(included: str, line_in: str, cut: str) -> str:
+    num = f"CASE WHEN {cut} THEN {cents(line_in)} ELSE 1 END"
+    den = f"CASE WHEN {cut} THEN {cents('line_total')} ELSE 1 END"
+    original = half_up(cents(f"CASE WHEN {cut} THEN {line_in} ELSE coalesce(amount, 0) END"), "number_of_people")
+    full = half_up(f"({cents('cad2')} * {num})", f"({den}) * number_of_people")
+    share = half_up(f"({cents('cad2')} * {num})", den)
+    return f"""CASE WHEN NOT {included} THEN CAST(0 AS DECIMAL(18,2))
+      WHEN manual_cad IS NOT NULL THEN {money(full)}
+      WHEN cad2 IS NOT NULL AND from_statement THEN CASE WHEN statement_amount_basis = 'personal_share' THEN {money(share)} ELSE {money(full)} END
+      ELSE CAST({money(original)} * fx_rate AS DECIMAL(18,2)) END"""
+
+
+CLAIM = f"""
+claim0 AS (SELECT *, coalesce(cad_amount_used, CASE WHEN currency = 'CAD' THEN amount END) AS cad2,
+                  CASE WHEN cad_amount_used IS NULL AND currency = 'CAD' THEN 'invoice' ELSE cad_source END AS source2, in_sponsor AND in_company AS in_sp FROM reconciled),
+claim1 AS (SELECT *, {_program("in_company", "company_included_total", _CUT_C)} AS total_cad,
+                  {_program("in_sp", "sponsor_included_total", _CUT_S)} AS sp_cad,
+                  CASE WHEN in_company THEN CAST(1.0 / number_of_people AS DECIMAL(10,8)) ELSE CAST(0 AS DECIMAL(10,8)) END AS company_ratio FROM claim0),
+claim2 AS (SELECT *, CAST(CASE WHEN claim_program = 'sponsored' THEN least(coalesce(total_cad, 0), coalesce(sp_cad, 0)) ELSE 0 END AS DECIMAL(18,2)) AS sponsor_claim_cad FROM claim1),
+expenses AS (
+  SELECT * EXCLUDE (cad_amount_used, cad_source), cad2 AS cad_amount_used, source2 AS cad_source,
+         CAST(CASE WHEN claim_program = 'sponsored' THEN coalesce(total_cad, 0) - sponsor_claim_cad ELSE 0 END AS DECIMAL(18,2)) AS sponsor_excluded_cad,
+         CASE WHEN paid_by = 'traveller_personal' THEN total_cad ELSE CAST(0 AS DECIMAL(18,2)) END AS reimbursable_cad,
+         CASE WHEN paid_by = 'company_card' THEN total_cad ELSE CAST(0 AS DECIMAL(18,2)) END AS corporate_paid_cad,
+         greatest(0, coalesce(cad2, 0) - coalesce(total_cad, 0)) AS company_excluded_cad,
+         CASE WHEN NOT in_company THEN 'excluded' WHEN cad2 IS NOT NULL THEN 'ready' ELSE 'review' END AS claim_status
+  FROM claim2),
+summary AS (
+  SELECT trip_id, count(*) AS expense_count, count_if(in_company) AS included_count, count_if(NOT in_company) AS excluded_count,
+         count_if(cad_source LIKE 'statement%' OR cad_source LIKE 'allocation%') AS matched_count,
+         CAST(coalesce(sum(total_cad), 0) AS DECIMAL(18,2)) AS reviewed_total_cad, CAST(coalesce(sum(reimbursable_cad), 0) AS DECIMAL(18,2)) AS reimbursement_total_cad,
+         CAST(coalesce(sum(corporate_paid_cad), 0) AS DECIMAL(18,2)) AS corporate_paid_total_cad, CAST(coalesce(sum(sponsor_claim_cad), 0) AS DECIMAL(18,2)) AS sponsor_claim_total_cad,
+         CAST(coalesce(sum(sponsor_excluded_cad), 0) AS DECIMAL(18,2)) AS sponsor_excluded_total_cad, CAST(coalesce(sum(company_excluded_cad), 0) AS DECIMAL(18,2)) AS excluded_or_personal_cad
+  FROM expenses GROUP BY 1),
+taxed0 AS (
+  SELECT *, CASE WHEN expense_type LIKE 'meal%' THEN CAST(0.5 AS DECIMAL(7,6)) ELSE CAST(1 AS DECIMAL(7,6)) END AS recovery,
+         coalesce(nullif(fx_rate, 0), CASE WHEN currency = 'CAD' THEN CAST(1 AS DECIMAL(18,6)) ELSE CAST(0 AS DECIMAL(18,6)) END) AS fx
+  FROM expenses WHERE reimbursable_cad IS NOT NULL AND in_company),
+taxed1 AS (
+  SELECT *, CAST(CAST(CAST(coalesce(gst_hst, 0) AS DECIMAL(10,2)) * CAST(fx AS DECIMAL(12,6)) * company_ratio AS DECIMAL(18,2)) * recovery AS DECIMAL(20,8)) AS recoverable_gst,
+         CAST(CAST(CAST(coalesce(qst, 0) AS DECIMAL(10,2)) * CAST(fx AS DECIMAL(12,6)) * company_ratio AS DECIMAL(18,2)) * recovery AS DECIMAL(20,8)) AS recoverable_qst,
+         CAST(least(reimbursable_cad, sponsor_claim_cad) AS DECIMAL(20,8)) AS passed FROM taxed0),
+taxed AS (
+  SELECT *, CAST(reimbursable_cad - recoverable_gst - recoverable_qst AS DECIMAL(20,8)) AS net_cad,
+         CASE WHEN claim_program = 'sponsored' THEN CAST(reimbursable_cad - passed AS DECIMAL(20,8)) ELSE CAST(reimbursable_cad - recoverable_gst - recoverable_qst AS DECIMAL(20,8)) END AS base FROM taxed1),
+postings AS (
+  SELECT trip_id, 'expenses_recoverable_from_clients' AS account_key, passed AS part FROM taxed WHERE claim_program = 'sponsored'
+  UNION ALL SELECT trip_id, 'meal_deductible', CAST(base * CAST(0.5 AS DECIMAL(7,6)) AS DECIMAL(20,8)) FROM taxed WHERE expense_type LIKE 'meal%'
+  UNION ALL SELECT trip_id, 'meal_nondeductible', CAST(base - CAST(base * CAST(0.5 AS DECIMAL(7,6)) AS DECIMAL(20,8)) AS DECIMAL(20,8)) FROM taxed WHERE expense_type LIKE 'meal%'
+  UNION ALL SELECT trip_id, 'non_meal', base FROM taxed WHERE expense_type NOT LIKE 'meal%'
+  UNION ALL SELECT trip_id, 'gst_hst_receivable', recoverable_gst FROM taxed WHERE claim_program <> 'sponsored'
+  UNION ALL SELECT trip_id, 'qst_receivable', recoverable_qst FROM taxed WHERE claim_program <> 'sponsored'),
+posted AS (
+  SELECT trip_id, account_key, CAST(sum(part) AS DECIMAL(18,2)) AS amount_cad FROM postings GROUP BY 1, 2 HAVING abs(sum(part)) >= 0.005),
+journal0 AS (
+  SELECT p.*, s.reimbursement_total_cad - sum(amount_cad) OVER (PARTITION BY p.trip_id) AS residual,
+         row_number() OVER (PARTITION BY p.trip_id ORDER BY CASE account_key WHEN 'meal_nondeductible' THEN 0 WHEN 'non_meal' THEN 1 WHEN 'meal_deductible' THEN 2 ELSE 99 END,
+            CASE account_key WHEN 'expenses_recoverable_from_clients' THEN 'Expenses' WHEN 'gst_hst_receivable' THEN 'GST' ELSE 'QST' END) AS rn
+  FROM posted p JOIN summary s ON s.trip_id = p.trip_id),
+journal AS (
+  SELECT trip_id, account_key, CAST(CASE WHEN rn = 1 AND abs(residual) BETWEEN 0.005 AND 0.05 THEN residual ELSE 0 END AS DECIMAL(18,2)) AS rounding_adjustment_cad,
+         CAST(amount_cad + CASE WHEN rn = 1 AND abs(residual) BETWEEN 0.005 AND 0.05 THEN residual ELSE 0 END AS DECIMAL(18,2)) AS amount_cad FROM journal0),
+control AS (
+  SELECT s.trip_id, CAST(reviewed_total_cad - reimbursement_total_cad - corporate_paid_total_cad AS DECIMAL(18,2)) AS payer_difference_cad,
+         CAST(CASE WHEN claim_program = 'sponsored' THEN reviewed_total_cad - sponsor_claim_total_cad - sponsor_excluded_total_cad ELSE 0 END AS DECIMAL(18,2)) AS sponsor_difference_cad,
+         CAST(coalesce((SELECT sum(amount_cad) FROM journal j WHERE j.trip_id = s.trip_id), 0) - reimbursement_total_cad AS DECIMAL(18,2)) AS accounting_difference_cad
+  FROM summary s JOIN trips t ON t.trip_id = s.trip_id)"""

@@ -233,7 +233,7 @@ COV = (
 cov AS (
   SELECT g.trip_id, g.provider, g.account_label, concat(upper(g.provider), ' ', g.account_label) AS label, min(transaction_date) AS earliest_date, max(transaction_date) AS latest_date,
          count(*) AS transaction_count, count_if(match_eligible AND NOT ignored) AS match_eligible_count,
-         count_if(duplicate_resolution = 'unresolved') AS unresolved_duplicate_count,
+         coalesce(count_if(duplicate_resolution = 'unresolved'), 0) AS unresolved_duplicate_count,
          (SELECT count(*) FROM file_ranges r WHERE r.trip_id = g.trip_id AND r.provider = g.provider AND r.account_label = g.account_label) AS file_count,
          EXISTS (SELECT 1 FROM file_ranges a JOIN file_ranges b ON a.trip_id = b.trip_id AND a.provider = b.provider AND a.account_label = b.account_label
                  AND a.source_file < b.source_file AND a.s <= b.e AND b.s <= a.e

@@ -41,3 +41,35 @@ def matched_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     """(receipt side, groups with match columns)."""
     side, g = receipt_sides(spark, sf_dir)
     return side, materialize(matching.match_groups(side, g))
+
+
+def decided_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bound groups with dispositions and allocations applied."""
+    from tripledger.operators import decisions
+
+    decided = decisions.apply_dispositions(view(spark, sf_dir, "matched_groups"), view(spark, sf_dir, "dispositions"))
+    return decisions.allocation_totals(decided, view(spark, sf_dir, "allocations"))
+
+
+def program_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tripledger.operators import lines
+
+    return lines.program_inclusion(view(spark, sf_dir, "receipt_lines"))
+
+
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts with CAD totals, source, basis and rate."""
+    from tripledger.operators import claims, decisions
+
+    receipts = decisions.statement_basis(view(spark, sf_dir, "receipts"), view(spark, sf_dir, "basis"))
+    totals = claims.receipt_cad_totals(decided_groups(spark, sf_dir), view(spark, sf_dir, "allocations"), receipts)
+    return claims.reconciled_receipts(claims.cad_source(receipts, totals))
+
+
+def expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claim amounts of every receipt (CLM6)."""
+    from tripledger.operators import claims, lines
+
+    program = view(spark, sf_dir, "trips").select("trip_id", "claim_program")
+    base = reconciled(spark, sf_dir).join(program, "trip_id")
+    return claims.expense_result(lines.receipt_totals(program_lines(spark, sf_dir), base))
