@@ -49,120 +49,129 @@ def normalize_key(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it as a variable in ``body``: keeps long rules small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def currency_code(value: Column) -> Column:
-    text = F.upper(clean_text(value))
-    found = F.regexp_extract(text, r"(?U)\b([A-Z]{3})\b", 1)
-    return F.when(found != "", found).otherwise(literal_map(CURRENCY_SYMBOLS)[text])
+    def rule(text: Column) -> Column:
+        found = F.regexp_extract(text, r"(?U)\b([A-Z]{3})\b", 1)
+        return F.when(found != "", found).otherwise(literal_map(CURRENCY_SYMBOLS)[text])
+
+    return bind(F.upper(clean_text(value)), rule)
 
 
 def parse_number(value: Column, kind: str = "decimal(28,8)") -> Column:
     """Number in any of the usual locales; parentheses or a CR suffix make it negative."""
-    text = F.regexp_replace(clean_text(value), "[  ]", "")
-    negative = (text.startswith("(") & text.endswith(")")) | text.rlike(r"(?i)\bCR\s*$")
-    body = F.regexp_replace(text, r"(?i)\b(?:CR|DR)\s*$", "")
-    digits = F.regexp_replace(body, r"[^0-9,.+\-]", "")
-    tail = F.length(F.regexp_extract(digits, r"[,.]([^,.]*)$", 1))
-    short = tail.isin(1, 2)
-    commas, dots = digits.contains(","), digits.contains(".")
-    many_dots = digits.rlike(r"\..*\.")
-    last_comma = digits.rlike(r",[^.,]*$")
-    strip = lambda pattern: F.regexp_replace(digits, pattern, "")
-    plain = (
-        F.when(
-            commas & dots,
-            F.when(short & last_comma, F.translate(strip(r"\."), ",", "."))
-            .when(short, strip(","))
-            .otherwise(strip("[,.]")),
+
+    def plain(digits: Column) -> Column:
+        short = F.length(F.regexp_extract(digits, r"[,.]([^,.]*)$", 1)).isin(1, 2)
+        commas, dots = digits.contains(","), digits.contains(".")
+        strip = lambda pattern: F.regexp_replace(digits, pattern, "")
+        return (
+            F.when(
+                commas & dots,
+                F.when(short & digits.rlike(r",[^.,]*$"), F.translate(strip(r"\."), ",", "."))
+                .when(short, strip(","))
+                .otherwise(strip("[,.]")),
+            )
+            .when(commas, F.when(short, F.translate(strip(",(?=.*,)"), ",", ".")).otherwise(strip(",")))
+            .when(digits.rlike(r"\..*\."), F.when(short, strip(r"\.(?=.*\.)")).otherwise(strip(r"\.")))
+            .otherwise(digits)
         )
-        .when(commas, F.when(short, F.translate(strip(",(?=.*,)"), ",", ".")).otherwise(strip(",")))
-        .when(many_dots, F.when(short, strip(r"\.(?=.*\.)")).otherwise(strip(r"\.")))
-        .otherwise(digits)
-    )
-    number = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain).try_cast(kind)
-    return F.when(negative, -number).otherwise(number)
+
+    def rule(text: Column) -> Column:
+        negative = text.rlike(r"^\(.*\)$|(?i:\bCR\s*$)")
+        body = F.regexp_replace(text, r"(?i)\b(?:CR|DR)\s*$", "")
+        digits = bind(F.regexp_replace(body, r"[^0-9,.+\-]", ""), plain)
+        number = bind(digits, lambda n: F.when(n.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), n).try_cast(kind))
+        return F.when(negative, -number).otherwise(number)
+
+    return bind(F.regexp_replace(clean_text(value), "[\u00a0\u202f]", ""), rule)
+
+
+_PARTS = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})(?:\D.*|$)"
 
 
 def numeric_date_parts(value: Column) -> Column:
     """struct(first, second, year) of d/m/y or m/d/y text, else null."""
-    pattern = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})(?:\D|$)"
-    text = clean_text(value)
-    part = lambda i: F.regexp_extract(text, pattern, i).try_cast("int")
-    year = part(3)
-    return F.when(
-        part(1).isNotNull(),
-        F.struct(
-            part(1).alias("first"),
-            part(2).alias("second"),
-            F.when(year < 100, year + 2000).otherwise(year).alias("year"),
-        ),
-    )
 
+    def rule(text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, _PARTS, i).cast("int")
+        year = bind(part(3), lambda y: F.when(y < 100, y + 2000).otherwise(y))
+        return F.when(
+            text.rlike(_PARTS), F.struct(part(1).alias("first"), part(2).alias("second"), year.alias("year"))
+        )
+
+    return bind(clean_text(value), rule)
 
-def _ymd(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string")), "yyyy-M-d")
 
+_ISO = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$"
+_STAMP = r"^(\d{4})-(\d{1,2})-(\d{1,2}) \d{1,2}:\d{1,2}:\d{1,2}$"
+_NAMED = (
+    r"^(?:(\d{1,2})-([A-Za-z]+)-(\d{2})|(\d{1,2}) ([A-Za-z]+) (\d{4}|\d{2})|(\d{1,2}) ([A-Za-z]{3})\. (\d{4}))$"
+)
+_DOTTED = r"^(\d{1,2})\.(\d{1,2})\.(\d{4}|\d{2})$"
 
-def _century(text: Column) -> Column:
-    n = text.try_cast("int")
-    return F.when(F.length(text) == 4, n).when(n >= 69, n + 1900).otherwise(n + 2000)
 
+def _full_year(text: Column) -> Column:
+    old = F.regexp_replace(text, r"(?<= )(69|[7-9]\d)$", "19$1")
+    return F.regexp_replace(old, r"(?<= )(\d\d)$", "20$1")
 
-def _month(name: Column) -> Column:
-    low = F.lower(name)
-    short = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), low)
-    full = F.array_position(F.array(*[F.lit(m) for m in MONTH_NAMES]), low)
-    return F.greatest(short, full).cast("int")
+
+def _formatted_date(c: Column) -> Column:
+    named = bind(
+        _full_year(F.regexp_replace(c, _NAMED, "$1$4$7 $2$5$8 $3$6$9")),
+        lambda t: F.coalesce(F.try_to_date(t, "d MMM yyyy"), F.try_to_date(t, "d MMMM yyyy")),
+    )
+    return (
+        F.when(c.rlike(_ISO), F.try_to_date(F.regexp_replace(c, _ISO, "$1-$3-$4"), "yyyy-M-d"))
+        .when(c.rlike(r"^\d{8}$"), F.try_to_date(c, "yyyyMMdd"))
+        .when(c.rlike(_NAMED), named)
+        .when(c.rlike(_DOTTED), F.try_to_date(_full_year(F.regexp_replace(c, _DOTTED, "$1 $2 $3")), "d M yyyy"))
+        .when(c.rlike(_STAMP), F.try_to_date(F.regexp_replace(c, _STAMP, "$1-$2-$3"), "yyyy-M-d"))
+    )
 
 
 def parse_date(value: Column, convention: Column) -> Column:
     """Date in one of the fixed formats; d/m/y or m/d/y text follows the file's convention."""
-    text = clean_text(value)
-    ten, eleven = F.substring(text, 1, 10), F.substring(text, 1, 11)
-
-    def formats(c: Column) -> Column:
-        g = lambda p, i: F.regexp_extract(c, p, i)
-        iso = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$"
-        compact = r"^(\d{4})(\d{2})(\d{2})$"
-        dashed = r"^(\d{1,2})-([A-Za-z]+)-(\d{2})$"
-        spaced = r"^(\d{1,2}) ([A-Za-z]+) (\d{4}|\d{2})$"
-        dotted_month = r"^(\d{1,2}) ([A-Za-z]{3})\. (\d{4})$"
-        dotted = r"^(\d{1,2})\.(\d{1,2})\.(\d{4}|\d{2})$"
-        stamp = r"^(\d{4})-(\d{1,2})-(\d{1,2}) \d{1,2}:\d{1,2}:\d{1,2}$"
-        return (
-            F.when(c.rlike(iso), _ymd(g(iso, 1), g(iso, 3), g(iso, 4)))
-            .when(c.rlike(compact), _ymd(g(compact, 1), g(compact, 2), g(compact, 3)))
-            .when(c.rlike(dashed), _ymd(_century(g(dashed, 3)), _month(g(dashed, 2)), g(dashed, 1)))
-            .when(c.rlike(spaced), _ymd(_century(g(spaced, 3)), _month(g(spaced, 2)), g(spaced, 1)))
-            .when(
-                c.rlike(dotted_month), _ymd(_century(g(dotted_month, 3)), _month(g(dotted_month, 2)), g(dotted_month, 1))
-            )
-            .when(c.rlike(dotted), _ymd(_century(g(dotted, 3)), g(dotted, 2), g(dotted, 1)))
-            .when(c.rlike(stamp), _ymd(g(stamp, 1), g(stamp, 2), g(stamp, 3)))
+
+    def numeric(p: Column) -> Column:
+        a, b = p["first"], p["second"]
+        order = (
+            F.when((a > 12) & (b <= 12), F.lit("day_first"))
+            .when((b > 12) & (a <= 12), F.lit("month_first"))
+            .otherwise(convention)
+        )
+        day = F.when(order == "day_first", a).when(order == "month_first", b)
+        month = F.when(order == "day_first", b).when(order == "month_first", a)
+        return F.when(
+            day.isNotNull(),
+            F.try_to_date(F.concat_ws("-", p["year"].cast("string"), month.cast("string"), day.cast("string")), "yyyy-M-d"),
         )
 
-    parts = numeric_date_parts(value)
-    a, b, y = parts["first"], parts["second"], parts["year"]
-    order = (
-        F.when((a > 12) & (b <= 12), F.lit("day_first"))
-        .when((b > 12) & (a <= 12), F.lit("month_first"))
-        .otherwise(convention)
-    )
-    numeric = F.when(order == "day_first", _ymd(y, b, a)).when(order == "month_first", _ymd(y, a, b))
-    return F.coalesce(formats(text), formats(ten), formats(eleven), numeric)
+    def rule(text: Column) -> Column:
+        tries = F.array(text, F.substring(text, 1, 10), F.substring(text, 1, 11))
+        hits = F.array_compact(F.transform(tries, _formatted_date))
+        return F.coalesce(F.get(hits, F.lit(0)), bind(numeric_date_parts(text), numeric))
+
+    return bind(clean_text(value), rule)
+
+
+_FOREIGN = r"(-?\d+(?:\.\d+)?)\s+([A-Z ]+)"
 
 
 def foreign_value(value: Column) -> Column:
     """struct(amount, currency) of text such as ``123.45 US DOLLAR``."""
-    text = F.regexp_replace(F.upper(clean_text(value)), ",", "")
-    pattern = r"(-?\d+(?:\.\d+)?)\s+([A-Z ]+)"
-    amount = F.regexp_extract(text, pattern, 1).try_cast("decimal(28,8)")
-    name = F.trim(F.regexp_extract(text, pattern, 2))
-    return F.struct(
-        amount.alias("amount"),
-        F.when(
-            amount.isNotNull(), F.coalesce(literal_map(CURRENCY_NAMES)[name], F.left(name, F.lit(3)))
-        ).alias("currency"),
-    )
+
+    def rule(text: Column) -> Column:
+        amount = F.regexp_extract(text, _FOREIGN, 1).try_cast("decimal(28,8)")
+        name = F.trim(F.regexp_extract(text, _FOREIGN, 2))
+        code = bind(name, lambda n: F.coalesce(literal_map(CURRENCY_NAMES)[n], F.left(n, F.lit(3))))
+        return F.struct(amount.alias("amount"), F.when(amount.isNotNull(), code).alias("currency"))
+
+    return bind(F.regexp_replace(F.upper(clean_text(value)), ",", ""), rule)
 
 
 def mask_account(value: Column) -> Column:

@@ -16,14 +16,14 @@ CUR = "|".join(CURRENCIES) + r"|AU\$|CA\$|\$"
 ADDITIVE = r"(?iU)\b(?:gst|tax|vat|surcharge|service\s+(?:fee|charge)|gratuity|tip)\b"
 
 OPEN, CLOSE = "\u0001", "\u0002"
-_FREE = f"(?![^{OPEN}]*{CLOSE})"
+_FREE = f"(?![^{OPEN}{CLOSE}]{{0,400}}{CLOSE})"  # not inside a token; bounded, so linear in the line
 _AMT = r"-?(?:\d{1,3}(?:,\d{3})+|\d+,\d{2}|\d+)(?:\.\d{2})?"
 _BROKEN = rf"(?i)({CUR})\s*(\d+)\.\s+(\d{{2}})(?!\d)"
-_SPLIT = rf"(?i){_FREE}({CUR})\s*(\d{{1,3}})\s+(\d+\.\d{{2}})"
+_SPLIT = rf"(?i)({CUR})\s*(\d{{1,3}})\s+(\d+\.\d{{2}}){_FREE}"
 # An amount glued to a letter before it is its own branch: a capture inside a look-behind would
 # keep its value from earlier start positions.
 _PLAIN = (
-    rf"(?i){_FREE}(?:(?<=\p{{L}})({_AMT})|(-)?\s*({CUR})?\s*({_AMT}))(?=(\s+\d{{3}})?)(?=(\p{{L}})?)"
+    rf"(?i)(?:(?<=\p{{L}})({_AMT})|(-)?\s*({CUR})?\s*({_AMT})){_FREE}(?=(\s+\d{{3}})?)(?=(\p{{L}})?)"
 )
 
 

@@ -649,7 +649,8 @@ def enrich_from_statement(receipts: DataFrame, best: DataFrame) -> DataFrame:
         | vendor.rlike(r"(?U)\b(tax|invoice|receipt|scanned)\b")
     )
     j = receipts.join(hits, ["trip_id", "source_file"], "left")
-    blob = F.lower(F.concat_ws(" ", F.coalesce("raw_text", F.lit("")), F.col("_food")))
+    text = F.coalesce("raw_text", F.lit("")) if "raw_text" in receipts.columns else F.lit("")
+    blob = F.lower(F.concat_ws(" ", text, F.col("_food")))
     replace = F.col("_first").isNotNull() & junk
     kind = F.coalesce("expense_type", F.lit(""))
     meal = (

@@ -270,3 +270,49 @@ SELECT o_orderkey AS k, {_PART.format("0.001")} AS num, CAST({_ISO} AS DATE) AS
        concat('xx', lpad(CAST(o_orderkey AS VARCHAR(10)), 10, '0')) AS account_text,
        CASE o_orderkey % 4 WHEN 0 THEN 'SQ*BLUE  CAFE SYDNEY NSW' WHEN 1 THEN 'NIGEL BAR' WHEN 2 THEN 'paper shop - LONDON GB' ELSE 'Plain Name' END AS merchant_text
 FROM {{orders}}"""
+
+# Statement exports as text lines: one file per trip, one layout per trip (p = 0..6).
+_HEADERS = {
+    0: (1, "Date,Date Processed,Description,Card Member,Account,Amount"),
+    1: (3, "First Bank Card,Transaction Type,Date Posted,Transaction Amount,Description"),
+    2: (1, "Date;Card Number;Description;Category;Debit;Credit"),
+    3: (
+        1,
+        "ID,Status,Direction,Created on,Finished on,Source amount after fees,Source fee amount,Source currency,"
+        "Target amount after fees,Target currency,Source name,Target name,Category",
+    ),
+    4: (
+        1,
+        "transaction_date,description,purchase_amount,purchase_currency,cad_amount,transaction_type,posted_date,account,"
+        "cardholder,category",
+    ),
+    5: (1, "transaction_date,posted_date,transaction_type,description,settlement_amount,settlement_currency"),
+    6: (1, "Purchase date|Shop details|Amount|Currency"),
+}
+_A = "CAST(amt AS VARCHAR(20))"
+_NA = "CAST(CASE WHEN back OR pay THEN -amt ELSE amt END AS VARCHAR(20))"
+_ROW = {
+    0: f"concat_ws(',', dmon, dmon, words, 'Jo', 'xx1234', {_NA})",
+    1: f"concat_ws(',', 'x9876', CASE WHEN back OR pay THEN 'CREDIT' ELSE 'DEBIT' END, packed, {_A}, words)",
+    2: f"""concat('"', concat_ws(';', iso, 'xx5555', words, 'Food', CASE WHEN back OR pay THEN '' ELSE {_A} END, CASE WHEN back OR pay THEN {_A} ELSE '' END), '"')""",
+    3: f"concat_ws(',', concat('CARD_TRANSACTION-', CAST(k AS VARCHAR(10))), CASE WHEN back THEN 'REFUNDED' ELSE 'COMPLETED' END, 'OUT', "
+    f"concat(iso, ' 08:00:00'), '', {_A}, '0.50', 'CAD', CAST(half AS VARCHAR(20)), 'EUR', 'Jo', words, 'Food')",
+    4: f"concat_ws(',', iso, words, {_NA}, cur, '', CASE WHEN pay THEN 'payment' ELSE '' END, '', 'Visa 1', 'Jo', 'Food')",
+    5: f"concat_ws(',', iso, iso, CASE WHEN pay THEN 'payment' WHEN back THEN 'refund' ELSE 'purchase' END, words, {_A}, cur)",
+    6: f"concat_ws('|', dmy, words, {_NA}, cur)",
+}
+VIEWS["statement_base"] = f"""
+SELECT {TRIP.format("o_custkey")} AS trip_id, 'card.csv' AS source_file, o_custkey % 7 AS p, o_orderkey AS k,
+       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, {_PART.format("0.001")} AS amt, {_PART.format("0.0005")} AS half,
+       o_orderkey % 17 = 0 AS back, o_orderkey % 13 = 0 AND o_orderkey % 17 <> 0 AS pay, {CURRENCY} AS cur, CAST({_ISO} AS DATE) AS day_value,
+       CASE WHEN o_orderkey % 13 = 0 AND o_orderkey % 17 <> 0 THEN 'payment thanks' ELSE {WORD} END AS words,
+       {_ISO} AS iso, concat({_DD}, '-', {_M3}, '-', substr({_Y}, 3, 2)) AS dmon, concat({_Y}, {_MM}, {_DD}) AS packed, concat({_DD}, '/', {_MM}, '/', {_Y}) AS dmy
+FROM {{orders}}"""
+_TAB = "replace({0}, '|', chr(9))"
+VIEWS["statement_lines"] = (
+    "SELECT trip_id, source_file, CAST(rn + CASE WHEN p = 1 THEN 3 ELSE 1 END AS BIGINT) AS row_no, CASE p "
+    + " ".join(f"WHEN {i} THEN {_ROW[i] if i < 6 else _TAB.format(_ROW[i])}" for i in _ROW)
+    + " END AS line FROM {statement_base} UNION ALL SELECT DISTINCT trip_id, source_file, CAST(CASE WHEN p = 1 THEN 3 ELSE 1 END AS BIGINT), CASE p "
+    + " ".join(f"WHEN {i} THEN {repr(h) if i < 6 else _TAB.format(repr(h))}" for i, (_, h) in _HEADERS.items())
+    + " END FROM {statement_base} UNION ALL SELECT DISTINCT trip_id, source_file, CAST(1 AS BIGINT), 'Statement export' FROM {statement_base} WHERE p = 1"
+)
