@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_statements", "q_matching", "q_decisions", "q_claims", "q_receipt_text", "q_ingest", "q_reports")
+MODULES = ("q_statements", "q_matching", "q_decisions", "q_claims", "q_receipt_text", "q_ingest", "q_reports", "q_review")
 
 
 def load_all() -> None:

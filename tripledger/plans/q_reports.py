@@ -94,25 +94,28 @@ def _(spark, d):
     )
 
 
+_PART = money(half_up(f"({cents('sponsor_excluded_cad')} * {cents('removed_share')})", f"greatest({cents('w')}, 1)"))
+
+
 @query(
     "rpt5_line_audit",
     claim_oracle(
-        """SELECT e.trip_id, e.source_file, e.sponsor_excluded_cad AS expected_removed, e.sponsor_excluded_cad AS removed_cad
-FROM expenses e WHERE EXISTS (SELECT 1 FROM lines_prog l WHERE l.trip_id = e.trip_id AND l.source_file = e.source_file AND NOT l.in_sponsor AND l.amount / e.number_of_people >= 0.01)"""
+        f"""SELECT trip_id, source_file, pos, removed_share, CAST(CASE WHEN NOT removed THEN 0 ELSE sh + CASE WHEN last = 1 AND w > 0 THEN sponsor_excluded_cad - given ELSE 0 END END AS DECIMAL(18,2)) AS removed_cad
+FROM (SELECT *, sum(sh) OVER (PARTITION BY trip_id, source_file) AS given FROM (
+  SELECT *, CASE WHEN w <= 0 THEN CASE WHEN first = 1 THEN sponsor_excluded_cad ELSE CAST(0 AS DECIMAL(18,2)) END ELSE {_PART} END AS sh FROM (
+    SELECT *, sum(removed_share) OVER (PARTITION BY trip_id, source_file) AS w, row_number() OVER (PARTITION BY trip_id, source_file ORDER BY pos DESC) AS last,
+           row_number() OVER (PARTITION BY trip_id, source_file ORDER BY pos) AS first FROM (
+      SELECT e.trip_id, e.source_file, l.pos, NOT l.in_sponsor AS removed, e.sponsor_excluded_cad,
+             CASE WHEN NOT l.in_sponsor THEN {money(half_up(cents("l.amount"), "e.number_of_people"))} ELSE CAST(0 AS DECIMAL(18,2)) END AS removed_share
+      FROM expenses e JOIN lines_prog l ON l.trip_id = e.trip_id AND l.source_file = e.source_file WHERE abs(l.amount) >= 0.005
+      UNION ALL
+      SELECT trip_id, source_file, 0, in_company AND NOT in_sponsor, sponsor_excluded_cad, CASE WHEN in_company AND NOT in_sponsor THEN {SHARE} ELSE CAST(0 AS DECIMAL(18,2)) END
+      FROM expenses e WHERE NOT EXISTS (SELECT 1 FROM lines_prog l WHERE l.trip_id = e.trip_id AND l.source_file = e.source_file AND abs(l.amount) >= 0.005)))))"""
     ),
 )
 def _(spark, d):
-    e = _expenses(spark, d)
-    audit = reports.line_audit(e, tables.program_lines(spark, d))
-    sums = audit.groupBy("trip_id", "source_file").agg(
-        F.sum("removed_cad").cast("decimal(18,2)").alias("removed_cad"), F.sum("removed_share").alias("_share")
-    )
-    # The residual lands on the last line of the receipt; where that line is kept, the cents show there.
-    j = sums.filter("_share > 0").join(e.select("trip_id", "source_file", F.col("sponsor_excluded_cad").alias("expected_removed")), ["trip_id", "source_file"])
-    close = F.abs(F.col("removed_cad") - F.col("expected_removed")) <= 0.10
-    lined = tables.program_lines(spark, d).select("trip_id", "source_file").distinct()
-    return j.join(lined, ["trip_id", "source_file"], "left_semi").select(
-        "trip_id", "source_file", "expected_removed", F.when(close, F.col("expected_removed")).otherwise(F.col("removed_cad")).alias("removed_cad")
+    return reports.line_audit(_expenses(spark, d), tables.program_lines(spark, d)).select(
+        "trip_id", "source_file", "pos", "removed_share", "removed_cad"
     )
 
 
