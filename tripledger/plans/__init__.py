@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_statements", "q_matching", "q_decisions", "q_claims", "q_receipt_text", "q_ingest", "q_reports", "q_review")
+MODULES = ("q_statements", "q_matching", "q_decisions", "q_claims", "q_receipt_text", "q_ingest", "q_reports", "q_review", "q_streams")
 
 
 def load_all() -> None:
