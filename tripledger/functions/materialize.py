@@ -27,3 +27,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/tripledger-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a small input over the cores before CPU-heavy row work.
+
+    Only where the scan yields fewer tasks than the session has cores (one small file); a large
+    input already has more and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripledger.functions.amounts import (
@@ -252,6 +252,11 @@ def _earliest(receipts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _first_group(cards: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct card feature rows with their first group."""
+    return cards.groupBy("trip_id", *keys).agg(F.min("group_id").alias("first_group"))
+
+
 def _near_days(rows: DataFrame, band: int) -> DataFrame:
     return rows.filter(F.col("receipt_date").isNotNull()).withColumn(
         "transaction_date",
@@ -371,8 +376,8 @@ def _reachable(pairs: DataFrame, w: Weights) -> DataFrame:
 def evidence_pairs(receipts: DataFrame, cards: DataFrame, w: Weights = CARD_CENTRIC) -> DataFrame:
     """JOIN1/JOIN2: distinct receipt and card feature rows that can reach the threshold, scored.
 
-    Columns: trip_id, kind, the card features the kind uses (others null), ``first`` (earliest
-    receipt of the feature row), similarity, word_hit, score.
+    Columns: trip_id, kind, the features the kind uses (others null), ``first`` and
+    ``first_group`` (earliest receipt and group of the feature rows), similarity, word_hit, score.
     """
     r_amount = ["currency", "share", "estimated_cad", "vendor"]
     c_amount = ["description", "purchase_abs", "purchase_currency", "cad_abs"]
@@ -380,7 +385,7 @@ def evidence_pairs(receipts: DataFrame, cards: DataFrame, w: Weights = CARD_CENT
 
     by_date = _no_amounts(
         _near_days(_earliest(receipts, ["receipt_date", "vendor"]), w.day_band).join(
-            cards.select("trip_id", "transaction_date", "description").distinct(),
+            _first_group(cards, ["transaction_date", "description"]),
             ["trip_id", "transaction_date"],
         )
     ).withColumn("kind", F.lit("date"))
@@ -388,7 +393,7 @@ def evidence_pairs(receipts: DataFrame, cards: DataFrame, w: Weights = CARD_CENT
     by_amount = (
         _receipt_amount_keys(_earliest(receipts, r_amount), w)
         .join(
-            _card_amount_keys(cards.select("trip_id", *c_amount).distinct(), w),
+            _card_amount_keys(_first_group(cards, c_amount), w),
             ["trip_id", "way", "bucket"],
         )
         .withColumns({"receipt_date": null_date, "transaction_date": null_date, "kind": F.lit("amount")})
@@ -397,7 +402,7 @@ def evidence_pairs(receipts: DataFrame, cards: DataFrame, w: Weights = CARD_CENT
     by_both = (
         _near_days(_receipt_amount_keys(_earliest(receipts, ["receipt_date", *r_amount]), w), w.day_band)
         .join(
-            _card_amount_keys(cards.select("trip_id", *CARD_FEATURES).distinct(), w),
+            _card_amount_keys(_first_group(cards, CARD_FEATURES), w),
             ["trip_id", "way", "bucket", "transaction_date"],
         )
         .withColumn("kind", F.lit("both"))
@@ -406,21 +411,41 @@ def evidence_pairs(receipts: DataFrame, cards: DataFrame, w: Weights = CARD_CENT
     by_word = _no_amounts(
         _vendor_words(_earliest(receipts, ["vendor"]))
         .join(
-            _description_grams(cards.select("trip_id", "description").distinct()), ["trip_id", "gram"]
+            _description_grams(_first_group(cards, ["description"])), ["trip_id", "gram"]
         )
         .withColumns({"receipt_date": null_date, "transaction_date": null_date, "kind": F.lit("word")})
     )
 
     cols = [
-        "kind", "trip_id", "first", "vendor", "receipt_date", "currency", "share", "estimated_cad",
+        "kind", "trip_id", "first", "first_group", "vendor", "receipt_date", "currency", "share", "estimated_cad",
         "transaction_date", "description", "purchase_abs", "purchase_currency", "cad_abs",
     ]
     points, _ = amount_points(w)
     with_amount = by_amount.select(cols).unionByName(by_both.select(cols)).filter(points > 0)
     pairs = by_date.select(cols).unionByName(by_word.select(cols)).unionByName(with_amount)
+    # A pair may meet by more than one way or letter group; the aggregates that follow absorb repeats.
     return score_pairs(_reachable(pairs, w), w).filter(F.col("score") >= _d(SUGGEST))
 
 
+# Features each kind of evidence uses: (receipt side, card side)
+KIND_FEATURES = {
+    "date": (["receipt_date", "vendor"], ["transaction_date", "description"]),
+    "amount": (
+        ["currency", "share", "estimated_cad", "vendor"],
+        ["description", "purchase_abs", "purchase_currency", "cad_abs"],
+    ),
+    "both": (["receipt_date", "currency", "share", "estimated_cad", "vendor"], CARD_FEATURES),
+    "word": (["vendor"], ["description"]),
+}
+
+
+def _equal(left: str, right: str, keys: list[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return cond
+
+
 def best_match(receipts: DataFrame, groups: DataFrame, w: Weights = CARD_CENTRIC) -> DataFrame:
     """RNK1: best receipt of each eligible group, ties to the earliest receipt; score >= .35.
 
@@ -437,20 +462,11 @@ def best_match(receipts: DataFrame, groups: DataFrame, w: Weights = CARD_CENTRIC
         .agg(F.min_by(F.struct("score", "similarity", "first"), order).alias("b"))
     )
     distinct_cards = cards.select("trip_id", "card_key", *CARD_FEATURES).distinct()
-    uses = {
-        "date": ["transaction_date", "description"],
-        "amount": ["description", "purchase_abs", "purchase_currency", "cad_abs"],
-        "both": CARD_FEATURES,
-        "word": ["description"],
-    }
     found = None
-    for kind, keys in uses.items():
+    for kind, (_, keys) in KIND_FEATURES.items():
         part = best.filter(F.col("kind") == kind).select("trip_id", *keys, "b").alias("p")
         c = distinct_cards.alias("c")
-        on = [F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}")) for k in ["trip_id", *keys]]
-        cond = on[0]
-        for item in on[1:]:
-            cond = cond & item
+        cond = _equal("c", "p", ["trip_id", *keys])
         hit = c.join(part, cond).select("c.trip_id", "c.card_key", "p.b")
         found = hit if found is None else found.unionByName(hit)
     top = found.groupBy("trip_id", "card_key").agg(
@@ -535,18 +551,33 @@ def match_groups(receipts: DataFrame, groups: DataFrame) -> DataFrame:
 def suggestions(receipts: DataFrame, matched: DataFrame, top: int = 12) -> DataFrame:
     """RNK4: per receipt the current, suggested and likely card groups, best twelve.
 
-    Here every likely group of a receipt counts, so receipts are not collapsed. The list is cut
-    by a windowed rank limit, which Spark applies per task before the shuffle as well, so the
-    candidates of one receipt never gather uncut.
+    Distinct receipt features meet distinct card features; each receipt feature row keeps its best
+    ``top`` card feature rows per kind of evidence, and each of those its first ``top`` groups.
+    Every group left out has ``top`` better ones, so the final list is exact, and what reaches a
+    receipt is bounded by a constant. Rank limits run before the shuffle of their window too.
     """
     w = RECEIPT_CENTRIC
     cards = card_rows(matched)
-    features = evidence_pairs_by_receipt(receipts, cards, w)
+    pairs = evidence_pairs(receipts, cards, w).withColumn("score", F.round("score", 3))
     status = matched.select("trip_id", "group_id", "matched_file", "suggested_file")
-    likely = features.select("trip_id", "source_file", "card_key").distinct()
-    wanted = likely.join(cards.select("trip_id", "card_key", "group_id"), ["trip_id", "card_key"]).select(
-        "trip_id", "source_file", "group_id"
-    )
+    wanted = None
+    for kind, (r_keys, c_keys) in KIND_FEATURES.items():
+        best = Window.partitionBy("trip_id", *r_keys).orderBy(F.col("score").desc(), "first_group")
+        found = pairs.filter(F.col("kind") == kind).groupBy("trip_id", *r_keys, *c_keys).agg(
+            F.max("score").alias("score"), F.min("first_group").alias("first_group")
+        )
+        kept = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= top).alias("p")
+        early = Window.partitionBy("trip_id", *c_keys).orderBy("group_id")
+        c = cards.withColumn("_g", F.row_number().over(early)).filter(F.col("_g") <= top).alias("c")
+        part = (
+            receipts.alias("r")
+            .join(kept, _equal("r", "p", ["trip_id", *r_keys]))
+            .select("r.source_file", "p.trip_id", *[f"p.{k}" for k in c_keys])
+            .alias("q")
+            .join(c, _equal("q", "c", ["trip_id", *c_keys]))
+            .select("q.trip_id", "q.source_file", "c.group_id")
+        )
+        wanted = part if wanted is None else wanted.unionByName(part)
     eligible = status.join(cards.select("trip_id", "group_id"), ["trip_id", "group_id"])
     named = eligible.select("trip_id", F.col("matched_file").alias("source_file"), "group_id").unionByName(
         eligible.select("trip_id", F.col("suggested_file").alias("source_file"), "group_id")
@@ -575,34 +606,12 @@ def suggestions(receipts: DataFrame, matched: DataFrame, top: int = 12) -> DataF
         .otherwise(F.lit(""))
         .alias("reason"),
     )
-    from pyspark.sql import Window
-
     order = Window.partitionBy("trip_id", "source_file").orderBy(
         F.col("current").desc(), F.col("suggested").desc(), F.col("likely").desc(), F.col("score").desc(), "group_id"
     )
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
-def evidence_pairs_by_receipt(receipts: DataFrame, cards: DataFrame, w: Weights) -> DataFrame:
-    """(receipt, card feature row) pairs with evidence; the receipt-centric twin of the joins above."""
-    c_amount = ["description", "purchase_abs", "purchase_currency", "cad_abs"]
-    keys = ["trip_id", "source_file", "card_key"]
-    r = receipts.drop("file_key")
-    distinct_cards = cards.select("trip_id", "card_key", *CARD_FEATURES).distinct()
-    by_date = _near_days(r, w.day_band).join(distinct_cards, ["trip_id", "transaction_date"])
-    by_amount = _receipt_amount_keys(r, w).join(
-        _card_amount_keys(distinct_cards, w), ["trip_id", "way", "bucket"]
-    )
-    # Text alone stays below the threshold of this rule (.25 + .10 only reaches it at similarity 1),
-    # so the word join is needed for equal texts only.
-    by_text = r.withColumn("description", F.col("vendor")).filter("vendor <> ''").join(
-        distinct_cards, ["trip_id", "description"]
-    )
-    cols = [*keys, "vendor", "receipt_date", "currency", "share", "estimated_cad", "transaction_date", *c_amount]
-    pairs = by_date.select(cols).unionByName(by_amount.select(cols)).unionByName(by_text.select(cols))
-    return _reachable(pairs, w).select(keys)
-
-
 # ------------------------------------------------------------------ incremental scope
 
 

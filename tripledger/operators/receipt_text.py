@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.functions.aggs import append_note
-from tripledger.functions.cleaners import MONTHS, contains_any, title_words
+from tripledger.functions.cleaners import MONTHS, bind, contains_any, title_words
 from tripledger.functions.money_text import ADDITIVE, CURRENCIES, OPEN, line_info, strip_tokens
 
 AMOUNT = "decimal(18,2)"
@@ -237,11 +237,9 @@ def _subtotal_plus_extras(info: Column, inferred: Column) -> Column:
 def find_total(info: Column, inferred: Column) -> Column:
     """TXT6: struct(amount, currency). Highest weight, then amount, then earliest line."""
 
-    def candidates(x: Column, i: Column) -> Column:
-        line = x["text"]
+    def facts(line: Column) -> Column:
         category = is_category_total(line)
         strong = line.rlike(r"(?iU)\b(grand total|total amount|amount paid|balance due|total)\b") & ~category
-        marker = line.contains("$") | line.rlike(rf"(?iU)\b({CODES})\b")
         weight = (
             F.when(strong, 50)
             .when(category, 8)
@@ -260,21 +258,31 @@ def find_total(info: Column, inferred: Column) -> Column:
                 line.rlike(r"(?iU)\b(subtotal|tax|gst|tip|gratuity|discount|change|surcharge|service fee)\b"), 5
             ).otherwise(0)
         )
+        return F.struct(
+            weight.alias("weight"),
+            strong.alias("strong"),
+            (line.contains("$") | line.rlike(rf"(?iU)\b({CODES})\b")).alias("marker"),
+            (~is_metadata(line) | strong).alias("counts"),
+        )
 
-        def one(m: Column) -> Column:
+    def candidates(x: Column, i: Column) -> Column:
+        def one(m: Column, f: Column) -> Column:
             cur = normalize_currency(m["currency"], inferred)
-            dropped = F.coalesce((cur == "AUD") & (m["amount"] > 5000) & ~strong, F.lit(False))
-            ok = (m["amount"] > 0) & ~dropped & ((weight > 0) | marker | m["currency"].isNotNull())
+            dropped = F.coalesce((cur == "AUD") & (m["amount"] > 5000) & ~f["strong"], F.lit(False))
+            ok = (m["amount"] > 0) & ~dropped & ((f["weight"] > 0) | f["marker"] | m["currency"].isNotNull())
             return F.when(
                 ok,
                 F.struct(
-                    weight.alias("weight"), m["amount"].alias("amount"), (-i).alias("place"),
+                    f["weight"].alias("weight"), m["amount"].alias("amount"), (-i).alias("place"),
                     F.coalesce(cur, F.lit("")).alias("currency"),
                 ),
             )
 
-        kept = F.array_compact(F.transform(x["money"], one))
-        return F.when(~is_metadata(line) | strong, kept)
+        priced = bind(
+            facts(x["text"]),
+            lambda f: F.when(f["counts"], F.array_compact(F.transform(x["money"], lambda m: one(m, f)))),
+        )
+        return F.when(F.size(x["money"]) > 0, priced)
 
     every = F.flatten(F.array_compact(F.transform(info, candidates)))
     best = F.array_max(every)

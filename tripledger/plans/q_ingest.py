@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripledger.functions.cleaners import normalize_key
-from tripledger.functions.materialize import materialize
+from tripledger.functions.materialize import materialize, spread
 from tripledger.operators import layout, normalizers
 from tripledger.plans.bindings import oracle, table, view
 from tripledger.plans.registry import query
@@ -21,7 +21,7 @@ def file_oracle(body: str) -> str:
 
 
 def _cells(spark, d):
-    lines = view(spark, d, "statement_lines")
+    lines = spread(view(spark, d, "statement_lines"))
     return source.split_cells(lines, source.detect_delimiter(lines))
 
 
@@ -285,7 +285,7 @@ def _leg_oracle(p: int, **c: str) -> str:
 
 def _normalized(provider: str):
     def run(spark, d):
-        lines = view(spark, d, "statement_lines")
+        lines = spread(view(spark, d, "statement_lines"))
         rows = source.split_cells(lines, source.detect_delimiter(lines))
         if provider == "generic":
             _, named = _named(spark, d)

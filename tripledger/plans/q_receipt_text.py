@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripledger.functions import cleaners
+from tripledger.functions.materialize import spread
 from tripledger.operators import alcohol, lines, receipt_text
 from tripledger.plans.bindings import oracle, table, view
 from tripledger.plans.registry import query
@@ -18,7 +19,7 @@ def text_oracle(body: str) -> str:
 
 
 def _extracted(spark, d):
-    return receipt_text.extract_receipts(view(spark, d, "receipt_text").select(*KEY, "raw_text", "method"))
+    return receipt_text.extract_receipts(spread(view(spark, d, "receipt_text").select(*KEY, "raw_text", "method")))
 
 
 @query(
@@ -185,7 +186,7 @@ FROM receipt_lines""",
     ),
 )
 def _(spark, d):
-    return alcohol.detect_alcohol(view(spark, d, "receipt_lines")).select(
+    return alcohol.detect_alcohol(spread(view(spark, d, "receipt_lines"))).select(
         *KEY, "pos", "is_alcohol", "alcohol_matched_term", "alcohol_confidence"
     )
 
