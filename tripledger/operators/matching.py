@@ -264,6 +264,20 @@ def _near_days(rows: DataFrame, band: int) -> DataFrame:
     )
 
 
+def _day_block(day: Column, band: int) -> Column:
+    return F.floor(F.unix_date(day) / F.lit(2 * band + 1)).cast("int")
+
+
+def _card_blocks(rows: DataFrame, band: int) -> DataFrame:
+    """Card rows in the one or two day blocks that dates within the band can fall into."""
+    ends = F.array_distinct(
+        F.array(
+            _day_block(F.date_sub("transaction_date", band), band), _day_block(F.date_add("transaction_date", band), band)
+        )
+    )
+    return rows.filter(F.col("transaction_date").isNotNull()).withColumn("block", F.explode(ends))
+
+
 def _receipt_amount_keys(rows: DataFrame, w: Weights) -> DataFrame:
     """One row per way a receipt amount can agree with a card amount, with its bucket."""
     share = amount_bucket(F.col("share"))
@@ -400,11 +414,14 @@ def evidence_pairs(receipts: DataFrame, cards: DataFrame, w: Weights = CARD_CENT
     )
 
     by_both = (
-        _near_days(_receipt_amount_keys(_earliest(receipts, ["receipt_date", *r_amount]), w), w.day_band)
+        _receipt_amount_keys(_earliest(receipts, ["receipt_date", *r_amount]), w)
+        .filter(F.col("receipt_date").isNotNull())
+        .withColumn("block", _day_block(F.col("receipt_date"), w.day_band))
         .join(
-            _card_amount_keys(_first_group(cards, CARD_FEATURES), w),
-            ["trip_id", "way", "bucket", "transaction_date"],
+            _card_blocks(_card_amount_keys(_first_group(cards, CARD_FEATURES), w), w.day_band),
+            ["trip_id", "way", "bucket", "block"],
         )
+        .filter(days_apart(F.col("receipt_date"), F.col("transaction_date")) <= w.day_band)
         .withColumn("kind", F.lit("both"))
     )
 
