@@ -159,21 +159,34 @@ def estimate_receipt_cad(receipts: DataFrame, groups: DataFrame, rates: DataFram
         .select("trip_id", "currency", "share")
         .distinct()
     )
+    # Fifteen-day blocks: a date within seven days of a row lies in one of the two blocks of that row.
+    block = lambda day: F.floor(F.unix_date(day) / F.lit(15)).cast("int")
     cad_days = (
         groups.filter(F.col("cad_amount").isNotNull() & F.col("transaction_date").isNotNull())
         .select("trip_id", "transaction_date")
         .distinct()
-        .select(
-            "trip_id",
+        .withColumn(
+            "_block",
             F.explode(
-                F.sequence(F.date_sub("transaction_date", 7), F.date_add("transaction_date", 7))
-            ).alias("receipt_date"),
+                F.array_distinct(
+                    F.array(block(F.date_sub("transaction_date", 7)), block(F.date_add("transaction_date", 7)))
+                )
+            ),
         )
-        .distinct()
+        .alias("d")
     )
-    open_receipts = asked.join(exact, ["trip_id", "currency", "share"], "left_anti").join(
-        cad_days, ["trip_id", "receipt_date"], "left_semi"
+    unmatched = (
+        asked.join(exact, ["trip_id", "currency", "share"], "left_anti")
+        .withColumn("_block", block(F.col("receipt_date")))
+        .alias("r")
     )
+    open_receipts = unmatched.join(
+        cad_days,
+        (F.col("r.trip_id") == F.col("d.trip_id"))
+        & (F.col("r._block") == F.col("d._block"))
+        & (F.abs(F.date_diff(F.col("r.receipt_date"), F.col("d.transaction_date"))) <= 7),
+        "left_semi",
+    ).drop("_block")
     return (
         attach_rates(open_receipts, rates, "currency", "receipt_date")
         .filter(F.col("fx_rate").isNotNull())
