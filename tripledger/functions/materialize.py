@@ -9,24 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a session in one process (local master) gets a folder of its own; on a cluster a
+    machine-local folder would lose rows, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tripledger-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed by the file system client when the session's process ends."""
+    path = f"{shared_folder(spark)}/tripledger-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write the table once to the shared folder and read it back.
 
     A written table survives the loss of executors, has no lineage, keeps column pruning and
     gives the optimizer its real size for later join choices.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tripledger-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
