@@ -31,15 +31,24 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write the table once to the shared folder and read it back.
 
     A written table survives the loss of executors, has no lineage, keeps column pruning and
-    gives the optimizer its real size for later join choices.
+    gives the optimizer its real size for later join choices. The shuffle files behind it are removed as
+    soon as it is written: nothing reads them again.
     """
-    path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
