@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tripledger.functions.materialize import scratch_path
-from tripledger.llm import bpe_codec, packing, token_files
+from tripledger.llm import bpe_codec, minhash, packing, quality, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: list[tuple[str, Query, str | None]] = []
@@ -28,6 +28,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@register()
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(documents(spark, sf_dir))
+
+
+@register()
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir))
+
+
 @register()
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), VOCABULARY, end_id=0, capacity=SEQUENCE), SEQUENCE)
