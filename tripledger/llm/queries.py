@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tripledger.functions.materialize import scratch_path
-from tripledger.llm import bpe_codec, minhash, packing, quality, suffix_dedup, token_files
+from tripledger.llm import bpe_codec, minhash, packing, pii, quality, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: list[tuple[str, Query, str | None]] = []
@@ -43,6 +43,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), VOCABULARY, end_id=0, capacity=SEQUENCE), SEQUENCE)
 
 
+@register()
+def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
 @register()
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove(documents(spark, sf_dir)))
