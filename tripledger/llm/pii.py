@@ -2,7 +2,7 @@
 
 The base patterns decide by format and check digits. Looser generators propose more spans, also overlapping ones.
 Trees are fitted on all proposals, labelled by whether the base confirms them, from format and context
-features; for each kind, the threshold is the lowest score above which the base confirms enough of them.
+features; scores are calibrated to the share that the base confirms, and each kind keeps those of a high share.
 """
 
 from __future__ import annotations
@@ -153,6 +153,17 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
 
 
+def calibrated(levels: dict[float, list[float]]) -> list[tuple[float, float]]:
+    """(lowest score, share of label 1) of pooled score levels, highest first: neighbours are pooled until the shares fall with the score."""
+    pools: list[list[float]] = []
+    for s in sorted(levels, reverse=True):
+        pools.append([s, *levels[s]])
+        while len(pools) > 1 and pools[-1][2] * (pools[-2][1] + pools[-2][2]) >= pools[-2][2] * (pools[-1][1] + pools[-1][2]):
+            low = pools.pop()
+            pools[-1] = [low[0], pools[-1][1] + low[1], pools[-1][2] + low[2]]
+    return [(s, ones / (zeros + ones)) for s, zeros, ones in pools]
+
+
 class Scorer:
     """Trees and a threshold for each kind."""
 
@@ -165,11 +176,9 @@ class Scorer:
             for s, n0, n1 in own:
                 levels[s][0] += n0
                 levels[s][1] += n1
-            zeros = ones = 0.0
-            for s in sorted(levels, reverse=True):
-                zeros, ones = zeros + levels[s][0], ones + levels[s][1]
-                if ones >= precision * (zeros + ones) and ones > 0:
-                    self.thresholds[kind_no] = s
+            passing = [least for least, rate in calibrated(levels) if rate >= precision]
+            if passing:
+                self.thresholds[kind_no] = min(passing)
 
     def selects(self, span: Column) -> Column:
         odds = boosting.log_odds(self.trees, [F.get(span["x"], F.lit(i)) for i in range(len(_FEATURES))])
