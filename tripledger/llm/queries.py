@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tripledger.functions.materialize import scratch_path
-from tripledger.llm import bpe_codec, minhash, packing, pii, quality, suffix_dedup, token_files
+from tripledger.llm import bpe_codec, language, minhash, packing, pii, quality, simhash, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: list[tuple[str, Query, str | None]] = []
@@ -33,6 +34,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(documents(spark, sf_dir))
 
 
+@register()
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprints(documents(spark, sf_dir))
+
+
 @register()
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir))
@@ -63,3 +69,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark)
     token_files.write(documents(spark, sf_dir), VOCABULARY, end_id=1, folder=folder)
     return token_files.digest(token_files.read(spark, folder))
+
+
+@register()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.predict(docs, language.fit(language.learning_rows(docs))).withColumn(
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    )
