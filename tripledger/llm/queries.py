@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.functions.materialize import scratch_path
-from tripledger.llm import bpe_codec, language, minhash, packing, pii, quality, simhash, suffix_dedup, token_files
+from tripledger.llm import bpe_codec, language, licenses, minhash, packing, pii, quality, simhash, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: list[tuple[str, Query, str | None]] = []
@@ -39,6 +39,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprints(documents(spark, sf_dir))
 
 
+@register()
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document lies in the directory of its source, language and block of fifty ids."""
+    block = F.floor(F.col("doc_id") / 50).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), block, F.col("doc_id").cast("string"))
+    return licenses.scan(documents(spark, sf_dir).withColumn("path", path))
+
+
 @register()
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir))

@@ -289,9 +289,10 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, with_columns: bool = False) -> DataFrame:
-    """Each document without its repeated passages: (key, n_bytes, n_removed, n_spans, kept binary).
+    """Each document without its repeated passages: (key, n_bytes, n_removed, n_spans, kept binary, kept_text).
 
-    key is a struct of doc_id, or with with_columns of all columns of docs, so that none can clash. docs: doc_id, text. A byte goes if a 50-byte string over it starts in a document with a smaller
+    key is a struct of doc_id, or with with_columns of all columns of docs, so that none can clash; kept_text, given only then, is
+    kept without the characters that lost some of their bytes. docs: doc_id, text. A byte goes if a 50-byte string over it starts in a document with a smaller
     doc_id too; rows with the same doc_id don't count as smaller, and a row without doc_id is left whole. Texts under 50
     bytes and null texts (empty) lose nothing. An empty table gives an empty one.
     """
@@ -310,7 +311,8 @@ def remove(docs: DataFrame, with_columns: bool = False) -> DataFrame:
             spans.append(len(runs))
             kept.append(b"".join([*parts, raw[at:]]))
         columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(kept, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "n_removed", "n_spans", "kept"])
+        columns.append(pa.array([k.decode("utf-8", "ignore") if with_columns else None for k in kept], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
 
     gone = repeats(docs.select("doc_id", "text")).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     rows = docs.select(F.struct(*docs.columns).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
@@ -318,7 +320,7 @@ def remove(docs: DataFrame, with_columns: bool = False) -> DataFrame:
         rows = rows.withColumn("key", F.struct("doc_id"))
     keyed = rows.join(gone, ["doc_id", "text_hash"], "left").select("key", "text", "gone")
     kind = keyed.schema["key"].dataType.simpleString()
-    return map_rows(keyed, make, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_rows(keyed, make, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
 
 
 def digest(removed: DataFrame) -> DataFrame:
