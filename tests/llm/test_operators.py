@@ -89,6 +89,23 @@ def test_a_group_of_chained_copies_costs_links_in_proportion(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_copies(docs).collect()} == want
 
 
+@pytest.mark.parametrize("block", [4, 2_048])
+def test_blocks_of_a_bucket_give_every_promising_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(30):
+        bits = np.zeros(512, np.uint8)
+        bits[rng.choice(512, 4 * k, replace=False)] = 1
+        rows.append((k % 2, k, k // 3, 100 + k, np.packbits(bits).view(">u8").astype(np.uint64).view(np.int64).tolist()))
+    most = minhash.sketch_bits(0.75 - minhash.SKETCH_MARGIN)
+    differ = lambda a, b: sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(a[4], b[4], strict=True))
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[2] != b[2] and 100 * a[3] >= 75 * b[3] and differ(a, b) <= most}
+    members = spark.createDataFrame(rows, "bucket long, node long, root long, n_shingles long, sketch array<long>")
+    got = minhash.blockwise(members, 75).collect()
+    assert want and {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
 def test_sketches_estimate_high_similarities(spark):
     one = np.arange(1, 1_001, dtype=np.uint64)
     for share in (0.75, 0.9, 0.98):

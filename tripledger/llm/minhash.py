@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from math import log
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -121,8 +121,79 @@ def sketch_similarity(a: str, b: str) -> Column:
     return 1.0 + SKETCH_BITS / (4.0 * BANDS * ROWS_PER_BAND) * F.log(left)
 
 
-#: Six standard deviations of the estimate at the threshold stay in.
-SKETCH_MARGIN = 0.27
+#: Four standard deviations of the estimate at the threshold stay in.
+SKETCH_MARGIN = 0.18
+#: Members of a bucket that are compared with each other in one piece.
+BLOCK = 2_048
+
+
+def sketch_bits(similarity: float) -> int:
+    """The most bits in which two sketches of at least that estimated similarity differ."""
+    return int(SKETCH_BITS * (1 - exp(-4 * BANDS * ROWS_PER_BAND * (1 - similarity) / SKETCH_BITS)) / 2)
+
+
+def blockwise(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different root in one bucket whose sizes and sketches let them reach the threshold.
+
+    members: bucket, node, root, n_shingles, sketch. Members of a bucket are dealt over parts of about BLOCK rows, and each pair
+    of parts is compared as bit matrices; only promising pairs leave it.
+    """
+    most = sketch_bits(percent / 100 - SKETCH_MARGIN)
+
+    def compare(cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        node, root, size, mine, sketch = cells
+        n = len(node)
+        found_a, found_b = [], []
+        for at in range(0, n, 512):
+            here = slice(at, at + 512)
+            ok = root[here, None] != root[None, :]
+            ok &= node[here, None] < node[None, :]
+            if not mine.all():
+                ok &= mine[here, None] != mine[None, :]
+            low, high = np.minimum(size[here, None], size[None, :]), np.maximum(size[here, None], size[None, :])
+            ok &= 100 * low >= percent * high
+            i, j = np.nonzero(ok)
+            for cut in range(0, len(i), 200_000):
+                x, y = i[cut : cut + 200_000], j[cut : cut + 200_000]
+                near = np.bitwise_count(sketch[at + x] ^ sketch[y]).sum(axis=1) <= most
+                found_a.append(node[at + x[near]])
+                found_b.append(node[y[near]])
+        return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (node[:0], node[:0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def settle(columns: list[np.ndarray]) -> pa.RecordBatch:
+            cell, *rest = columns
+            edge = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
+            pairs = [compare([c[a:b] for c in rest]) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(cell)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs, strict=True)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+            columns = [cell, *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7)), batch.column(7).flatten().to_numpy().view(_U).reshape(batch.num_rows, -1)]
+            held.append(columns)
+            cell = np.concatenate([h[0] for h in held])
+            last = len(cell) - int(np.argmax((cell[::-1] != cell[-1]).any(axis=1))) if (cell != cell[-1]).any() else 0  # the last cell may go on
+            if last:
+                joined = [np.concatenate(x) for x in zip(*held, strict=True)]
+                yield settle([c[:last] for c in joined])
+                held = [[c[last:] for c in joined]]
+        if held:
+            yield settle([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    parts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = members.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # in a cell of two parts, pairs within one part are left to that part's own cell
+    cells = other.select(
+        "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node", "root", "n_shingles",
+        (F.col("part") == F.least("part", "other")).alias("first"), "sketch",
+    )
+    dealt_cells = cells.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return dealt_cells.mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -183,7 +254,7 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     Equal sets are one node, so copies are never paired. Within a bucket of a band, members are compared with its
     smallest node first and then, as far as they are not connected yet, with its largest; what is still
     apart after that is compared in full. So a group of copies costs links in proportion to its size.
-    A pair at the threshold shares no band with probability 2e-5.
+    A pair at the threshold shares no band with probability 2e-5, and its sketches lie further apart than the margin with 3e-5.
     """
     signed = materialize(signatures(docs.select("doc_id", "text")))
     known = signed.filter("doc_id is not null and set_key is not null")
@@ -220,9 +291,8 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     edges = materialize(edges.unionByName(confirmed(promising(toward("high", apart)), texts, percent)))
     root = components(edges)
     apart = materialize(_apart(members, root))
-    one, two = apart.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), apart.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = one.join(two, "bucket").filter("ra < rb").select("a", "b").distinct()
-    edges = edges.unionByName(confirmed(promising(rest), texts, percent))
+    rest = blockwise(apart.join(sketches, "node").select("bucket", "node", "root", "n_shingles", "sketch"), percent)
+    edges = edges.unionByName(confirmed(rest, texts, percent))
     root = materialize(components(edges))
 
     placed = nodes.select("set_key", "node").join(root, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
