@@ -198,7 +198,7 @@ def classify_credit(description: Column) -> Column:
 def title_words(text: Column) -> Column:
     return F.array_join(
         F.transform(
-            F.split(text, r"\s+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))
+            F.split(text, r"\s+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
         ),
         " ",
     )

@@ -52,10 +52,9 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a small input over the cores before CPU-heavy row work.
+    """Deal rows evenly over spark.sql.shuffle.partitions before CPU-heavy row work, at every size.
 
-    Only where the scan yields fewer tasks than the session has cores (one small file); a large
-    input already has more and is returned as it is, without a shuffle.
+    The rows are few bytes next to the work on them, and neither one large file nor small ones then decide
+    how many tasks share it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

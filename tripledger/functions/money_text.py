@@ -16,7 +16,7 @@ CUR = "|".join(CURRENCIES) + r"|AU\$|CA\$|\$"
 ADDITIVE = r"(?iU)\b(?:gst|tax|vat|surcharge|service\s+(?:fee|charge)|gratuity|tip)\b"
 
 OPEN, CLOSE = "\u0001", "\u0002"
-_FREE = f"(?![^{OPEN}{CLOSE}]{{0,400}}{CLOSE})"  # not inside a token; bounded, so linear in the line
+_FREE = f"(?![^{OPEN}{CLOSE}]*+{CLOSE})"  # not inside a token; looked at only behind an amount
 _AMT = r"-?(?:\d{1,3}(?:,\d{3})+|\d+,\d{2}|\d+)(?:\.\d{2})?"
 _BROKEN = rf"(?i)({CUR})\s*(\d+)\.\s+(\d{{2}})(?!\d)"
 _SPLIT = rf"(?i)({CUR})\s*(\d{{1,3}})\s+(\d+\.\d{{2}}){_FREE}"

@@ -22,6 +22,10 @@ def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
+# Otherwise the optimizer copies the call into the filters above it and runs it again for each pair.
+_ratio = _ratio.asNondeterministic()
+
+
 def text_similarity(left: Column, right: Column) -> Column:
     """Ratcliff-Obershelp ratio of two lower-cased texts, 0 when either is empty.
 

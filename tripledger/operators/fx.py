@@ -92,12 +92,15 @@ def attach_rates(rows: DataFrame, rates: DataFrame, currency: str, day: str) ->
         "_row_week", week_start(F.col(day))
     )
     is_cad = (F.col("_row_cur") == "CAD") & F.col("_row_week").isNotNull()
+    # only rows that need a rate meet the table; the others have no key, or all the same
+    asks = F.coalesce((F.col("_row_cur") != "CAD") & F.col("_row_week").isNotNull(), F.lit(False))
+    answered = keyed.filter(asks).join(
+        slim,
+        (F.col("_row_cur") == F.col("_cur")) & (F.col("_row_week") == F.col("_week")),
+        "left",
+    )
     return (
-        keyed.join(
-            slim,
-            (F.col("_row_cur") == F.col("_cur")) & (F.col("_row_week") == F.col("_week")),
-            "left",
-        )
+        answered.unionByName(keyed.filter(~asks), allowMissingColumns=True)
         .withColumn("fx_rate", F.when(is_cad, F.lit(1).cast(RATE)).otherwise(F.col("_rate")))
         .withColumn("fx_method", F.when(is_cad, F.lit("identity")).otherwise(F.col("_method")))
         .withColumn("fx_route", F.when(is_cad, F.lit("CAD→CAD")).otherwise(F.col("_route")))

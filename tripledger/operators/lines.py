@@ -371,14 +371,18 @@ def prorate_money(
     Rounded shares, the residual on the last row; all on the first row when no weight is
     positive. Sums and first/last rows are aggregates joined back, not a per-key window.
     """
-    w = F.greatest(F.lit(0), F.coalesce(F.col(weight), F.lit(0))).cast("decimal(14,2)")
+    w = F.greatest(F.lit(0), F.coalesce(F.col(weight), F.lit(0))).cast(MONEY)
+    cents = lambda c: (c.cast(MONEY) * 100).cast("decimal(18,0)")
     place = F.struct(*order)
     sums = rows.groupBy(*keys).agg(
         F.sum(w).alias("_w"), F.max(place).alias("_last"), F.min(place).alias("_first")
     )
+    # whole cents, half up: exact for every amount that a money column holds
+    whole = (F.col("_w") * 100).cast("decimal(26,0)")
+    rounded = F.call_function("div", 2 * F.abs(cents(F.col(total))) * cents(w) + whole, 2 * whole)
     share = F.when(
         F.col("_w") <= 0, F.when(place == F.col("_first"), F.col(total)).otherwise(_zero())
-    ).otherwise((F.col(total).cast("decimal(14,2)") * w / F.col("_w").cast("decimal(16,2)")).cast(MONEY))
+    ).otherwise((F.signum(F.col(total)).cast("decimal(1,0)") * rounded.cast("decimal(18,0)") * lit_dec("0.01", "decimal(2,2)")).cast(MONEY))
     shared = rows.join(sums, list(keys)).withColumn("_share", share.cast(MONEY))
     given = shared.groupBy(*keys).agg(F.sum("_share").alias("_given"))
     residual = F.when((place == F.col("_last")) & (F.col("_w") > 0), F.col(total) - F.col("_given")).otherwise(_zero())

@@ -565,8 +565,10 @@ def match_groups(receipts: DataFrame, groups: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ receipt-centric suggestions
 
 
-def suggestions(receipts: DataFrame, matched: DataFrame, top: int = 12) -> DataFrame:
-    """RNK4: per receipt the current, suggested and likely card groups, best twelve.
+def suggestions(receipts: DataFrame, matched: DataFrame, top: int = 12, left_out: DataFrame | None = None) -> DataFrame:
+    """RNK4: per receipt the current, suggested and likely card groups, best ``top`` (part of the rule).
+
+    left_out: (trip_id, group_id) of ignored and allocated groups, which are never suggested.
 
     Distinct receipt features meet distinct card features; each receipt feature row keeps its best
     ``top`` card feature rows per kind of evidence, and each of those its first ``top`` groups.
@@ -574,6 +576,8 @@ def suggestions(receipts: DataFrame, matched: DataFrame, top: int = 12) -> DataF
     receipt is bounded by a constant. Rank limits run before the shuffle of their window too.
     """
     w = RECEIPT_CENTRIC
+    if left_out is not None:
+        matched = matched.join(left_out.select("trip_id", "group_id").distinct(), ["trip_id", "group_id"], "left_anti")
     cards = card_rows(matched)
     pairs = evidence_pairs(receipts, cards, w).withColumn("score", F.round("score", 3))
     status = matched.select("trip_id", "group_id", "matched_file", "suggested_file")

@@ -44,9 +44,13 @@ def cleaned_description(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+def _has_stable_ids() -> Column:
+    return F.coalesce(F.col("provider").isin(*STABLE_ID_PROVIDERS), F.lit(False))
+
+
 def dedup_exact(legs: DataFrame) -> DataFrame:
-    """DED1: overlapping exports of stable-id providers keep the first copy of a leg."""
-    stable = F.col("provider").isin(*STABLE_ID_PROVIDERS)
+    """DED1: overlapping exports of stable-id providers keep the first copy of a leg; a leg without provider has no stable id."""
+    stable = _has_stable_ids()
     kept = first_row_per_key(legs.filter(stable), LEG_KEY, LEG_ORDER)
     return legs.filter(~stable).unionByName(kept)
 
@@ -74,17 +78,15 @@ def flag_possible_duplicates(legs: DataFrame) -> DataFrame:
     bulk) meet a small key table, and a key with very many copies is one row on that side, which
     AQE's skew join can split on the other.
     """
-    stable = F.col("provider").isin(*STABLE_ID_PROVIDERS)
-    keyed = legs.withColumn("dup_key", F.when(~stable, _weak_key()))
-    repeated = (
-        keyed.filter(~stable)
-        .groupBy("dup_key")
-        .agg(F.count("*").alias("copies"))
-        .filter("copies > 1")
-    )
+    stable = _has_stable_ids()
+    keyed = legs.filter(~stable).withColumn("dup_key", _weak_key())
+    repeated = keyed.groupBy("dup_key").agg(F.count("*").alias("copies")).filter("copies > 1")
+    # rows with stable ids have no key and stay out of the join
+    others = legs.filter(stable).select(F.lit(None).cast("string").alias("dup_key"), *legs.columns, F.lit(None).cast("bigint").alias("copies"))
     hit = F.col("copies").isNotNull()
     return (
         keyed.join(repeated, "dup_key", "left")
+        .unionByName(others)
         .withColumn(
             "normalization_status",
             F.when(hit, F.lit("possible_duplicate")).otherwise(F.col("normalization_status")),
