@@ -90,15 +90,14 @@ def _(spark, d):
     oracle("statement_base", "SELECT trip_id, k, iso AS transaction_date, words AS description FROM statement_base WHERE p = 4"),
 )
 def _(spark, d):
-    from tripledger.functions.materialize import shared_folder
-    import uuid
+    from tripledger.functions.materialize import scratch_path
 
     rows = view(spark, d, "statement_base").filter("p = 4").select(
         F.col("iso").alias("transaction_date"), F.col("words").alias("description"), F.col("amt").cast("string").alias("purchase_amount"),
         F.col("cur").alias("purchase_currency"), F.lit("").alias("cad_amount"), F.lit("").alias("transaction_type"), F.lit("").alias("posted_date"),
         F.col("trip_id").alias("account"), F.lit("Jo").alias("cardholder"), F.col("k").cast("string").alias("category"),
     )
-    path = f"{shared_folder(spark)}/standard-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     rows.write.option("header", True).csv(path)
     return source.read_standard_statements(spark, path).select(
         F.col("account").alias("trip_id"), F.col("category").cast("bigint").alias("k"), "transaction_date", "description"

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from tripledger.functions.materialize import materialize, shared_folder
+from tripledger.functions.materialize import materialize, scratch_path
 from tripledger.operators import claims, lines, manifest, reports
 from tripledger.plans import tables
 from tripledger.plans.bindings import oracle, view
@@ -264,17 +262,30 @@ def _(spark, d):
     return manifest.manifest_checks(receipts, report).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+def _written_manifest(spark, d):
+    path = scratch_path(spark)
+    source.write_manifest(*_manifest(spark, d), path)
+    return source.read_manifest(spark, path)
+
+
+@query("src9_manifest_source", claim_oracle("SELECT coalesce(vendor, '') AS vendor, count(*) AS n, CAST(sum(amount) AS DECIMAL(18,2)) AS total FROM expenses GROUP BY 1"))
+def _(spark, d):
+    """Receipt records of a written manifest, by vendor."""
+    receipts, _reports = _written_manifest(spark, d)
+    return (
+        receipts.select(F.get_json_object("value", "$.vendor").alias("vendor"), F.get_json_object("value", "$.total").cast("decimal(18,2)").alias("total"))
+        .groupBy(F.coalesce("vendor", F.lit("")).alias("vendor"))
+        .agg(F.count("*").alias("n"), F.sum("total").cast("decimal(18,2)").alias("total"))
+    )
+
+
 @query(
     "snk1_manifest_sink",
     claim_oracle("SELECT 'receipt' AS kind, count(*) AS n FROM expenses UNION ALL SELECT 'trip_report', count(*) FROM summary"),
 )
 def _(spark, d):
-    """Manifest lines written and read back by kind (SRC9)."""
-    receipts, report = _manifest(spark, d)
-    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
-    rows = manifest.json_lines(receipts).unionByName(manifest.json_lines(report))
-    rows.select("value").write.text(path)
-    r, t = source.read_manifest(spark, path)
+    """Manifest lines written and read back by kind."""
+    r, t = _written_manifest(spark, d)
     return r.select(F.lit("receipt").alias("kind")).unionByName(t.select(F.lit("trip_report").alias("kind"))).groupBy("kind").agg(
         F.count("*").alias("n")
     )
@@ -283,7 +294,7 @@ def _(spark, d):
 @query("snk2_table_sinks", claim_oracle("SELECT trip_id, reviewed_total_cad FROM summary"))
 def _(spark, d):
     target = source.write_report(
-        claims.claim_summary(tables.expenses(spark, d)), f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}", "run-1"
+        claims.claim_summary(tables.expenses(spark, d)), scratch_path(spark), "run-1"
     )
     return spark.read.parquet(target).select("trip_id", "reviewed_total_cad")
 

@@ -161,6 +161,7 @@ def _(spark, d):
         "receipts receipt_lines trips",
         """, pr AS (SELECT trip_id, source_file, coalesce(sum(n) FILTER (severity = 'blocking'), 0) AS b, coalesce(sum(n) FILTER (severity = 'review'), 0) AS v FROM exceptions GROUP BY 1, 2)
 SELECT r.trip_id, count(*) AS receipt_count, count_if(coalesce(b, 0) > 0) AS blocking_receipts, count_if(coalesce(b, 0) = 0 AND coalesce(v, 0) > 0) AS review_receipts,
+       count_if(coalesce(b, 0) = 0 AND coalesce(v, 0) = 0) AS ready_receipts,
        CAST(coalesce(sum(b), 0) AS BIGINT) AS exception_blocking_count, CAST(coalesce(sum(v), 0) AS BIGINT) AS exception_review_count
 FROM receipts r LEFT JOIN pr ON pr.trip_id = r.trip_id AND pr.source_file = r.source_file GROUP BY 1""",
         LINES + "," + CATS,
@@ -168,7 +169,7 @@ FROM receipts r LEFT JOIN pr ON pr.trip_id = r.trip_id AND pr.source_file = r.so
 )
 def _(spark, d):
     receipts, out = _exceptions(spark, d)
-    return review.review_summary(receipts, out).drop("ready_receipts")
+    return review.review_summary(receipts, out)
 
 
 @query(
@@ -384,12 +385,12 @@ def _quality(spark, d, spoiled=True):
     return quality.extraction_quality(truth.drop("expense_type"), found.drop("expense_type"), sums, problems)
 
 
-@query("qlt1_extraction_quality", oracle("receipts", "SELECT field, expected, present, correct FROM q", QLT))
+@query("qlt1_extraction_quality", oracle("receipts", "SELECT field, expected, present, correct FROM q UNION ALL SELECT NULL, CAST(sum(expected) AS BIGINT), CAST(sum(present) AS BIGINT), CAST(sum(correct) AS BIGINT) FROM q", QLT))
 def _(spark, d):
-    return _quality(spark, d).filter("field is not null").select("field", "expected", "present", "correct")
+    return _quality(spark, d).select("field", "expected", "present", "correct")
 
 
-@query("qlt2_compare_quality", oracle("receipts", "SELECT field, CAST(expected - correct AS BIGINT) AS correct_delta FROM q", QLT))
+@query("qlt2_compare_quality", oracle("receipts", "SELECT field, CAST(expected - correct AS BIGINT) AS correct_delta FROM q UNION ALL SELECT NULL, CAST(sum(expected - correct) AS BIGINT) FROM q", QLT))
 def _(spark, d):
     out = quality.compare_quality(_quality(spark, d), _quality(spark, d, spoiled=False))
-    return out.filter("field is not null").select("field", "correct_delta")
+    return out.select("field", "correct_delta")
