@@ -171,8 +171,14 @@ def verdicts(docs: DataFrame, keep_above: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, keep_above: float = 0.5) -> DataFrame:
-    """The rows of docs (all columns) that pass the base and whose posterior is high enough."""
-    rows = signals(docs.select(F.struct(*docs.columns).alias("key"), "text")).withColumn("votes", votes())
-    patterns = materialize(fit(signals(docs.select(F.lit(1).alias("key"), "text")).select(votes().alias("votes"))))
-    judged = rows.join(patterns.withColumnRenamed("votes", "pattern"), F.col("votes") == F.col("pattern"))
-    return judged.filter(~base_failed() & (F.col("p_good") > keep_above)).select("key.*")
+    """The rows of docs (all columns) that pass the base and whose posterior is high enough.
+
+    Counts are made once and written; the verdicts meet the rows by doc_id and a hash of the text, so equal rows share theirs.
+    """
+    key = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+    voted = materialize(signals(docs.select(key.alias("key"), "text")).withColumn("votes", votes()))
+    judged = voted.join(materialize(fit(voted)), "votes").filter(~base_failed() & (F.col("p_good") > keep_above))
+    kept = judged.select(F.col("key").alias("kept_key")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    same = F.col("key.doc_id").eqNullSafe(F.col("kept_key.doc_id")) & (F.col("key.text_hash") == F.col("kept_key.text_hash"))
+    return rows.join(kept, same, "left_semi").select("row.*")
