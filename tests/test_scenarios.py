@@ -341,3 +341,61 @@ def test_detected_layout(spark):
     assert (found.provider, found.header_row) == ("bmo", 2)
     named = layout.named_rows(cells, layout.headers(cells, layout.detect_provider(cells)))
     assert normalizers.normalize_bmo(named).collect()[0].purchase_amount == D("5.00")
+
+
+def test_leg_without_provider_is_kept_and_flagged_when_repeated(spark):
+    table = legs_table(spark, leg(provider=None, leg_id="a"), leg(provider=None, leg_id="b", source_row=2), leg(provider="wise", leg_id="c", description="other"))
+    assert statements.dedup_exact(table).count() == 3
+    flagged = {r.leg_id: r.copies for r in statements.flag_possible_duplicates(table).collect()}
+    assert flagged["a"] == flagged["b"] == 2
+
+
+def test_quoted_cells_may_hold_line_breaks(spark, tmp_path):
+    (tmp_path / "T1").mkdir()
+    (tmp_path / "T1" / "a.csv").write_text('date,text\n2026-01-01,"one\ntwo, ""three"""\n2026-01-02,5" pipe\nlast,"x"', newline="")
+    lines_ = source.file_lines(source.scan_files(spark, str(tmp_path)))
+    cells = source.split_cells(lines_, source.detect_delimiter(lines_))
+    assert [r.cells for r in cells.orderBy("row_no").collect()] == [
+        ["date", "text"], ["2026-01-01", 'one\ntwo, "three"'], ["2026-01-02", '5" pipe'], ["last", "x"],
+    ]
+
+
+@pytest.mark.parametrize("text", ["", "a", "a\n", "a\r\nb\rc\n\nd", "\n\n", 'x "y" z\n"'])
+def test_records_without_quoted_cells_are_lines(spark, text):
+    import re
+
+    got = spark.createDataFrame([(text,)], "t string").select(source.records(F.col("t")).alias("r")).first().r
+    assert got == re.split(r"\r\n|\n|\r", text)
+
+
+def test_nested_receipt_folders_keep_relative_names(spark, tmp_path):
+    from tripledger.sources import tables as receipt_source
+
+    for name in ("T1/a.txt", "T1/day 2/a.txt", "T2/x/y/b.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    got = {(r.trip_id, r.raw_text.split("/", 1)[1].replace(" ", "%20")) for r in receipt_source.read_receipt_texts(spark, str(tmp_path)).collect() if r.source_file.replace(" ", "%20") == r.raw_text.split("/", 1)[1].replace(" ", "%20")}
+    assert got == {("T1", "a.txt"), ("T1", "day%202/a.txt"), ("T2", "x/y/b.txt")}
+
+
+def test_long_words_keep_their_tail(spark):
+    word = "x" * 1_500
+    assert spark.createDataFrame([(word,)], "t string").select(cleaners.title_words(F.col("t"))).first()[0] == "X" + word[1:]
+
+
+def test_prorated_amounts_of_any_size(spark):
+    big = D("9000000000000000.01")
+    table = spark.createDataFrame([("k", i, big, D(w)) for i, w in enumerate(["1", "2000000000000000", "3.5"])], "k string, i int, total decimal(18,2), w decimal(18,2)")
+    out = {r.i: r.out for r in lines.prorate_money(table, ["k"], "total", "w", ["i"], "out").collect()}
+    assert sum(out.values()) == big
+    total = D(1) + D("2000000000000000") + D("3.5")
+    assert abs(out[0] - big * 1 / total) <= D("0.01")
+
+
+def test_suggestions_leave_out_ignored_and_allocated_groups(spark):
+    side = matching.receipt_side(spark.createDataFrame([("T", "a.pdf", DAY, "bistro", "meal", D("70"), "CAD", 1)], RECEIPT_SCHEMA))
+    groups = [("T", g, DAY, "bistro", D("70"), "CAD", D("70"), True, True, None, None) for g in ("g1", "g2", "g3")]
+    matched = spark.createDataFrame(groups, GROUP_SCHEMA + ", matched_file string, suggested_file string")
+    left_out = spark.createDataFrame([("T", "g2"), ("T", "g2")], "trip_id string, group_id string")
+    assert {r.group_id for r in matching.suggestions(side, matched).collect()} == {"g1", "g2", "g3"}
+    assert {r.group_id for r in matching.suggestions(side, matched, left_out=left_out).collect()} == {"g1", "g3"}

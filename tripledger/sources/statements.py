@@ -65,16 +65,28 @@ def decode_bytes(content: Column) -> tuple[Column, Column]:
     return text, encoding
 
 
+# A record ends at a line break outside its quoted cells; a quote elsewhere than around a whole cell is a plain letter.
+_CELL = r'(?:"(?:[^"]|"")*+"(?=[,;\t\r\n]|\z)|[^,;\t\r\n]*+)'
+RECORD = rf"(?:(?<![\s\S])|(?<=[\r\n])){_CELL}(?:[,;\t]{_CELL})*+(?:\r\n|\n|\r|\z)"
+
+
+def records(text: Column) -> Column:
+    """The records of a delimited text in order; cells in quotes may hold line breaks."""
+    return F.transform(F.regexp_extract_all(text, F.lit(RECORD), F.lit(0)), lambda r: F.regexp_replace(r, r"(?:\r\n|\n|\r)\z", ""))
+
+
 def file_lines(files: DataFrame) -> DataFrame:
-    """(trip_id, source_file, row_no, line) of decoded csv files; row_no starts at 1."""
+    """(trip_id, source_file, row_no, line) of decoded csv files, one row for each record; row_no starts at 1."""
     text, encoding = decode_bytes(F.col("content"))
     return files.filter("supported").select(
-        "trip_id", "source_file", encoding.alias("encoding"), F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("_p", "line")
+        "trip_id", "source_file", encoding.alias("encoding"), F.posexplode(records(text)).alias("_p", "line")
     ).select("trip_id", "source_file", "encoding", (F.col("_p") + 1).cast("bigint").alias("row_no"), "line")
 
 
-def _outside_quotes(sep: str) -> str:
-    return sep + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+def _cells(line: Column, sep: str) -> Column:
+    """The cells of a record: each starts behind a delimiter, and quotes count only around a whole cell. Linear in the record."""
+    pattern = rf'(?:(?<![\s\S])|(?<={sep}))(?:"(?:[^"]|"")*+"(?={sep}|\z)|[^{sep}]*+)'
+    return F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
 
 
 def _bare(sep: str) -> Column:
@@ -99,7 +111,7 @@ def detect_delimiter(lines: DataFrame) -> DataFrame:
                     F.struct(
                         F.lit(i).alias("choice"),
                         F.lit(sep).alias("delimiter"),
-                        F.size(F.split(_bare(sep), _outside_quotes(sep), -1)).alias("width"),
+                        F.size(_cells(_bare(sep), sep)).alias("width"),
                     )
                     for i, sep in enumerate(DELIMITERS)
                 ]
@@ -123,14 +135,14 @@ def split_cells(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
     joined = lines.join(delimiters, ["trip_id", "source_file"])
     line = F.col("line")
     inner = F.regexp_replace(F.expr("substring(line, 2, length(line) - 2)"), '""', '"')
-    alone = F.size(F.split(line, _outside_quotes(","), -1)) == 1
+    alone = F.size(_cells(line, ",")) == 1
     wrapped = (
         (F.col("delimiter") != ",") & (F.length(line) > 1) & line.startswith('"') & line.endswith('"') & alone
         & inner.contains(F.col("delimiter"))
     )
     plain = F.when(wrapped, inner).otherwise(line)
     cells = F.coalesce(
-        *[F.when(F.col("delimiter") == sep, F.split(plain, _outside_quotes(sep), -1)) for sep in DELIMITERS]
+        *[F.when(F.col("delimiter") == sep, _cells(plain, sep)) for sep in DELIMITERS]
     )
     unquoted = F.transform(
         cells,
