@@ -163,10 +163,25 @@ def _(spark, d):
 @query(
     "rpt8_review_checks",
     claim_oracle(
-        """SELECT trip_id, 'missing_cad' AS "check", count_if(in_company AND cad_amount_used IS NULL) AS value FROM expenses GROUP BY 1
-UNION ALL SELECT trip_id, 'missing_match', count_if(in_company AND manual_cad IS NULL AND NOT (cad_source LIKE 'statement%' OR cad_source LIKE 'allocation%')) FROM expenses GROUP BY 1
-UNION ALL SELECT trip_id, 'extraction', count_if(in_company AND (amount IS NULL OR receipt_date IS NULL)) FROM expenses GROUP BY 1"""
-    ),
+        """, tax AS (SELECT trip_id, source_file, coalesce(country, '') IN ('', 'Canada') AND (
+     (amount >= 100 AND gst_hst > 0 AND gst_hst_number = '') OR (amount >= 100 AND qst > 0 AND qst_number = '')
+     OR (currency = 'CAD' AND amount >= 500 AND (purchaser_name = '' OR payment_terms = '' OR description = ''))) AS review FROM receipts),
+counted AS (SELECT e.trip_id, CAST(coalesce(sum(CASE WHEN in_company THEN reimbursable_cad END), 0) AS DECIMAL(18,2)) AS reimbursement,
+   count_if(in_company AND cad_amount_used IS NULL) AS no_cad,
+   count_if(in_company AND manual_cad IS NULL AND NOT (cad_source LIKE 'statement%' OR cad_source LIKE 'allocation%')) AS no_match,
+   count_if(in_company AND coalesce(t.review, false)) AS tax_warnings,
+   count_if(in_company AND (amount IS NULL OR receipt_date IS NULL)) AS unread
+   FROM expenses e JOIN tax t ON t.trip_id = e.trip_id AND t.source_file = e.source_file GROUP BY 1),
+summed AS (SELECT c.*, CAST(coalesce(j.d, 0) AS DECIMAL(18,2)) AS debits FROM counted c
+   LEFT JOIN (SELECT trip_id, sum(amount_cad) AS d FROM journal GROUP BY 1) j ON j.trip_id = c.trip_id)
+SELECT trip_id, 'journal_debits' AS "check", debits AS value, '' AS status FROM summed
+UNION ALL SELECT trip_id, 'reimbursement', reimbursement, '' FROM summed
+UNION ALL SELECT trip_id, 'journal_difference', CAST(debits - reimbursement AS DECIMAL(18,2)), CASE WHEN abs(debits - reimbursement) < 0.01 THEN 'OK' ELSE 'REVIEW' END FROM summed
+UNION ALL SELECT trip_id, 'missing_cad', CAST(no_cad AS DECIMAL(18,2)), CASE WHEN no_cad = 0 THEN 'OK' ELSE 'REVIEW' END FROM summed
+UNION ALL SELECT trip_id, 'missing_match', CAST(no_match AS DECIMAL(18,2)), CASE WHEN no_match = 0 THEN 'OK' ELSE 'REVIEW' END FROM summed
+UNION ALL SELECT trip_id, 'tax_documentation', CAST(tax_warnings AS DECIMAL(18,2)), CASE WHEN tax_warnings = 0 THEN 'OK' ELSE 'REVIEW' END FROM summed
+UNION ALL SELECT trip_id, 'extraction', CAST(unread AS DECIMAL(18,2)), CASE WHEN unread = 0 THEN 'OK' ELSE 'REVIEW' END FROM summed"""
+    ).replace("\n, tax AS", ", tax AS"),
 )
 def _(spark, d):
     e = _expenses(spark, d)
@@ -176,9 +191,7 @@ def _(spark, d):
         )
     )
     out = reports.review_checks(e, claims.journal(e), documented)
-    return out.filter(F.col("check").isin("missing_cad", "missing_match", "extraction")).select(
-        "trip_id", "check", F.col("value").cast("bigint").alias("value")
-    )
+    return out.select("trip_id", "check", "value", "status")
 
 
 @query(
