@@ -90,20 +90,27 @@ def test_a_group_of_chained_copies_costs_links_in_proportion(spark):
 
 
 @pytest.mark.parametrize("block", [4, 2_048])
-def test_blocks_of_a_bucket_give_every_promising_pair(spark, monkeypatch, block):
+def test_cells_of_a_bucket_link_what_is_apart(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
-    rng = np.random.default_rng(4)
-    rows = []
-    for k in range(30):
-        bits = np.zeros(512, np.uint8)
-        bits[rng.choice(512, 4 * k, replace=False)] = 1
-        rows.append((k % 2, k, k // 3, 100 + k, np.packbits(bits).view(">u8").astype(np.uint64).view(np.int64).tolist()))
-    most = minhash.sketch_bits(0.75 - minhash.SKETCH_MARGIN)
-    differ = lambda a, b: sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(a[4], b[4], strict=True))
-    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[2] != b[2] and 100 * a[3] >= 75 * b[3] and differ(a, b) <= most}
-    members = spark.createDataFrame(rows, "bucket long, node long, root long, n_shingles long, sketch array<long>")
-    got = minhash.blockwise(members, 75).collect()
-    assert want and {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    words = [f"t{i}" for i in range(120)]
+    texts = {k: " ".join([*words[: 120 - k], *(f"n{k}_{i}" for i in range(k))]) for k in range(0, 36, 2)}
+    signed = {r.doc_id: r for r in minhash.signatures(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    rows = [(b, k, k // 4, signed[k].n_shingles, signed[k].sketch, signed[k].bands) for k in texts for b in signed[k].bands]
+    members = spark.createDataFrame(rows, "bucket long, node long, root long, n_shingles long, sketch array<long>, bands array<long>")
+    got = minhash.links_apart(members, spark.createDataFrame(list(texts.items()), "node long, text string"), 75).collect()
+
+    def joined(pairs):
+        top = {k // 4: k // 4 for k in texts}
+        for _ in top:
+            for a, b in pairs:
+                top[a // 4] = top[b // 4] = min(top[a // 4], top[b // 4])
+        return top
+
+    sets = {k: plain.shingle_set(t) for k, t in texts.items()}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    want = [(a, b) for a in texts for b in texts if a < b and near(a, b)]
+    assert got and all(near(r.a, r.b) and r.a // 4 != r.b // 4 for r in got)
+    assert joined([(r.a, r.b) for r in got]) == joined(want)
 
 
 def test_sketches_estimate_high_similarities(spark):

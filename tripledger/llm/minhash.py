@@ -132,68 +132,105 @@ def sketch_bits(similarity: float) -> int:
     return int(SKETCH_BITS * (1 - exp(-4 * BANDS * ROWS_PER_BAND * (1 - similarity) / SKETCH_BITS)) / 2)
 
 
-def blockwise(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different root in one bucket whose sizes and sketches let them reach the threshold.
-
-    members: bucket, node, root, n_shingles, sketch. Members of a bucket are dealt over parts of about BLOCK rows, and each pair
-    of parts is compared as bit matrices; only promising pairs leave it.
-    """
-    most = sketch_bits(percent / 100 - SKETCH_MARGIN)
-
-    def compare(cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        node, root, size, mine, sketch = cells
-        n = len(node)
-        found_a, found_b = [], []
-        for at in range(0, n, 512):
-            here = slice(at, at + 512)
-            ok = root[here, None] != root[None, :]
-            ok &= node[here, None] < node[None, :]
-            if not mine.all():
-                ok &= mine[here, None] != mine[None, :]
-            low, high = np.minimum(size[here, None], size[None, :]), np.maximum(size[here, None], size[None, :])
-            ok &= 100 * low >= percent * high
-            i, j = np.nonzero(ok)
-            for cut in range(0, len(i), 200_000):
-                x, y = i[cut : cut + 200_000], j[cut : cut + 200_000]
-                near = np.bitwise_count(sketch[at + x] ^ sketch[y]).sum(axis=1) <= most
-                found_a.append(node[at + x[near]])
-                found_b.append(node[y[near]])
-        return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (node[:0], node[:0])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def settle(columns: list[np.ndarray]) -> pa.RecordBatch:
-            cell, *rest = columns
-            edge = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
-            pairs = [compare([c[a:b] for c in rest]) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(cell)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs, strict=True)], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
-            columns = [cell, *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7)), batch.column(7).flatten().to_numpy().view(_U).reshape(batch.num_rows, -1)]
-            held.append(columns)
-            cell = np.concatenate([h[0] for h in held])
-            last = len(cell) - int(np.argmax((cell[::-1] != cell[-1]).any(axis=1))) if (cell != cell[-1]).any() else 0  # the last cell may go on
-            if last:
-                joined = [np.concatenate(x) for x in zip(*held, strict=True)]
-                yield settle([c[:last] for c in joined])
-                held = [[c[last:] for c in joined]]
-        if held:
-            yield settle([np.concatenate(x) for x in zip(*held, strict=True)])
-
+def _cells(members: DataFrame) -> DataFrame:
+    """Members of each bucket dealt over cells: one for each part of about BLOCK rows, and one for each two parts."""
     parts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     dealt = members.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # in a cell of two parts, pairs within one part are left to that part's own cell
-    cells = other.select(
-        "bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node", "root", "n_shingles",
-        (F.col("part") == F.least("part", "other")).alias("first"), "sketch",
-    )
-    dealt_cells = cells.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt_cells.mapInArrow(run, "a long, b long").distinct()
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    return other.withColumns({"x": low, "y": high, "first": F.col("part") == low}).drop("parts", "part", "other")
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a sorted partition, cell by cell; bucket, x and y are the first columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        keys = np.concatenate([np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1) for b in held])
+        edge = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+        if len(edge) > 1:
+            table = pa.Table.from_batches(held)
+            for a, b in zip(edge, edge[1:], strict=False):
+                yield table.slice(a, b - a)
+            held = table.slice(edge[-1]).combine_chunks().to_batches()  # the last cell may go on
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _promising(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (a, b) of the pairs of a cell, node a < node b, of different roots, whose sizes and sketches let them reach the threshold
+    and whose first common band is this bucket: so each pair comes up once in all buckets."""
+    node, root, size, mine = (cell[c].to_numpy(zero_copy_only=False) for c in ("node", "root", "n_shingles", "first"))
+    sketch, bands = (np.stack(cell[c].to_numpy(zero_copy_only=False)) for c in ("sketch", "bands"))
+    sketch, bucket, most = sketch.view(_U), cell["bucket"][0].as_py(), sketch_bits(percent / 100 - SKETCH_MARGIN)
+    found_a, found_b = [], []
+    for at in range(0, len(node), 512):
+        here = slice(at, at + 512)
+        ok = (root[here, None] != root[None, :]) & (node[here, None] < node[None, :])
+        if not mine.all():
+            ok &= mine[here, None] != mine[None, :]
+        ok &= 100 * np.minimum(size[here, None], size[None, :]) >= percent * np.maximum(size[here, None], size[None, :])
+        i, j = np.nonzero(ok)
+        for cut in range(0, len(i), 50_000):
+            x, y = at + i[cut : cut + 50_000], j[cut : cut + 50_000]
+            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= most
+            x, y = x[near], y[near]
+            same = bands[x] == bands[y]
+            first = bands[x, same.argmax(axis=1)] == bucket
+            found_a.append(x[first])
+            found_b.append(y[first])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
+
+
+def links_apart(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of different root in one bucket, enough of them to join all roots that any pair links.
+
+    members: bucket, node, root, n_shingles, sketch, bands; texts: node, text. Pairs are made and confirmed on the full sets inside a
+    task, cell by cell; rows that travel are members, never pairs. The first pass keeps the members that have a promising
+    pair; only these bring their text to the second.
+    """
+
+    def busy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _by_cell(batches):
+            rows = np.unique(np.concatenate(_promising(cell, percent)))
+            if len(rows):
+                yield cell.select(["bucket", "node"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _by_cell(batches):
+            a, b = _promising(cell, percent)
+            sets = [shingles(t) for t in cell["text"].to_pylist()] if len(a) else []
+            node, top = cell["node"].to_pylist(), {r: r for r in cell["root"].to_pylist()}
+
+            def find(x: int, top: dict[int, int] = top) -> int:
+                while top[x] != x:
+                    x = top[x]
+                return x
+
+            root, found = cell["root"].to_pylist(), []
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                ri, rj = find(root[i]), find(root[j])
+                if ri == rj:
+                    continue
+                one, two = sets[i], sets[j]
+                at = np.searchsorted(two, one)
+                both = int((two[np.minimum(at, len(two) - 1)] == one).sum())
+                if 100 * both >= percent * (len(one) + len(two) - both):
+                    top[ri] = rj
+                    found.append((node[i], node[j]))
+            columns = [pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [(), ()])]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+    def sort(cells: DataFrame) -> DataFrame:
+        return cells.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+    keys = ["bucket", "x", "y", "node", "root", "n_shingles", "first", "sketch", "bands"]
+    kept = sort(_cells(members).select(keys)).mapInArrow(busy, "bucket long, node long").distinct()
+    close = materialize(members.join(kept, ["bucket", "node"], "left_semi"))
+    return sort(_cells(close.join(texts, "node")).select(*keys, "text")).mapInArrow(confirm, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -291,8 +328,8 @@ def near_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
     edges = materialize(edges.unionByName(confirmed(promising(toward("high", apart)), texts, percent)))
     root = components(edges)
     apart = materialize(_apart(members, root))
-    rest = blockwise(apart.join(sketches, "node").select("bucket", "node", "root", "n_shingles", "sketch"), percent)
-    edges = edges.unionByName(confirmed(rest, texts, percent))
+    described = apart.join(nodes.select("node", "n_shingles", "sketch", "bands"), "node").select("bucket", "node", "root", "n_shingles", "sketch", "bands")
+    edges = edges.unionByName(links_apart(described, texts, percent))
     root = materialize(components(edges))
 
     placed = nodes.select("set_key", "node").join(root, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
