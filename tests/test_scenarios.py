@@ -162,14 +162,15 @@ def test_best_match_equals_brute_force(spark):
     assert len(list(itertools.islice(want, 5))) == 5
 
 
-def test_line_match_equals_sequential_choice(spark):
+@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("names", [["house wine", "house wines", "garlic bread", "garlic breads", "soup", "soup of day"], ["tea", "soup", "wine", "wines"]])
+def test_line_match_equals_sequential_choice(spark, names, seed):
     import random
     from difflib import SequenceMatcher
 
     from tripledger.operators import review
 
-    rnd = random.Random(3)
-    names = ["house wine", "house wines", "garlic bread", "garlic breads", "soup", "soup of day"]
+    rnd = random.Random(seed)
     new = [("T", "r", i, rnd.choice(names), D(rnd.choice(["5.00", "5.05", "9.00"])), False) for i in range(25)]
     old = [("T", "r", i, rnd.choice(names), D(rnd.choice(["5.00", "5.20", "9.00"])), False) for i in range(25)]
     used, want = set(), {}
@@ -190,6 +191,16 @@ def test_line_match_equals_sequential_choice(spark):
     assert {r.new_pos: r.stored_pos for r in got.collect()} == want
 
 
+def test_equal_lines_are_numbered_not_paired(spark):
+    from tripledger.operators import review
+
+    schema = "trip_id string, source_file string, pos bigint, description string, amount decimal(18,2), is_alcohol boolean"
+    table = spark.createDataFrame([("T", "r", i, "tea", D("5.00"), False) for i in range(3_000)], schema)
+    got = review.fuzzy_line_match(table.filter("pos % 3 <> 1"), table.filter("pos % 2 = 0")).collect()
+    new, old = [i for i in range(3_000) if i % 3 != 1], list(range(0, 3_000, 2))
+    assert {r.new_pos: r.stored_pos for r in got} == dict(zip(new, old, strict=False))
+
+
 def test_allocations_balance_and_overallocate(spark):
     g = spark.createDataFrame(
         [("T", "g", D("300"), "f", "auto", D("0.9")), ("T", "h", D("300"), "f", "auto", D("0.9"))],

@@ -286,13 +286,17 @@ class WordBpe:
         return NOT_SPACE.findall(text) if ODD_SPLITS.search(text) else text.split()
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self._cache) + len(chunks) > CACHED_WORDS:
-            self._cache.clear()
-        chunks, index = list(chunks), {}
-        parts = [[index.setdefault(p, len(index)) for p in split_chunk(c)] for c in chunks]
-        coded = self.encode_words([p.encode("utf-8", "surrogatepass") for p in index])
-        for chunk, own in zip(chunks, parts, strict=True):
-            self._cache[chunk] = coded[own[0]] if len(own) == 1 else b"".join([coded[i] for i in own])
+        """Puts the ids of new chunks in the cache. A chunk of several words is joined from theirs, which are cached too."""
+        cache = self._cache
+        if len(cache) + len(chunks) > CACHED_WORDS:
+            cache.clear()
+        words = [c for c in chunks if c.isalpha()]
+        several = {c: split_chunk(c) for c in chunks if not c.isalpha()}
+        known = set(words)
+        words += {p for own in several.values() for p in own if p not in cache and p not in known}
+        cache.update(zip(words, self.encode_words([w.encode("utf-8", "surrogatepass") for w in words]), strict=True))
+        for chunk, own in several.items():
+            cache[chunk] = b"".join([cache[p] for p in own])
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers; null counts as empty.

@@ -9,6 +9,7 @@ from tripledger.functions.aggs import first_row_per_key
 from tripledger.functions.amounts import MONEY, amount_bucket, lit_dec
 from tripledger.functions.currencies import CURRENCY_CODES
 from tripledger.functions.materialize import materialize
+from tripledger.functions.ranking import positions_within
 from tripledger.functions.similarity import text_similarity
 from tripledger.operators.claims import RECEIPT
 from tripledger.operators.lines import TAX_LABELS, receipt_id
@@ -68,26 +69,30 @@ def _near_buckets(amount: Column) -> Column:
     )
 
 
+def _line_kinds(lines: DataFrame, side: str) -> DataFrame:
+    """Lines with the kind they belong to: equal wording, amount and alcohol flag score alike against everything."""
+    k, a, x, kind = f"{side}k", f"{side}a", f"{side}x", f"{side}_kind"
+    return (
+        lines.select(*RECEIPT, F.col("pos").alias(f"{side}_pos"), _key(F.col("description")).alias(k), F.col("amount").alias(a), F.coalesce("is_alcohol", F.lit(False)).alias(x))
+        .filter(F.col(k) != "")
+        .withColumn(kind, F.md5(F.to_json(F.struct(k, a, x))))
+    )
+
+
 def fuzzy_candidates(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Pairs of one receipt that score at least .70: .65 text + .30 amount + .05 alcohol.
+    """Pairs of line kinds of one receipt that score at least .70: .65 text + .30 amount + .05 alcohol.
 
     Without equal amounts the score needs equal texts, so the pairs come from two equi-joins:
-    on the text, and on a logarithmic bucket of the amount.
+    on the text, and on a logarithmic bucket of the amount. new, stored: tables of _line_kinds.
     """
-    n = new.select(
-        *RECEIPT, F.col("pos").alias("new_pos"), _key(F.col("description")).alias("nk"), F.col("amount").alias("na"),
-        F.coalesce("is_alcohol", F.lit(False)).alias("nx"),
-    ).filter("nk <> ''")
-    s = stored.select(
-        *RECEIPT, F.col("pos").alias("stored_pos"), _key(F.col("description")).alias("sk"), F.col("amount").alias("sa"),
-        F.coalesce("is_alcohol", F.lit(False)).alias("sx"),
-    ).filter("sk <> ''")
-    cols = [*RECEIPT, "new_pos", "stored_pos", "nk", "sk", "na", "sa", "nx", "sx"]
+    n = new.drop("n_pos").distinct()
+    s = stored.drop("s_pos").distinct()
+    cols = [*RECEIPT, "n_kind", "s_kind", "nk", "sk", "na", "sa", "nx", "sx"]
     same_text = n.join(s.withColumn("nk", F.col("sk")), [*RECEIPT, "nk"]).select(cols)
     near = n.withColumn("b", F.explode(_near_buckets(F.col("na")))).join(
         s.filter("sa is not null").withColumn("b", amount_bucket(F.abs("sa"))), [*RECEIPT, "b"]
     ).select(cols)
-    pairs = same_text.unionByName(near).dropDuplicates([*RECEIPT, "new_pos", "stored_pos"])
+    pairs = same_text.unionByName(near).dropDuplicates([*RECEIPT, "n_kind", "s_kind"])
     tolerance = F.greatest(lit_dec("0.10"), F.greatest(F.abs("na"), F.abs("sa")) * lit_dec("0.03", "decimal(3,2)"))
     amount = F.when(F.abs(F.col("na") - F.col("sa")) <= tolerance, F.lit(1.0)).when(
         F.col("na").isNull() & F.col("sa").isNull(), F.lit(0.25)
@@ -96,19 +101,41 @@ def fuzzy_candidates(new: DataFrame, stored: DataFrame) -> DataFrame:
         F.col("nx") == F.col("sx"), F.lit(0.05)
     ).otherwise(F.lit(0.0))
     return pairs.withColumn("score", F.round(score, 9)).filter(F.col("score") >= FUZZY_THRESHOLD).select(
-        *RECEIPT, "new_pos", "stored_pos", "score"
+        *RECEIPT, "n_kind", "s_kind", "score"
     )
 
 
-def fuzzy_line_match(new: DataFrame, stored: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def fuzzy_line_match(new: DataFrame, stored: DataFrame) -> DataFrame:
     """REV2: one-to-one match of new to stored lines; earlier lines choose first.
 
-    Lines propose to their best stored line, a stored line keeps the earliest proposer and the
-    others lose that pair; repeated until nobody is rejected. With one common order of the
-    proposers this gives exactly the sequential choice, without gathering a receipt anywhere.
+    A stored kind that only one new kind can take, and that this kind prefers to all others, is given out
+    by rank: its first line to the first new line, and so on. However many equal lines a receipt
+    has, they are numbered, not paired. What is contested or left over goes through rounds of
+    proposals: lines propose to their best stored line, a stored line keeps the earliest proposer and
+    the others lose that pair. With one common order of the proposers both give exactly the sequential choice.
     """
-    pairs = materialize(fuzzy_candidates(new, stored))
-    rounds = 0
+    n, s = materialize(_line_kinds(new, "n")), materialize(_line_kinds(stored, "s"))
+    kinds = materialize(fuzzy_candidates(n, s))
+    wanted_once = kinds.groupBy(*RECEIPT, "s_kind").agg(F.count("*").alias("takers")).filter("takers = 1")
+    best = kinds.groupBy(*RECEIPT, "n_kind").agg(F.max("score").alias("score"))
+    sole_best = kinds.join(best, [*RECEIPT, "n_kind", "score"]).groupBy(*RECEIPT, "n_kind", "score").agg(F.count("*").alias("n")).filter("n = 1")
+    private = materialize(
+        kinds.join(wanted_once, [*RECEIPT, "s_kind"], "left_semi").join(sole_best, [*RECEIPT, "n_kind", "score"], "left_semi")
+    )
+    n_ranked = positions_within(n.join(private, [*RECEIPT, "n_kind"]).select(*RECEIPT, "n_kind", "s_kind", "score", "n_pos"), [*RECEIPT, "n_kind"], ["n_pos"])
+    s_ranked = positions_within(s.join(private, [*RECEIPT, "s_kind"], "left_semi").select(*RECEIPT, "s_kind", "s_pos"), [*RECEIPT, "s_kind"], ["s_pos"])
+    given = materialize(
+        n_ranked.join(s_ranked, [*RECEIPT, "s_kind", "position"]).select(*RECEIPT, F.col("n_pos").alias("new_pos"), F.col("s_pos").alias("stored_pos"), "score")
+    )
+    contested = kinds.join(private, [*RECEIPT, "n_kind", "s_kind"], "left_anti")
+    open_new = n.withColumnRenamed("n_pos", "new_pos").join(given, [*RECEIPT, "new_pos"], "left_anti").select(*RECEIPT, "n_kind", "new_pos")
+    pairs = materialize(
+        contested.join(open_new, [*RECEIPT, "n_kind"])
+        .join(s.select(*RECEIPT, "s_kind", F.col("s_pos").alias("stored_pos")), [*RECEIPT, "s_kind"])
+        .select(*RECEIPT, "new_pos", "stored_pos", "score")
+    )
+    if pairs.isEmpty():
+        return given
     while True:
         proposals = pairs.groupBy(*RECEIPT, "new_pos").agg(
             F.min_by(F.struct("stored_pos", "score"), F.struct((-F.col("score")).alias("s"), F.col("stored_pos"))).alias("c")
@@ -117,11 +144,8 @@ def fuzzy_line_match(new: DataFrame, stored: DataFrame, max_rounds: int | None =
         rejected = materialize(
             proposals.join(kept, [*RECEIPT, "stored_pos", "new_pos"], "left_anti").select(*RECEIPT, "new_pos", "stored_pos")
         )
-        rounds += 1
         if rejected.isEmpty():
-            return proposals
-        if max_rounds and rounds >= max_rounds:
-            raise RuntimeError(f"line match did not settle in {max_rounds} rounds")
+            return given.unionByName(proposals.select(given.columns))
         pairs = materialize(pairs.join(rejected, [*RECEIPT, "new_pos", "stored_pos"], "left_anti"))
 
 

@@ -46,7 +46,7 @@ def _(spark, d):
 
 @query(
     "rev2_fuzzy_line_match",
-    oracle("receipt_lines", "SELECT trip_id, source_file, pos AS new_pos, pos AS stored_pos FROM receipt_lines"),
+    oracle("receipt_lines", "SELECT DISTINCT trip_id, source_file, pos AS new_pos, pos AS stored_pos FROM receipt_lines"),
 )
 def _(spark, d):
     rows = view(spark, d, "receipt_lines")
