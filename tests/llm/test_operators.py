@@ -351,6 +351,12 @@ def test_suffix_classes_are_those_of_equal_strings():
     assert len(set(names.values())) == len(names)
 
 
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_suffix_classes_without_ties(n):
+    strings = np.frombuffer(b"".join(bytes([97 + i]) * 50 for i in range(n)), np.uint8).reshape(n, 50)
+    assert suffix_dedup.suffix_classes(strings).tolist() == (list(range(n)) if n else [])
+
+
 @pytest.mark.parametrize("which", ["odd", "given"])
 def test_bpe_equals_the_library(request, library, which):
     docs = request.getfixturevalue(which)

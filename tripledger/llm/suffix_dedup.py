@@ -103,6 +103,8 @@ def suffix_classes(strings: np.ndarray) -> np.ndarray:
 
 def _split(group: np.ndarray, tied: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """Sorts the tied rows by symbol within their groups, numbers the new groups by their first row; returns the rows still tied."""
+    if not len(tied):
+        return tied
     order = np.lexsort((symbol, group[tied]))
     rows, symbol, own = tied[order], symbol[order], group[tied][order]
     new = np.r_[True, (own[1:] != own[:-1]) | (symbol[1:] != symbol[:-1])]
