@@ -195,6 +195,39 @@ def test_licenses_equal_an_unpruned_cosine(given, given_texts):
         assert (want is None and r.origin in (None, "inherited")) or (r.license, r.origin) == want
 
 
+def test_full_licence_texts_wrapped_headers_and_siblings(spark):
+    full = {name: texts[0] for name, texts in licenses.full_texts().items() if texts[0] not in licenses.HEADERS.get(name, [])}
+    assert {"Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"} <= set(full)
+    prose = "plain words of a file\n" * 3 + " ".join(f"word{i}" for i in range(300))
+    header = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+"""
+    grant = """ * This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU {}General Public License
+ * as published by the Free Software Foundation; either version {}
+ * of the License, or (at your option) any later version.
+"""
+    lines = {
+        "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.", "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.", "CC-BY-4.0": "Licensed under CC BY 4.0.",
+        "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.", None: "Licensed under the Apache License, Version 1.1.",
+    }
+    heads = {"Apache-2.0": header, "GPL-2.0": grant.format("", "2"), "GPL-3.0": grant.format("", "3"), "LGPL-2.1": grant.format("Lesser ", "2.1"), "AGPL-3.0": grant.format("Affero ", "3")}
+    files, want = [], {}
+    for name, text in full.items():
+        wrapped = " ".join(text.split())
+        files += [(f"{name}/LICENSE", "Copyright (c) 2020 Some One\n\n" + text), (f"{name}/src/a.txt", prose), (f"wrapped {name}/LICENSE", wrapped)]
+        want |= {f"{name}/LICENSE": (name, "file"), f"{name}/src/a.txt": (name, "inherited"), f"wrapped {name}/LICENSE": (name, "file")}
+    for name, line in lines.items():
+        files += [(f"line {name}/a.txt", line + "\n" + prose), (f"line {name}/b.txt", prose), (f"named {name}/COPYING.md", line + "\n" + prose), (f"named {name}/b.txt", prose)]
+        found = (name, name and "header")
+        want |= {f"line {name}/a.txt": found, f"line {name}/b.txt": (None, None), f"named {name}/COPYING.md": found, f"named {name}/b.txt": (name, name and "inherited")}
+    for name, head in heads.items():
+        files.append((f"head {name}/a.c", head + prose))
+        want[f"head {name}/a.c"] = (name, "header")
+    frame = spark.createDataFrame([(i, path, text) for i, (path, text) in enumerate(files)], "doc_id long, path string, text string")
+    assert {r.path: (r.license, r.origin) for r in licenses.scan(frame).collect()} == want
+
+
 @pytest.mark.parametrize("which", ["odd", "given"])
 def test_quality_counts(request, which):
     docs = request.getfixturevalue(which)
