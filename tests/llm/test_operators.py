@@ -165,6 +165,31 @@ def test_block_tables_find_the_whole_radius(spark):
     assert got.n_near == sum((x ^ near[0]).bit_count() <= 3 for x in near)
 
 
+def test_pairs_within_nine_bits_are_returned(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    near = [int(x) for x in base] + [int(b) ^ sum(1 << int(i) for i in rng.choice(64, n, replace=False)) for b in base for n in range(1, 13)]
+    prints = spark.createDataFrame([(simhash._signed(x),) for x in near + near[:5]], "fingerprint long").repartition(3)
+    asked = near[:30:3]
+    queries = spark.createDataFrame([(simhash._signed(x),) for x in asked], "fingerprint long")
+    for radius in (3, 9, 11):
+        got = [tuple(r) for r in simhash.pairs(prints, queries, radius).collect()]
+        want = [(simhash._signed(q), simhash._signed(x), (q ^ x).bit_count(), 2 if x in near[:5] else 1) for q in asked for x in set(near) if (q ^ x).bit_count() <= radius]
+        assert sorted(got) == sorted(want)
+
+
+def test_planted_near_copies_are_named(spark):
+    words = [f"word{i}" for i in range(200)]
+    texts = {20: " ".join(words), 21: " ".join([*words[:100], "other", *words[101:]]), 22: " ".join(f"else{i}" for i in range(200)), 23: " ".join(words)}
+    docs, pairs = simhash.search(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    ids = {}
+    for r in docs.collect():
+        ids.setdefault(r.fingerprint, set()).add(r.doc_id)
+    found = {(r.fingerprint, r.found_fingerprint): r for r in pairs.collect()}
+    assert {d for (a, b) in found if 20 in ids[a] for d in ids[b]} == {20, 21, 23}
+    assert all(r.distance == (int(a, 16) ^ int(b, 16)).bit_count() and r.n_rows == len(ids[b]) for (a, b), r in found.items())
+
+
 def test_licenses(spark, odd, none, twice):
     notice = "Licensed under the Apache License, Version 2.0."
     rows = [
