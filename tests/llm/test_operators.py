@@ -388,6 +388,13 @@ def test_repeated_passages(request, which):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == plain.removed_repeats(texts)
 
 
+def test_bytes_around_a_cut_form_no_letter(spark):
+    passage = "a passage in plain letters that is longer than fifty bytes"
+    docs = spark.createDataFrame([(1, f"Ĩ{passage}Ī"), (2, f"one è{passage}ĩ two")], "doc_id long, text string")
+    got = {r.key.doc_id: (bytes(r.kept), r.kept_text) for r in suffix_dedup.remove(docs, with_columns=True).collect()}
+    assert got[2] == ("one é two".encode(), "one  two")
+
+
 def test_repeats_of_repeated_rows_and_none(twice, none, texts):
     want = plain.removed_repeats(texts)
     rows = suffix_dedup.digest(suffix_dedup.remove(twice)).collect()

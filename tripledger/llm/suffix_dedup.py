@@ -300,7 +300,7 @@ def remove(docs: DataFrame, with_columns: bool = False) -> DataFrame:
     """
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, removed, spans, kept = [], [], [], []
+        n, removed, spans, kept, letters = [], [], [], [], []
         for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
             runs = _merge(*np.array([(g["start"], g["stop"]) for g in gone], np.int64).T) if gone else []
@@ -311,9 +311,11 @@ def remove(docs: DataFrame, with_columns: bool = False) -> DataFrame:
             n.append(len(raw))
             removed.append(sum(b - a for a, b in runs))
             spans.append(len(runs))
-            kept.append(b"".join([*parts, raw[at:]]))
+            parts.append(raw[at:])
+            kept.append(b"".join(parts))
+            letters.append("".join(x.decode("utf-8", "ignore") for x in parts) if with_columns else None)  # bytes around a cut form no letter
         columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(kept, pa.binary())]
-        columns.append(pa.array([k.decode("utf-8", "ignore") if with_columns else None for k in kept], pa.string()))
+        columns.append(pa.array(letters, pa.string()))
         return pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
 
     gone = repeats(docs.select("doc_id", "text")).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
