@@ -31,6 +31,12 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch path that no reader needs any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
