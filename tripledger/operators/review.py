@@ -194,6 +194,7 @@ def merge_rescan(new: DataFrame, stored: DataFrame, removed: DataFrame, unchange
         preserve_line(~F.col("is_alcohol"), F.col("_i"), F.col("_inclusion_overridden")).alias("in_sponsor"),
         F.coalesce("_r", F.lit(False)).alias("reviewed"),
         F.lit(False).alias("manual"),
+        *[F.coalesce(F.col(f"_{f}"), F.lit(False)).alias(f) for f in DECISION_FLAGS if f != "manual"],
     )
     manual = live.filter("manual").join(gone.select(*RECEIPT, "line_id"), [*RECEIPT, "line_id"], "left_anti").select(*merged.columns)
     return merged.unionByName(manual.join(taken, [*RECEIPT, "line_id"], "left_anti"))

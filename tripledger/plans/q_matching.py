@@ -15,8 +15,8 @@ BASE = "receipts statement_legs fx_observations"
 PARTS = ",".join([FX, AUDIT, MATCH])
 
 
-def match_oracle(body: str, more: str = "") -> str:
-    return oracle(BASE, body, PARTS + more)
+def match_oracle(body: str, more: str = "", views: str = "") -> str:
+    return oracle(f"{BASE} {views}", body, PARTS + more)
 
 
 @query(

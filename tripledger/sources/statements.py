@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,7 @@ STANDARD_SCHEMA = (
 )
 
 
-def scan_files(spark: SparkSession, root: str, glob: str = "*", depth: str = "*/") -> DataFrame:
-    """SRC1: trip folders to (trip_id, source_file, size, content, sha256, supported); dot files skipped."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(f"{root.rstrip('/')}/{depth}")
+def _file_rows(files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
@@ -29,9 +29,24 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*", depth: str = "*/
         suffix.isin(SUPPORTED_SUFFIXES).alias("supported"),
         "content",
         F.col("modificationTime").alias("modified_at"),
+        "path",
     )
 
 
+def scan_files(spark: SparkSession, root: str, glob: str = "*", depth: str = "*/") -> DataFrame:
+    """SRC1: trip folders to (trip_id, source_file, size, content, sha256, supported, path); dot files skipped.
+
+    Content is read only where content or hash is selected.
+    """
+    return _file_rows(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(f"{root.rstrip('/')}/{depth}"))
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """SRC1 for named files, whose names may hold any letter; one that has gone since it was listed gives no row."""
+    literal = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]
+    return _file_rows(spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(literal))
+
+
 # The windows-1252 block 0x80-0x9F, which differs from ISO-8859-1 (fixed values; unassigned bytes stay)
 _BLOCK = "".join(chr(c) for c in range(0x80, 0xA0))
 _CP1252 = "".join(
