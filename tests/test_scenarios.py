@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tripledger.functions import cleaners
 from tripledger.functions.money_text import mark_money, money_tokens
-from tripledger.operators import alcohol, claims, coverage, decisions, fx, layout, lines, matching, normalizers, receipt_text, statements
+from tripledger.operators import alcohol, claims, coverage, decisions, fx, layout, lines, manifest, matching, normalizers, receipt_text, reports, statements
 from tripledger.sources import statements as source
 
 DAY = dt.date(2026, 6, 24)
@@ -410,3 +410,79 @@ def test_suggestions_leave_out_ignored_and_allocated_groups(spark):
     left_out = spark.createDataFrame([("T", "g2"), ("T", "g2")], "trip_id string, group_id string")
     assert {r.group_id for r in matching.suggestions(side, matched).collect()} == {"g1", "g2", "g3"}
     assert {r.group_id for r in matching.suggestions(side, matched, left_out=left_out).collect()} == {"g1", "g3"}
+
+
+HUGE = D("9999999999999999.99")
+
+
+def test_the_largest_amounts_end_no_job(spark):
+    cols = (
+        "trip_id string, source_file string, claim_program string, amount decimal(18,2), currency string, number_of_people int, expense_type string, "
+        "in_company boolean, in_sponsor boolean, manual_cad decimal(18,2), paid_by string, gst_hst decimal(18,2), qst decimal(18,2), subtotal decimal(18,2), "
+        "country string, province string, description string, vendor string, receipt_date date, confidence double, gst_hst_number string, qst_number string, "
+        "exclusion_reason string, statement_purchase_amount decimal(18,2), statement_purchase_currency string, cad_amount_used decimal(18,2), cad_source string, "
+        "group_count bigint, extraction_status string, tax_documentation_status string"
+    )
+
+    def receipt(file, program, amount, currency, people, cad, source, purchase):
+        return ("T" + program[:1], file, program, amount, currency, people, "meal-lunch", True, True, None, "traveller_personal", amount, amount, amount, "Canada", "QC",
+                "d", "v", None, 0.9, "", "", None, purchase, currency, cad, source, 1, "ok", "ok")
+
+    rows = []
+    for program in ("company", "sponsored"):
+        rows += [
+            receipt("a", program, HUGE, "CAD", 1, HUGE, "statement", HUGE), receipt("b", program, HUGE, "USD", 3, HUGE, "statement", D("0.01")),
+            receipt("c", program, D("0.01"), "USD", 99, HUGE, "manual", None), receipt("d", program, D("100.00"), "CAD", 2, D("100.00"), "statement", D("100.00")),
+        ]
+    receipts = spark.createDataFrame(rows, cols)
+    goods = [(r[0], r[1], i, "Shiraz" if i else "Pie", r[3], "item", bool(i), 0.9, not i, True) for r in rows for i in range(2)]
+    ln = spark.createDataFrame(goods, "trip_id string, source_file string, pos long, description string, amount decimal(18,2), line_type string, is_alcohol boolean, confidence double, in_sponsor boolean, in_company boolean")
+    trips = spark.createDataFrame([("Tc", "company", "N", DAY, DAY), ("Ts", "sponsored", "N", DAY, DAY)], "trip_id string, claim_program string, traveller string, start_date date, end_date date")
+    basis = claims.reconciled_receipts(receipts)
+    e = claims.expense_result(lines.receipt_totals(ln, basis))
+    got = {(r.trip_id, r.source_file): r for r in e.collect()}
+    assert got["Tc", "a"].total_cad == HUGE
+    assert got["Tc", "d"].total_cad == D("50.00")
+    assert got["Ts", "d"].sponsor_claim_cad == D("25.00")
+    post = claims.journal(e)
+    for table in (
+        post, claims.claim_summary(e), claims.controls(e, post, trips), reports.company_detail(e), reports.sponsor_form_rows(e, lines.sponsor_amounts(ln, receipts)),
+        reports.review_checks(e.drop("tax_documentation_status", "extraction_status"), post, receipts), reports.accounting_rows(post, claims.claim_summary(e), trips), reports.expense_report(e), manifest.manifest_receipts(e, ln.withColumn("exclusion_reason", F.lit(None).cast("string"))),
+    ):
+        assert table.collect() is not None
+    detail = {(r.trip_id, r.source_file): r for r in reports.company_detail(e).collect()}
+    assert detail["Tc", "a"].gst_hst_cad == HUGE
+    assert detail["Tc", "d"].gst_hst_cad == D("50.00")
+
+
+def test_outside_extraction_of_blank_lines_and_totals(spark):
+    lines_schema = "trip_id string, source_file string, pos long, description string, amount decimal(18,2)"
+    local = alcohol.detect_alcohol(spark.createDataFrame(
+        [("T", "a", 0, "Pie", D("10")), ("T", "a", 1, "Soup", D("5")), ("T", "a", 2, "Sales tax", D("2")), ("T", "b", 0, "Pie", D("1")), ("T", "c", 0, "Pie", D("1"))], lines_schema))
+    outside = alcohol.detect_alcohol(spark.createDataFrame(
+        [("T", "a", 0, "Pie", D("10")), ("T", "b", 0, "", D("1")), ("T", "b", 1, None, D("2")), ("T", "b", 2, "Mocktail", D("2")), ("T", "b", 3, "Wine", D("2"))], lines_schema,
+    )).withColumns({"external_alcohol": F.lit(True), "external_confidence": F.lit("0.50").cast("decimal(3,2)")})
+    fields = spark.createDataFrame(
+        [("T", "a", D("17"), D("2"), None), ("T", "b", D("99"), None, None), ("T", "c", None, None, None)],
+        "trip_id string, source_file string, amount decimal(18,2), gst_hst decimal(18,2), qst decimal(18,2)",
+    )
+    got = {(r.source_file, r.pos): (r.origin, r.is_alcohol, r.alcohol_confidence) for r in receipt_text.merge_external(local, outside, fields).collect()}
+    # "Sales tax" makes the lines 17 + 2 of tax fields: they don't make up the total, so the outside line stands
+    assert {k for k, v in got.items() if v[0] == "local"} == {("c", 0)}
+    assert [got["b", i][1] for i in range(4)] == [True, True, False, True]
+    assert got["b", 0][2] == D("0.50")
+    fits = fields.withColumn("amount", F.when(F.col("source_file") == "a", F.lit(19)).otherwise(F.col("amount")).cast("decimal(18,2)"))
+    kept = [r.description for r in receipt_text.merge_external(local, outside, fits).orderBy("pos").collect() if r.source_file == "a"]
+    assert kept == ["Pie", "Soup"]
+    versions = "trip_id string, source_file string, quality decimal(6,2), vendor string"
+    ours = spark.createDataFrame([("T", "a", D("5"), "L"), ("T", "b", D("7"), "L"), ("T", "d", D("1"), "L")], versions)
+    theirs = spark.createDataFrame([("T", "a", D("5"), "E"), ("T", "b", D("6"), "E"), ("T", "e", D("0"), "E")], versions)
+    picked = {r.source_file: (r.vendor, r.origin) for r in receipt_text.merge_external_receipts(ours, theirs).collect()}
+    assert picked == {"a": ("E", "external"), "b": ("L", "local"), "d": ("L", "local"), "e": ("E", "external")}
+
+
+def test_words_that_name_no_supplier(spark):
+    text = "Jo Gmail\nPayer Ltd office\nBlue Shop\nTotal 5.00"
+    row = spark.createDataFrame([("T", "x.pdf", text, "text")], "trip_id string, source_file string, raw_text string, method string")
+    assert receipt_text.extract_receipts(row).first().vendor == "Payer Ltd office"
+    assert receipt_text.extract_receipts(row, ignore=["payer ltd"]).first().vendor == "Blue Shop"

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
-SHARE = "decimal(18,6)"
+SHARE = "decimal(22,6)"  # a share of any money amount
 RATE = "decimal(20,10)"
 
 
@@ -20,6 +20,30 @@ def round_money(value: Column) -> Column:
     return value.cast(MONEY)
 
 
+def cents(value: Column) -> Column:
+    return (value.cast(MONEY) * 100).cast("decimal(18,0)")
+
+
+def part_of(amount: Column, part: Column, whole: Column, people: Column | None = None) -> Column:
+    """amount * part / whole (/ people), rounded once, half up: exact in whole cents for every money amount with part <= whole."""
+    below = cents(whole) if people is None else cents(whole) * people.cast("decimal(6,0)")
+    rounded = F.call_function("div", 2 * F.abs(cents(amount)) * F.abs(cents(part)) + below, F.nullif(2 * below, F.lit(0)))
+    sign = (F.signum(amount) * F.signum(part)).cast("decimal(1,0)")
+    return (sign * rounded.cast("decimal(18,0)") * lit_dec("0.01", "decimal(2,2)")).cast(MONEY)
+
+
+def at_rate(amount: Column, rate: Column, ratio: Column | None = None) -> Column:
+    """amount * rate (* ratio of at most 1) in cents; null where that is beyond a money column.
+
+    Amounts and rates of usual size are multiplied without any loss; larger ones with six digits behind the point.
+    """
+    exact = amount.try_cast("decimal(12,2)") * rate.try_cast("decimal(12,6)")
+    large = F.try_multiply(amount.cast(MONEY), rate.cast(SHARE))
+    if ratio is not None:
+        exact, large = exact * ratio.cast("decimal(10,8)"), F.try_multiply(large.try_cast("decimal(27,6)"), ratio.cast("decimal(10,8)"))
+    return F.coalesce(exact.try_cast(MONEY), large.try_cast(MONEY))
+
+
 def close_amount(left: Column, right: Column) -> Column:
     """|left-right| within 1.5 % of the first argument, at least 3 cents."""
     return F.abs(left - right) <= F.greatest(lit_dec("0.03"), F.abs(left) * lit_dec("0.015", "decimal(4,3)"))
@@ -56,7 +80,7 @@ def split_people(receipt: Column, card: Column) -> Column:
 
 def per_person_share(amount: Column, people: Column) -> Column:
     n = F.greatest(F.lit(1), F.coalesce(people, F.lit(1)))
-    return (F.abs(amount).cast("decimal(18,6)") / n.cast("decimal(6,0)")).cast(SHARE)
+    return (F.abs(amount).cast(SHARE) / n.cast("decimal(6,0)")).cast(SHARE)
 
 
 def days_apart(left: Column, right: Column) -> Column:

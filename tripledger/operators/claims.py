@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripledger.functions.amounts import MONEY, amounts_align, includes_tip, lit_dec
+from tripledger.functions.amounts import MONEY, amounts_align, at_rate, includes_tip, lit_dec, part_of
 from tripledger.operators.decisions import REIMBURSABLE_TYPES
 from tripledger.operators.lines import is_meal
 
 RECEIPT = ["trip_id", "source_file"]
-FX6 = "decimal(18,6)"
+FX6 = "decimal(22,6)"
+POSTED = "decimal(26,8)"
 STATEMENT_SOURCES = ["statement", "statement_aggregated", "allocation", "allocation_aggregated"]  # fixed values
 CONTROL_TOLERANCE = "0.02"  # fixed value
 
@@ -73,11 +74,12 @@ def receipt_cad_totals(groups: DataFrame, allocations: DataFrame, receipts: Data
         direct.unionByName(split)
         .groupBy(*RECEIPT)
         .agg(
-            F.sum("cad").cast(MONEY).alias("cad_total"),
-            F.sum("purchase").cast(FX6).alias("_purchase"),
+            F.sum("cad").try_cast(MONEY).alias("cad_total"),
+            F.sum("purchase").try_cast(FX6).alias("_purchase"),
             F.min("currency").alias("_cur_low"),
             F.max("currency").alias("_cur_high"),
-            F.bool_or("incomplete").alias("incomplete"),
+            # a sum beyond a money column is as good as unknown
+            (F.bool_or("incomplete") | (F.sum("cad").isNotNull() & F.sum("cad").try_cast(MONEY).isNull())).alias("incomplete"),
             F.bool_or("allocated").alias("allocated"),
             F.count("*").alias("group_count"),
         )
@@ -122,9 +124,9 @@ def accounting_basis(
     amount: Column, currency: Column, people: Column, statement: Column, statement_currency: Column, aggregated: Column
 ) -> Column:
     """CLM3: struct(amount, status) - the original-currency denominator of the accounting rate."""
-    receipt = F.abs(amount).cast(FX6)
-    card = F.abs(statement).cast(FX6)
-    share = (receipt / people.cast("decimal(6,0)")).cast(FX6)
+    receipt = F.abs(amount).try_cast(FX6)
+    card = F.abs(statement).try_cast(FX6)
+    share = (receipt / people.cast("decimal(6,0)")).try_cast(FX6)
     same = F.coalesce(F.upper(statement_currency) == F.upper(F.coalesce(currency, F.lit(""))), F.lit(False)) & (
         F.coalesce(statement_currency, F.lit("")) != ""
     )
@@ -169,7 +171,7 @@ def reconciled_receipts(sourced: DataFrame) -> DataFrame:
     divisor = F.when(chosen == "personal_share", people).otherwise(F.lit(1)).cast("decimal(6,0)")
     out = sourced.withColumn("_b", inferred).withColumns(
         {
-            "fx_basis_amount": F.when(explicit, (F.abs("amount").cast(FX6) / divisor).cast(FX6)).otherwise(
+            "fx_basis_amount": F.when(explicit, (F.abs("amount").try_cast(FX6) / divisor).try_cast(FX6)).otherwise(
                 F.col("_b.amount")
             ),
             "_status": F.when(explicit, F.concat(F.lit("statement_"), chosen, F.lit("_explicit"))).otherwise(
@@ -181,8 +183,8 @@ def reconciled_receipts(sourced: DataFrame) -> DataFrame:
     same = F.upper(F.coalesce("currency", F.lit(""))) == F.upper(F.coalesce("statement_purchase_currency", F.lit("")))
     expected = F.when(
         F.col("_status").isin(personal[:2]) | ((F.col("_status") == "receipt_fallback_mismatch") & (people > 1)),
-        (F.abs("amount").cast(FX6) / people.cast("decimal(6,0)")).cast(FX6),
-    ).otherwise(F.abs("amount").cast(FX6))
+        (F.abs("amount").try_cast(FX6) / people.cast("decimal(6,0)")).try_cast(FX6),
+    ).otherwise(F.abs("amount").try_cast(FX6))
     shown = (
         (F.col("_status") != "statement_aggregated")
         & (F.coalesce("amount", _zero()) != 0)
@@ -197,10 +199,10 @@ def reconciled_receipts(sourced: DataFrame) -> DataFrame:
             ),
             "fx_rate": F.when(
                 F.col("cad_amount_used").isNotNull() & (F.coalesce("fx_basis_amount", _zero(FX6)) != 0),
-                (F.abs("cad_amount_used").cast("decimal(14,2)") / F.col("fx_basis_amount").cast("decimal(16,6)")).cast(FX6),
+                (F.abs("cad_amount_used").try_cast(MONEY) / F.col("fx_basis_amount").try_cast(FX6)).try_cast(FX6),
             ),
             "statement_receipt_difference": F.when(
-                shown, (F.abs("statement_purchase_amount") - expected).cast(MONEY)
+                shown, (F.abs("statement_purchase_amount") - expected).try_cast(MONEY)
             ),
             "fx_basis_status": F.when(
                 F.col("cad_source") == "manual", F.concat(F.lit("manual_"), F.col("_status"))
@@ -269,8 +271,8 @@ def _fraction(included: Column, excluded: Column, total: Column) -> tuple[Column
     cut = (excluded > lit_dec("0.005")) & (F.coalesce(total, _zero()) != 0) & included.isNotNull()
     whole = F.abs(total)
     part = F.greatest(_zero(), F.least(whole, included * F.signum(total).cast("decimal(2,0)")))
-    one = F.lit(1).cast("decimal(14,2)")
-    return F.when(cut, part.cast("decimal(14,2)")).otherwise(one), F.when(cut, whole.cast("decimal(14,2)")).otherwise(one)
+    one = F.lit(1).try_cast(MONEY)
+    return F.when(cut, part.try_cast(MONEY)).otherwise(one), F.when(cut, whole.try_cast(MONEY)).otherwise(one)
 
 
 def expense_result(rows: DataFrame) -> DataFrame:
@@ -283,8 +285,8 @@ def expense_result(rows: DataFrame) -> DataFrame:
     in_company = F.coalesce("in_company", F.lit(True))
     in_sponsor = F.coalesce("in_sponsor", F.lit(True)) & in_company
     total, comp, spon = F.col("line_total"), F.col("company_included_total"), F.col("sponsor_included_total")
-    comp_out = (F.coalesce(total, _zero()) - F.coalesce(comp, _zero())).cast(MONEY)
-    spon_out = (F.coalesce(comp, _zero()) - F.coalesce(spon, _zero())).cast(MONEY)
+    comp_out = (F.coalesce(total, _zero()) - F.coalesce(comp, _zero())).try_cast(MONEY)
+    spon_out = (F.coalesce(comp, _zero()) - F.coalesce(spon, _zero())).try_cast(MONEY)
     sponsored = F.col("claim_program") == "sponsored"
     manual = F.col("manual_cad")
     cad = F.coalesce(
@@ -301,24 +303,22 @@ def expense_result(rows: DataFrame) -> DataFrame:
     def program(included: Column, line_in: Column, line_out: Column) -> tuple[Column, Column, Column]:
         num, den = _fraction(line_in, line_out, total)
         cut = (line_out > lit_dec("0.005")) & (F.coalesce(total, _zero()) != 0) & line_in.isNotNull()
-        original_basis = F.when(cut, line_in).otherwise(F.coalesce("amount", _zero())).cast("decimal(14,2)")
-        original = F.when(included, (original_basis / people).cast(MONEY)).otherwise(_zero())
-        money = cad.cast("decimal(14,2)") * num
-        full = (money / (den * people).cast("decimal(18,2)")).cast(MONEY)
-        share = (money / den.cast("decimal(18,2)")).cast(MONEY)
+        original_basis = F.when(cut, line_in).otherwise(F.coalesce("amount", _zero())).try_cast(MONEY)
+        original = F.when(included, (original_basis / people).try_cast(MONEY)).otherwise(_zero())
+        full, share = part_of(cad, num, den, people), part_of(cad, num, den)
         value = (
             F.when(~included, _zero())
             .when(manual.isNotNull(), full)
             .when(cad.isNotNull() & exact, F.when(personal, share).otherwise(full))
-            .otherwise((original * F.col("fx_rate")).cast(MONEY))
+            .otherwise(at_rate(original, F.col("fx_rate")))
         )
-        ratio = F.when(included, (num / (den * people).cast("decimal(18,2)")).cast("decimal(10,8)")).otherwise(
+        ratio = F.when(included, (num / (den * people).cast("decimal(24,2)")).cast("decimal(10,8)")).otherwise(
             _zero("decimal(10,8)")
         )
         return value, original, ratio
 
     comp_cad, comp_original, comp_ratio = program(in_company, comp, comp_out)
-    spon_cad, spon_original, spon_ratio = program(in_sponsor, spon, (comp_out + spon_out).cast(MONEY))
+    spon_cad, spon_original, spon_ratio = program(in_sponsor, spon, (comp_out + spon_out).try_cast(MONEY))
     own = F.coalesce("total_cad", _zero())
     claim = F.when(sponsored, F.least(own, F.coalesce("_spon_cad", _zero()))).otherwise(_zero())
     return (
@@ -336,14 +336,14 @@ def expense_result(rows: DataFrame) -> DataFrame:
         )
         .withColumn("in_company", in_company)
         .withColumn("in_sponsor", in_sponsor)
-        .withColumns({"sponsor_claim_cad": claim.cast(MONEY)})
+        .withColumns({"sponsor_claim_cad": claim.try_cast(MONEY)})
         .withColumns(
             {
-                "sponsor_excluded_cad": F.when(sponsored, (own - F.col("sponsor_claim_cad")).cast(MONEY)).otherwise(_zero()),
+                "sponsor_excluded_cad": F.when(sponsored, (own - F.col("sponsor_claim_cad")).try_cast(MONEY)).otherwise(_zero()),
                 "reimbursable_cad": F.when(F.col("paid_by") == "traveller_personal", F.col("total_cad")).otherwise(_zero()),
                 "corporate_paid_cad": F.when(F.col("paid_by") == "company_card", F.col("total_cad")).otherwise(_zero()),
                 "company_excluded_cad": F.greatest(
-                    _zero(), (F.coalesce("cad_amount_used", _zero()) - own).cast(MONEY)
+                    _zero(), (F.coalesce("cad_amount_used", _zero()) - own).try_cast(MONEY)
                 ),
                 "claim_status": F.when(~F.col("in_company"), F.lit("excluded"))
                 .when(F.col("cad_amount_used").isNotNull(), F.lit("ready"))
@@ -406,19 +406,18 @@ def tax_split(rows: DataFrame) -> DataFrame:
     claim = F.col("reimbursable_cad")
     fx = F.coalesce(
         F.nullif(F.col("fx_rate"), F.lit(0).cast(FX6)),
-        F.when(F.col("currency") == "CAD", F.lit(1).cast(FX6)).otherwise(_zero(FX6)),
+        F.when(F.col("currency") == "CAD", F.lit(1).try_cast(FX6)).otherwise(_zero(FX6)),
     )
     recovery = F.when(meal, F.col("meal_tax_recovery_pct")).otherwise(F.col("normal_tax_recovery_pct")) * F.col(
         "commercial_use_pct"
     )
 
     def tax(name: str, registered: str) -> Column:
-        original = F.coalesce(F.col(name), _zero()).cast("decimal(12,2)")
-        cad = (original * fx.cast("decimal(12,6)") * F.col("company_ratio").cast("decimal(10,8)")).cast(MONEY)
-        return F.when(F.col(registered), (cad * recovery).cast("decimal(20,8)")).otherwise(_zero("decimal(20,8)"))
+        cad = at_rate(F.coalesce(F.col(name), _zero()), fx, F.col("company_ratio"))
+        return F.when(F.col(registered), (cad * recovery).try_cast(POSTED)).otherwise(_zero(POSTED))
 
     out = rows.withColumn("_gst", tax("gst_hst", "gst_hst_registrant")).withColumn("_qst", tax("qst", "qst_registrant"))
-    net = (claim - F.col("_gst") - F.col("_qst")).cast("decimal(20,8)")
+    net = (claim - F.col("_gst") - F.col("_qst")).try_cast(POSTED)
     return out.withColumn("recoverable_gst", F.col("_gst")).withColumn("recoverable_qst", F.col("_qst")).withColumn(
         "net_cad", net
     ).drop("_gst", "_qst")
@@ -430,22 +429,22 @@ def posting_lines(expenses: DataFrame, profiles: DataFrame | None = None) -> Dat
     split = tax_split(rows)
     meal = is_meal(F.col("expense_type"))
     sponsored = F.col("claim_program") == "sponsored"
-    claim = F.col("reimbursable_cad").cast("decimal(20,8)")
-    passed = F.least(claim, F.coalesce("sponsor_claim_cad", _zero()).cast("decimal(20,8)"))
-    borne = (claim - passed).cast("decimal(20,8)")
+    claim = F.col("reimbursable_cad").try_cast(POSTED)
+    passed = F.least(claim, F.coalesce("sponsor_claim_cad", _zero()).try_cast(POSTED))
+    borne = (claim - passed).try_cast(POSTED)
     base = F.when(sponsored, borne).otherwise(F.col("net_cad"))
-    deductible = (base * F.col("meal_deduction_pct") * F.col("commercial_use_pct")).cast("decimal(20,8)")
-    nothing = _zero("decimal(20,8)")
+    deductible = (base * F.col("meal_deduction_pct") * F.col("commercial_use_pct")).try_cast(POSTED)
+    nothing = _zero(POSTED)
     parts = {
         "expenses_recoverable_from_clients": F.when(sponsored, passed).otherwise(nothing),
         "meal_deductible": F.when(meal, deductible).otherwise(nothing),
-        "meal_nondeductible": F.when(meal, (base - deductible).cast("decimal(20,8)")).otherwise(nothing),
+        "meal_nondeductible": F.when(meal, (base - deductible).try_cast(POSTED)).otherwise(nothing),
         "non_meal": F.when(meal, nothing).otherwise(base),
         "gst_hst_receivable": F.when(sponsored, nothing).otherwise(F.col("recoverable_gst")),
         "qst_receivable": F.when(sponsored, nothing).otherwise(F.col("recoverable_qst")),
     }
     items = F.array(
-        *[F.struct(F.lit(k).alias("account_key"), v.cast("decimal(20,8)").alias("part")) for k, v in parts.items()]
+        *[F.struct(F.lit(k).alias("account_key"), v.try_cast(POSTED).alias("part")) for k, v in parts.items()]
     )
     return (
         split.select("trip_id", "account_mapping", F.explode(items).alias("p"))
@@ -468,27 +467,27 @@ def journal(expenses: DataFrame, profiles: DataFrame | None = None) -> DataFrame
         posting_lines(expenses, profiles)
         .groupBy("trip_id", "account")
         .agg(F.min("account_key").alias("account_key"), F.sum("part").alias("_sum"))
-        .withColumn("amount_cad", F.col("_sum").cast(MONEY))
+        .withColumn("amount_cad", F.col("_sum").try_cast(MONEY))
         .filter(F.abs("_sum") >= lit_dec("0.005"))
     )
     claim = expenses.groupBy("trip_id").agg(
-        F.coalesce(F.sum("reimbursable_cad"), _zero()).cast(MONEY).alias("claim_total")
+        F.coalesce(F.sum("reimbursable_cad"), _zero()).try_cast(MONEY).alias("claim_total")
     )
     trip = Window.partitionBy("trip_id")
     rank = F.coalesce(
         *[F.when(F.col("account_key") == k, F.lit(i)) for i, k in enumerate(RESIDUAL_ORDER)], F.lit(99)
     )
-    j = summed.join(claim, "trip_id").withColumn("_journal", F.sum("amount_cad").over(trip).cast(MONEY))
-    residual = (F.col("claim_total") - F.col("_journal")).cast(MONEY)
+    j = summed.join(claim, "trip_id").withColumn("_journal", F.sum("amount_cad").over(trip).try_cast(MONEY))
+    residual = (F.col("claim_total") - F.col("_journal")).try_cast(MONEY)
     target = F.row_number().over(trip.orderBy(rank, "account")) == 1
     adjust = F.when(
         target & (F.abs(residual) >= lit_dec("0.005")) & (F.abs(residual) <= lit_dec("0.05")), residual
     ).otherwise(_zero())
-    return j.withColumn("rounding_adjustment_cad", adjust.cast(MONEY)).select(
+    return j.withColumn("rounding_adjustment_cad", adjust.try_cast(MONEY)).select(
         "trip_id",
         "account_key",
         "account",
-        (F.col("amount_cad") + F.col("rounding_adjustment_cad")).cast(MONEY).alias("amount_cad"),
+        (F.col("amount_cad") + F.col("rounding_adjustment_cad")).try_cast(MONEY).alias("amount_cad"),
         "rounding_adjustment_cad",
     )
 
@@ -497,7 +496,7 @@ def claim_summary(expenses: DataFrame) -> DataFrame:
     """CLM10: trip totals and counters."""
 
     def total(name: str, alias: str) -> Column:
-        return F.coalesce(F.sum(name), _zero()).cast(MONEY).alias(alias)
+        return F.coalesce(F.sum(name), _zero()).try_cast(MONEY).alias(alias)
 
     return expenses.groupBy("trip_id").agg(
         F.count("*").alias("expense_count"),
@@ -516,15 +515,15 @@ def claim_summary(expenses: DataFrame) -> DataFrame:
 def controls(expenses: DataFrame, journal_rows: DataFrame, trips: DataFrame) -> DataFrame:
     """CLM8: payer, sponsor and accounting differences per trip."""
     s = claim_summary(expenses)
-    jt = journal_rows.groupBy("trip_id").agg(F.sum("amount_cad").cast(MONEY).alias("journal_total"))
+    jt = journal_rows.groupBy("trip_id").agg(F.sum("amount_cad").try_cast(MONEY).alias("journal_total"))
     j = s.join(jt, "trip_id", "left").join(trips.select("trip_id", "claim_program"), "trip_id")
-    payer = (F.col("reviewed_total_cad") - F.col("reimbursement_total_cad") - F.col("corporate_paid_total_cad")).cast(MONEY)
+    payer = (F.col("reviewed_total_cad") - F.col("reimbursement_total_cad") - F.col("corporate_paid_total_cad")).try_cast(MONEY)
     sponsor = F.when(
         F.col("claim_program") == "sponsored",
-        (F.col("reviewed_total_cad") - F.col("sponsor_claim_total_cad") - F.col("sponsor_excluded_total_cad")).cast(MONEY),
+        (F.col("reviewed_total_cad") - F.col("sponsor_claim_total_cad") - F.col("sponsor_excluded_total_cad")).try_cast(MONEY),
     ).otherwise(_zero())
-    accounting = (F.coalesce("journal_total", _zero()) - F.col("reimbursement_total_cad")).cast(MONEY)
-    ok = lambda c: F.abs(c) <= lit_dec(CONTROL_TOLERANCE)
+    accounting = (F.coalesce("journal_total", _zero()) - F.col("reimbursement_total_cad")).try_cast(MONEY)
+    ok = lambda c: F.coalesce(F.abs(c) <= lit_dec(CONTROL_TOLERANCE), F.lit(False))
     return j.select(
         "trip_id",
         payer.alias("payer_difference_cad"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.functions.amounts import MONEY, lit_dec
+from tripledger.functions.amounts import MONEY, SHARE, lit_dec
 
 RECEIPT = ["trip_id", "source_file"]
 # Fixed values
@@ -41,7 +41,7 @@ def tax_rows(receipts: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(TAX_POSITION + i).cast("bigint").alias("pos"),
                 F.lit(label).alias("description"),
-                F.coalesce(F.col(kind), _zero()).cast(MONEY).alias("amount"),
+                F.coalesce(F.col(kind), _zero()).try_cast(MONEY).alias("amount"),
                 F.lit(kind).alias("line_type"),
             )
             for i, (kind, label) in enumerate(TAX_LABELS.items())
@@ -81,7 +81,7 @@ def canonical_tax_lines(lines: DataFrame, receipts: DataFrame) -> tuple[DataFram
     settled = receipts.join(found, RECEIPT, "left")
     settled = settled.select(
         *[c for c in receipts.columns if c not in TAX_LABELS],
-        *[F.coalesce(F.col(k), F.col(f"_{k}"), _zero()).cast(MONEY).alias(k) for k in TAX_LABELS],
+        *[F.coalesce(F.col(k), F.col(f"_{k}"), _zero()).try_cast(MONEY).alias(k) for k in TAX_LABELS],
     )
     ordinary = tagged.filter("_kind is null").select(
         *RECEIPT, "pos", "description", "amount", F.lit("item").alias("line_type"), "is_alcohol", "confidence",
@@ -92,7 +92,7 @@ def canonical_tax_lines(lines: DataFrame, receipts: DataFrame) -> tuple[DataFram
 
 def _line_sums(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*RECEIPT).agg(
-        F.coalesce(F.sum("amount"), _zero()).cast(MONEY).alias("_total"),
+        F.coalesce(F.sum("amount"), _zero()).try_cast(MONEY).alias("_total"),
         F.count_if(~F.col("line_type").isin(list(TAX_LABELS))).alias("_ordinary"),
         F.bool_or(F.col("description").startswith("Receipt total")).alias("_has_total"),
         F.bool_or(F.col("description") == UNRECONCILED_MEAL).alias("_has_gap"),
@@ -107,7 +107,7 @@ def gap_line(lines: DataFrame, receipts: DataFrame) -> DataFrame:
     """
     j = receipts.join(_line_sums(lines), RECEIPT, "left").filter("amount is not null")
     total = F.coalesce("_total", _zero())
-    gap = (F.col("amount") - total).cast(MONEY)
+    gap = (F.col("amount") - total).try_cast(MONEY)
     meal = is_meal(F.col("expense_type"))
     blocked = F.coalesce(F.col("_has_total"), F.lit(False)) | F.coalesce(F.col("_has_gap"), F.lit(False))
     matches = F.coalesce(F.abs(F.col("subtotal") - gap) <= lit_dec("0.05"), F.lit(False))
@@ -142,7 +142,7 @@ def minimum_lines(lines: DataFrame, receipts: DataFrame) -> DataFrame:
         .when(meal, F.lit("Receipt total - review meal line items"))
         .otherwise(F.lit("Receipt total"))
         .alias("description"),
-        F.col("amount").cast(MONEY).alias("amount"),
+        F.col("amount").try_cast(MONEY).alias("amount"),
         F.lit("item").alias("line_type"),
         F.lit(False).alias("is_alcohol"),
         F.when(missing, 0.0).otherwise(0.5).cast("double").alias("confidence"),
@@ -173,7 +173,7 @@ def reconcile_note(lines: DataFrame, receipts: DataFrame) -> DataFrame:
         & (F.col("description") != ALCOHOL_PLACEHOLDER)
     )
     sums = lines.groupBy(*RECEIPT).agg(
-        F.sum(F.when(counted, F.col("amount"))).cast(MONEY).alias("_sum"),
+        F.sum(F.when(counted, F.col("amount"))).try_cast(MONEY).alias("_sum"),
         F.bool_or(F.col("description") == UNRECONCILED_MEAL).alias("_gap"),
     )
     j = receipts.join(sums, RECEIPT, "left")
@@ -203,7 +203,7 @@ def reconcile_note(lines: DataFrame, receipts: DataFrame) -> DataFrame:
 
 def line_signature() -> Column:
     text = F.regexp_replace(F.trim(F.lower(F.coalesce("description", F.lit("")))), r"\s+", " ")
-    return F.concat(text, F.lit("|"), F.coalesce(F.col("amount").cast(MONEY).cast("string"), F.lit("")))
+    return F.concat(text, F.lit("|"), F.coalesce(F.col("amount").try_cast(MONEY).cast("string"), F.lit("")))
 
 
 def line_ids(lines: DataFrame) -> DataFrame:
@@ -251,9 +251,9 @@ def receipt_totals(lines: DataFrame, receipts: DataFrame) -> DataFrame:
     company = F.col("in_company")
     sponsor = F.col("in_company") & F.col("in_sponsor")
     sums = lines.groupBy(*RECEIPT).agg(
-        F.coalesce(F.sum("amount"), _zero()).cast(MONEY).alias("line_total"),
-        F.coalesce(F.sum(F.when(company, F.col("amount"))), _zero()).cast(MONEY).alias("company_included_total"),
-        F.coalesce(F.sum(F.when(sponsor, F.col("amount"))), _zero()).cast(MONEY).alias("sponsor_included_total"),
+        F.coalesce(F.sum("amount"), _zero()).try_cast(MONEY).alias("line_total"),
+        F.coalesce(F.sum(F.when(company, F.col("amount"))), _zero()).try_cast(MONEY).alias("company_included_total"),
+        F.coalesce(F.sum(F.when(sponsor, F.col("amount"))), _zero()).try_cast(MONEY).alias("sponsor_included_total"),
         F.bool_or(F.col("description") == UNRECONCILED_MEAL).alias("has_gap_line"),
     )
     j = receipts.join(sums, RECEIPT, "left")
@@ -263,23 +263,23 @@ def receipt_totals(lines: DataFrame, receipts: DataFrame) -> DataFrame:
     people = F.greatest(F.lit(1), F.coalesce("number_of_people", F.lit(1)))
     sponsored = F.col("claim_program") == "sponsored" if "claim_program" in receipts.columns else F.lit(False)
     included = F.when(sponsored, spon).otherwise(comp)
-    difference = (total - F.col("amount")).cast(MONEY)
+    difference = (total - F.col("amount")).try_cast(MONEY)
     reconciled = F.coalesce(difference == 0, F.lit(False))
     meal = is_meal(F.col("expense_type"))
     has_gap = F.coalesce("has_gap_line", F.lit(False))
-    excluded = (total - included).cast(MONEY)
+    excluded = (total - included).try_cast(MONEY)
     cut = excluded > lit_dec("0.005")
 
     def share(value: Column) -> Column:
-        return (value.cast("decimal(18,6)") / people.cast("decimal(6,0)")).cast(MONEY)
+        return (value.cast(SHARE) / people.cast("decimal(6,0)")).try_cast(MONEY)
 
     return j.select(
         *receipts.columns,
         total.alias("line_total"),
         comp.alias("company_included_total"),
-        (total - comp).cast(MONEY).alias("company_excluded_total"),
+        (total - comp).try_cast(MONEY).alias("company_excluded_total"),
         spon.alias("sponsor_included_total"),
-        (comp - spon).cast(MONEY).alias("sponsor_excluded_total"),
+        (comp - spon).try_cast(MONEY).alias("sponsor_excluded_total"),
         difference.alias("difference"),
         reconciled.alias("reconciled"),
         F.when(~reconciled | has_gap, F.lit("review"))
@@ -292,7 +292,7 @@ def receipt_totals(lines: DataFrame, receipts: DataFrame) -> DataFrame:
         share(spon).alias("per_person_sponsor_total"),
         F.when(
             cut & reconciled & (total > 0),
-            F.greatest(F.lit(0), F.least(F.lit(1), included.cast("decimal(14,2)") / total.cast("decimal(14,2)"))).cast("decimal(10,8)"),
+            F.greatest(F.lit(0), F.least(F.lit(1), included.try_cast(MONEY) / total.try_cast(MONEY))).cast("decimal(10,8)"),
         )
         .otherwise(F.lit(1).cast("decimal(10,8)"))
         .alias("claimable_ratio"),
@@ -314,7 +314,7 @@ def sponsor_amounts(lines: DataFrame, receipts: DataFrame) -> DataFrame:
     whole = F.col("in_company") & ~F.col("in_sponsor")
 
     def share(value: Column) -> Column:
-        return (F.coalesce(value, _zero()).cast("decimal(18,6)") / people).cast(MONEY)
+        return (F.coalesce(value, _zero()).cast(SHARE) / people).try_cast(MONEY)
 
     j = receipts.join(sums, RECEIPT, "left")
     return j.select(
@@ -371,8 +371,8 @@ def prorate_money(
     Rounded shares, the residual on the last row; all on the first row when no weight is
     positive. Sums and first/last rows are aggregates joined back, not a per-key window.
     """
-    w = F.greatest(F.lit(0), F.coalesce(F.col(weight), F.lit(0))).cast(MONEY)
-    cents = lambda c: (c.cast(MONEY) * 100).cast("decimal(18,0)")
+    w = F.greatest(F.lit(0), F.coalesce(F.col(weight), F.lit(0))).try_cast(MONEY)
+    cents = lambda c: (c.try_cast(MONEY) * 100).cast("decimal(18,0)")
     place = F.struct(*order)
     sums = rows.groupBy(*keys).agg(
         F.sum(w).alias("_w"), F.max(place).alias("_last"), F.min(place).alias("_first")
@@ -382,12 +382,12 @@ def prorate_money(
     rounded = F.call_function("div", 2 * F.abs(cents(F.col(total))) * cents(w) + whole, 2 * whole)
     share = F.when(
         F.col("_w") <= 0, F.when(place == F.col("_first"), F.col(total)).otherwise(_zero())
-    ).otherwise((F.signum(F.col(total)).cast("decimal(1,0)") * rounded.cast("decimal(18,0)") * lit_dec("0.01", "decimal(2,2)")).cast(MONEY))
-    shared = rows.join(sums, list(keys)).withColumn("_share", share.cast(MONEY))
+    ).otherwise((F.signum(F.col(total)).cast("decimal(1,0)") * rounded.cast("decimal(18,0)") * lit_dec("0.01", "decimal(2,2)")).try_cast(MONEY))
+    shared = rows.join(sums, list(keys)).withColumn("_share", share.try_cast(MONEY))
     given = shared.groupBy(*keys).agg(F.sum("_share").alias("_given"))
     residual = F.when((place == F.col("_last")) & (F.col("_w") > 0), F.col(total) - F.col("_given")).otherwise(_zero())
     return (
         shared.join(given, list(keys))
-        .withColumn(out, (F.col("_share") + residual).cast(MONEY))
+        .withColumn(out, (F.col("_share") + residual).try_cast(MONEY))
         .drop("_w", "_last", "_first", "_share", "_given")
     )

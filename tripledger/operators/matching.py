@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripledger.functions.amounts import (
+    SHARE,
     amount_bucket,
     card_gap_percent,
     close_amount,
@@ -360,7 +361,7 @@ def _description_grams(rows: DataFrame) -> DataFrame:
 def _no_amounts(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
-            "share": F.lit(None).cast("decimal(18,6)"),
+            "share": F.lit(None).cast(SHARE),
             "estimated_cad": F.lit(None).cast("decimal(18,2)"),
             "currency": F.lit(""),
             "purchase_abs": F.lit(None).cast("decimal(18,2)"),

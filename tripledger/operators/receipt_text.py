@@ -6,16 +6,22 @@ expression over it, so the whole extraction is a map-only stage without any shuf
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.functions.aggs import append_note
 from tripledger.functions.cleaners import MONTHS, bind, contains_any, title_words
 from tripledger.functions.money_text import ADDITIVE, CURRENCIES, OPEN, line_info, strip_tokens
+from tripledger.operators.lines import TAX_LABELS, tax_line_type
 
 AMOUNT = "decimal(18,2)"
 MON = "|".join(MONTHS)
 CODES = "|".join(CURRENCIES)
+# Reasons of the alcohol rules that say nothing about the line
+NO_EVIDENCE = ["empty description", "no alcohol evidence"]
 
 
 def text_lines(raw: Column) -> Column:
@@ -130,9 +136,12 @@ def find_filename_date(name: Column) -> Column:
 
 # ------------------------------------------------------------------ supplier
 
+# Words of lines that name no supplier
+NOT_A_SUPPLIER = ["receipt", "tax invoice", "invoice", "abn", "gst", "date", "amount", "total", "gmail", "reply-to", "to:"]
+
 
-def find_supplier(lines: Column, name: Column) -> Column:
-    """TXT5."""
+def find_supplier(lines: Column, name: Column, ignore: Sequence[str] = ()) -> Column:
+    """TXT5. ignore: further words (of the payer's own letterhead, for one) that no supplier line holds, in lower case."""
     edge = r"^[ :\-]+|[ :\-]+$"
 
     def restaurant(line: Column) -> Column:
@@ -145,7 +154,7 @@ def find_supplier(lines: Column, name: Column) -> Column:
         titled = F.regexp_replace(F.regexp_replace(titled, r"(?<=^| )Of(?= |$)", "of"), r"(?<=^| )The(?= |$)", "the")
         return F.when(line.rlike(r"(?iU)\brestaurant\b") & (hit != ""), F.left(titled, F.lit(80)))
 
-    ignored = r"(?i)receipt|tax invoice|invoice|abn|gst|date|amount|total|florent|gmail|reply-to|to:"
+    ignored = "(?i)" + "|".join([*NOT_A_SUPPLIER, *(re.escape(w) for w in ignore)])
 
     def plain(line: Column) -> Column:
         t = F.regexp_replace(F.regexp_replace(line, r"(?U)\s+", " "), edge, "")
@@ -444,15 +453,15 @@ def best_extraction(versions: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ whole receipt
 
 
-def extract_receipts(receipts: DataFrame) -> DataFrame:
-    """TXT3-TXT13 over (trip_id, source_file, raw_text, method)."""
+def extract_receipts(receipts: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
+    """TXT3-TXT13 over (trip_id, source_file, raw_text, method). ignore: words that no supplier line holds."""
     base = with_lines(receipts)
     text = F.coalesce("raw_text", F.lit(""))
     step = base.withColumns(
         {
             "document_date": F.coalesce(find_invoice_date(F.col("lines")), find_date(text)),
             "filename_date": find_filename_date(F.col("source_file")),
-            "vendor": find_supplier(F.col("lines"), F.col("source_file")),
+            "vendor": find_supplier(F.col("lines"), F.col("source_file"), ignore),
             "_inferred": infer_currency(text),
             **registration_numbers(text),
         }
@@ -591,30 +600,64 @@ def purchase_lines(extracted: DataFrame) -> DataFrame:
     )
 
 
-def merge_external(local_lines: DataFrame, external_lines: DataFrame, receipts: DataFrame) -> DataFrame:
-    """TXT19: lines of each receipt after an outside extraction.
+def merge_external_receipts(local: DataFrame, external: DataFrame) -> DataFrame:
+    """TXT19, fields: per receipt the external extraction where its TXT14 ``quality`` is at least the local one's, else the local one.
+
+    Receipts of one side only keep that side. Both sides have the same columns; ``origin`` says which was taken.
+    """
+    both = external.withColumns({"version": F.lit(0), "origin": F.lit("external")}).unionByName(
+        local.withColumns({"version": F.lit(1), "origin": F.lit("local")})
+    )
+    return best_extraction(both).drop("version")
+
+
+def lines_reconcile(rows: DataFrame, receipts: DataFrame) -> DataFrame:
+    """(trip, file, fits, any): whether the lines of a receipt make up its total within .05.
 
-    Local lines stay when they reconcile with the total and the external ones do not (at least two
-    lines and within .05); otherwise the external lines are used. Local alcohol evidence wins, an
-    explicit local non-alcohol (confidence >= .99) vetoes the external flag.
+    At least two lines with an amount count that are neither tax nor made up by a rule; a tax line is replaced by the tax
+    field of its kind. No lines never fit.
     """
     key = ["trip_id", "source_file"]
+    amount = F.coalesce("amount", F.lit(0).cast(AMOUNT))
+    kind = tax_line_type(F.col("description"))
+    if "line_type" in rows.columns:
+        kind = F.coalesce(F.when(F.col("line_type").isin(list(TAX_LABELS)), F.col("line_type")), kind)
+    made_up = F.coalesce("synthetic", F.lit(False)) if "synthetic" in rows.columns else F.lit(False)
+    tax = kind.isNotNull()
+    sums = rows.groupBy(*key).agg(
+        F.coalesce(F.sum(F.when(~tax, amount)), F.lit(0)).alias("_s"), F.count_if(~tax & ~made_up & F.col("amount").isNotNull()).alias("_n")
+    )
+    fields = [F.coalesce(F.col(k), F.lit(0)) for k in TAX_LABELS if k in receipts.columns]
+    taxes = sum(fields, F.lit(0).cast(AMOUNT))
+    j = receipts.select(*key, F.col("amount").alias("_total"), taxes.alias("_t")).join(sums, key, "left")
+    fits = (F.col("_n") >= 2) & (F.abs(F.col("_s") + F.col("_t") - F.col("_total")) <= F.lit("0.05").cast("decimal(3,2)"))
+    return j.select(*key, F.coalesce(fits, F.lit(False)).alias("fits"), F.col("_n").isNotNull().alias("any"))
 
-    def fits(rows: DataFrame, name: str) -> DataFrame:
-        sums = rows.groupBy(*key).agg(F.sum("amount").alias("_s"), F.count("amount").alias("_n"))
-        return receipts.select(*key, "amount").join(sums, key, "left").select(
-            *key,
-            F.coalesce((F.col("_n") >= 2) & (F.abs(F.col("_s") - F.col("amount")) <= 0.05), F.lit(False)).alias(name),
-            F.col("_n").isNotNull().alias(name + "_any"),
-        )
 
-    choice = fits(local_lines, "local").join(fits(external_lines, "external"), key).select(
-        *key, (~F.col("external_any") | (F.col("local") & ~F.col("external"))).alias("use_local")
+def merge_external(local_lines: DataFrame, external_lines: DataFrame, receipts: DataFrame) -> DataFrame:
+    """TXT19: lines of each receipt after an outside extraction.
+
+    Local lines stay when they reconcile with the total and the external ones do not; otherwise the external lines are
+    used. Of local lines that stay, an unnamed tax line that repeats the tax fields goes. Local alcohol evidence wins, an
+    explicit local non-alcohol (confidence >= .99 for a reason found in the text) vetoes the external flag; a blank
+    line or one without evidence vetoes nothing.
+    """
+    key = ["trip_id", "source_file"]
+    ours_fit = lines_reconcile(local_lines, receipts).select(*key, F.col("fits").alias("local"))
+    theirs_fit = lines_reconcile(external_lines, receipts).select(*key, F.col("fits").alias("external"), F.col("any").alias("external_any"))
+    fields = [F.coalesce(F.col(k), F.lit(0)) for k in TAX_LABELS if k in receipts.columns]
+    taxes = receipts.select(*key, sum(fields, F.lit(0).cast(AMOUNT)).alias("_tax"))
+    choice = ours_fit.join(theirs_fit, key).select(
+        *key, (~F.col("external_any") | (F.col("local") & ~F.col("external"))).alias("use_local"), "external_any"
     )
-    ours = local_lines.join(choice.filter("use_local"), key, "left_semi").select(
+    repeats_tax = (
+        F.col("external_any") & (F.col("_tax") != 0) & F.trim(F.coalesce("description", F.lit(""))).rlike(r"(?i)^(?:sales\s+)?tax(?:es)?$")
+        & (F.abs(F.col("amount") - F.col("_tax")) <= F.lit("0.05").cast("decimal(3,2)"))
+    )
+    ours = local_lines.join(choice.filter("use_local"), key).join(taxes, key).filter(~F.coalesce(repeats_tax, F.lit(False))).select(
         *key, "pos", "description", "amount", "is_alcohol", "alcohol_confidence", F.lit("local").alias("origin")
     )
-    veto = ~F.col("is_alcohol") & (F.col("alcohol_confidence") >= 0.99)
+    veto = ~F.col("is_alcohol") & (F.col("alcohol_confidence") >= 0.99) & ~F.col("alcohol_reason").isin(NO_EVIDENCE)
     flagged = F.col("is_alcohol") | (F.col("external_alcohol") & ~veto)
     theirs = external_lines.join(choice.filter("not use_local"), key, "left_semi").select(
         *key,

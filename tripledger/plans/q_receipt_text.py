@@ -246,18 +246,35 @@ def _(spark, d):
     "txt19_merge_external_extraction",
     oracle(
         "receipts receipt_lines trips",
-        """, ext AS (SELECT trip_id, source_file, CASE WHEN len(source_file) > 0 AND trip_id < 'T000700' THEN sum(amount) END AS s, count(*) AS n FROM receipt_lines GROUP BY 1, 2)
-SELECT l.trip_id, l.source_file, pos, CASE WHEN l.trip_id < 'T000700' THEN 'external' ELSE 'local' END AS origin,
-       CASE WHEN l.trip_id < 'T000700' THEN description IN ('Shiraz', 'Espresso martini') OR (pos % 2 = 0 AND description NOT IN ('Ginger beer', 'Mocktail', 'GST')) ELSE description IN ('Shiraz', 'Espresso martini') END AS is_alcohol
-FROM receipt_lines l""",
-    ).replace("\n, ext AS", ", ext AS"),
+        """SELECT l.trip_id, l.source_file, pos, 'local' AS origin, description IN ('Shiraz', 'Espresso martini') AS is_alcohol
+FROM receipt_lines l JOIN choice c ON c.trip_id = l.trip_id AND c.source_file = l.source_file WHERE use_local
+UNION ALL
+SELECT l.trip_id, l.source_file, pos, 'external', description IN ('Shiraz', 'Espresso martini') OR (pos % 2 = 0 AND description NOT IN ('Ginger beer', 'Mocktail', 'GST'))
+FROM ext l JOIN choice c ON c.trip_id = l.trip_id AND c.source_file = l.source_file WHERE NOT use_local""",
+        """ext AS (SELECT trip_id, source_file, pos, CASE WHEN pos % 10 = 4 THEN '' ELSE description END AS description, amount
+  FROM receipt_lines WHERE trip_id < 'T000700' AND pos % 5 <> 3),
+ls AS (SELECT trip_id, source_file, sum(CASE WHEN description <> 'GST' THEN amount ELSE 0 END) AS s, count_if(description <> 'GST') AS n FROM receipt_lines GROUP BY 1, 2),
+es AS (SELECT trip_id, source_file, sum(CASE WHEN description <> 'GST' THEN amount ELSE 0 END) AS s, count_if(description <> 'GST') AS n FROM ext GROUP BY 1, 2),
+totals AS (SELECT r.trip_id, r.source_file, ls.n, ls.s + coalesce(gst_hst, 0) + coalesce(qst, 0) AS made, coalesce(gst_hst, 0) + coalesce(qst, 0) AS tax,
+  CASE WHEN CAST(substr(r.source_file, 9, 1) AS INTEGER) % 2 = 0 THEN ls.s + coalesce(gst_hst, 0) + coalesce(qst, 0) ELSE amount END AS total
+  FROM receipts r JOIN ls ON ls.trip_id = r.trip_id AND ls.source_file = r.source_file),
+choice AS (SELECT t.trip_id, t.source_file, es.n IS NULL OR (t.n >= 2 AND coalesce(abs(made - total) <= 0.05, false)
+  AND NOT (es.n >= 2 AND coalesce(abs(es.s + tax - total) <= 0.05, false))) AS use_local
+  FROM totals t LEFT JOIN es ON es.trip_id = t.trip_id AND es.source_file = t.source_file)""",
+    ),
 )
 def _(spark, d):
+    """Outside extraction of the trips below T000700 without every fifth line, every tenth one blank; every second receipt's total is that of its local lines."""
     local = alcohol.detect_alcohol(view(spark, d, "receipt_lines"))
-    external = local.filter("trip_id < 'T000700'").withColumns(
+    blank = F.when(F.col("pos") % 10 == 4, F.lit("")).otherwise(F.col("description"))
+    external = alcohol.detect_alcohol(local.filter("trip_id < 'T000700' and pos % 5 <> 3").withColumn("description", blank)).withColumns(
         {"external_alcohol": F.col("pos") % 2 == 0, "external_confidence": F.lit(0.5).cast("decimal(3,2)")}
     )
-    return receipt_text.merge_external(local, external, view(spark, d, "receipts")).select(*KEY, "pos", "origin", "is_alcohol")
+    sums = local.groupBy(*KEY).agg(F.sum(F.when(F.col("description") != "GST", F.col("amount")).otherwise(0)).alias("s"))
+    taxes = F.coalesce("gst_hst", F.lit(0)) + F.coalesce("qst", F.lit(0))
+    whole = F.substring("source_file", 9, 1).cast("int") % 2 == 0
+    receipts = view(spark, d, "receipts").join(sums, KEY).withColumn("amount", F.when(whole, F.col("s") + taxes).otherwise(F.col("amount")).cast("decimal(18,2)"))
+    return receipt_text.merge_external(local, external, receipts).select(*KEY, "pos", "origin", "is_alcohol")
 
 
 @query(
