@@ -219,6 +219,59 @@ def extraction_changes(before: DataFrame, after: DataFrame, overrides: DataFrame
     )
 
 
+def _snapshot(lines: DataFrame) -> DataFrame:
+    """Extracted purchase lines as they are compared: wording without extra blanks, whole cents, automatic alcohol flag."""
+    kept = lines.filter(~F.coalesce(F.col("line_type").isin(SYSTEM_FIELDS), F.lit(False))) if "line_type" in lines.columns else lines
+    return kept.select(
+        *RECEIPT, "pos",
+        F.struct(
+            F.trim(F.regexp_replace(F.coalesce("description", F.lit("")), r"\s+", " ")).alias("d"), F.col("amount").cast(MONEY).alias("a"),
+            F.coalesce("is_alcohol", F.lit(False)).alias("x"),
+        ).alias("line"),
+    )
+
+
+def _digest(snapshot: DataFrame, name: str) -> DataFrame:
+    """An ordered digest of each receipt's lines: their number, and the sums of their hashes and of those weighted by place.
+
+    Sums of halves of the hash, so nothing overflows and parts combine before the shuffle.
+    """
+    h = F.xxhash64("line")
+    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)
+    at = F.pmod(F.xxhash64("pos"), F.lit(1_000_003)).cast("decimal(20,0)")
+    sums = [F.sum(x.cast("decimal(20,0)")) for x in (low, high)] + [F.sum((x.cast("decimal(20,0)") * at).cast("decimal(30,0)")) for x in (low, high)]
+    return snapshot.groupBy(*RECEIPT).agg(F.concat_ws("|", F.count("*").cast("string"), *[x.cast("string") for x in sums]).alias(name))
+
+
+def line_changes(before: DataFrame, after: DataFrame, decided: DataFrame) -> DataFrame:
+    """REV4, lines: receipts whose extracted lines differ in wording, amount, alcohol flag or order, with both as text.
+
+    before, after: extracted lines (pos, description, amount, is_alcohol, line_type); decided: (trip, file) of receipts with
+    lines that a reviewer decided. Only receipts whose digests differ are gathered and compared in order.
+    """
+    old, new = _snapshot(before), _snapshot(after)
+    differ = (
+        _digest(old, "_old").join(_digest(new, "_new"), RECEIPT, "full").filter(~F.col("_old").eqNullSafe(F.col("_new"))).select(*RECEIPT)
+    )
+
+    def packed(snapshot: DataFrame, name: str) -> DataFrame:
+        rows = snapshot.join(differ, RECEIPT, "left_semi").groupBy(*RECEIPT).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+        return rows.select(*RECEIPT, F.col("l.line").alias(name))
+
+    def shown(lines: Column) -> Column:
+        one = lambda x: F.concat(
+            F.when(x["d"] == "", F.lit("Unnamed line")).otherwise(x["d"]), F.lit(" — "), F.coalesce(x["a"].cast("string"), F.lit("amount missing"))
+        )
+        return F.when(F.size(F.coalesce(lines, F.array())) <= 0, F.lit("No extracted purchase lines")).otherwise(F.array_join(F.transform(lines, one), "; "))
+
+    both = differ.join(packed(old, "_b"), RECEIPT, "left").join(packed(new, "_a"), RECEIPT, "left").filter(~F.col("_b").eqNullSafe(F.col("_a")))
+    mine = decided.select(*RECEIPT).distinct().withColumn("preserved_user_value", F.lit(True))
+    return both.join(mine, RECEIPT, "left").select(
+        *RECEIPT, F.lit("line_items").alias("field"), shown(F.col("_b")).alias("before"), shown(F.col("_a")).alias("after"),
+        F.coalesce("preserved_user_value", F.lit(False)).alias("preserved_user_value"),
+    )
+
+
 def field_evidence(receipts: DataFrame) -> DataFrame:
     """REV5: confidence and reason per extracted field (explicit maps win over the receipt's score)."""
     fields = _present(FIELD_LABELS, receipts)

@@ -209,14 +209,58 @@ def cad_completeness(legs: DataFrame) -> DataFrame:
     )
 
 
+# Columns of legs whose different values a group lists in order of first appearance, and how they are joined
+LISTED = {"cad_source": "; ", "review_note": " "}
+
+
+def first_appearances(rows: DataFrame, keys: list[str], columns: list[str], order: list[str]) -> DataFrame:
+    """(keys, column, value, first): each different non-empty value of the columns with the least place it has.
+
+    Equal values are combined before the shuffle, so a key with very many rows sends one row a value and task. The
+    result is rows, which may be many for a key; ``first`` puts them in order.
+    """
+    values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    long = rows.select(*keys, F.struct(*order).alias("_at"), F.explode(values).alias("v")).filter("coalesce(v.value, '') <> ''")
+    return long.groupBy(*keys, F.col("v.column").alias("column"), F.col("v.value").alias("value")).agg(F.min("_at").alias("first"))
+
+
+def group_lists(legs: DataFrame) -> DataFrame:
+    """GRP1: per group the joined conversion sources of its eligible legs and the joined notes of all, each value once."""
+    shown = legs.withColumn("cad_source", F.when(F.col("match_eligible"), F.col("cad_source"))) if "cad_source" in legs.columns else legs
+    columns = [c for c in LISTED if c in shown.columns]
+    found = first_appearances(shown, ["trip_id", "group_id"], columns, ["source_file", "source_row"])
+    packed = found.groupBy("trip_id", "group_id").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("column") == c, F.struct("first", "value")))).alias(c) for c in columns]
+    )
+    return packed.select("trip_id", "group_id", *[F.array_join(F.col(f"{c}.value"), LISTED[c]).alias(c) for c in columns])
+
+
+def _leg_matches(legs: DataFrame) -> list[Column]:
+    """GRP1: match columns of a group whose legs carry a match: the one file, the strongest status, the best confidence."""
+    ok = F.col("match_eligible")
+    status = F.when(ok, F.col("match_status"))
+    has = lambda s: F.bool_or(status == s)
+    return [
+        only_value(F.col("matched_file"), ok).alias("matched_file"),
+        only_value(F.col("suggested_file"), ok).alias("suggested_file"),
+        F.when(has("manual"), F.lit("manual")).when(has("auto"), F.lit("auto")).when(has("suggested"), F.lit("suggested"))
+        .when(F.bool_or(ok), F.lit("unmatched")).otherwise(F.lit("audit")).alias("match_status"),
+        F.coalesce(F.max("match_confidence"), F.lit(0).cast("decimal(6,3)")).alias("match_confidence"),
+        F.coalesce(only_value(F.col("review_reason"), ok), F.lit("")).alias("review_reason"),
+    ]
+
+
 def transaction_groups(legs: DataFrame) -> DataFrame:
     """GRP1: one row per (trip, group).
 
     Every measure is a constant-size aggregate, so it combines map-side. The audit detail of a
     group (rows, files, funding legs) is the legs table itself, keyed by the same columns; it is
-    not collected into arrays, whose size would be unbounded.
+    not collected into arrays, whose size would be unbounded. Different sources and notes are listed by
+    ``group_lists``; legs that carry a match (matched_file, suggested_file, match_status, match_confidence,
+    review_reason) give the group's.
     """
     ok = F.col("match_eligible")
+    carried = _leg_matches(legs) if "match_status" in legs.columns else []
     rank = F.struct(F.when(ok, 0).otherwise(1), F.col("source_file"), F.col("source_row"))
     rep = F.min_by(
         F.struct(
@@ -250,6 +294,7 @@ def transaction_groups(legs: DataFrame) -> DataFrame:
             ~ok | F.col("normalization_status").isin("ok", "duplicate_confirmed")
         ).alias("clean_legs"),
         F.count("*").alias("leg_count"),
+        *carried,
     )
     purchase = F.when(F.col("purchase_currency").isNotNull(), F.col("_purchase")).cast(MONEY)
     cad = F.when(F.col("cad_completeness") == "complete", F.col("_cad")).cast(MONEY)
@@ -269,8 +314,11 @@ def transaction_groups(legs: DataFrame) -> DataFrame:
         "cad_method",
         "cad_route",
         "cad_week_start",
+        F.date_add("cad_week_start", 6).alias("cad_week_end"),
         "match_eligible",
         "normalization_status",
+        (F.col("normalization_status") == "possible_duplicate").alias("possible_duplicate"),
         "clean_legs",
         "leg_count",
+        *(["matched_file", "suggested_file", "match_status", "match_confidence", "review_reason"] if carried else []),
     )

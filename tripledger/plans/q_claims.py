@@ -19,8 +19,8 @@ ALL_PARTS = CAD_PARTS + "," + CLAIM
 LINE_COLS = ["trip_id", "source_file", "pos", "description", "amount", "line_type"]
 
 
-def claim_oracle(body: str, more: str = "") -> str:
-    return oracle(CLAIM_IN, body, ALL_PARTS + more)
+def claim_oracle(body: str, more: str = "", views: str = "") -> str:
+    return oracle(f"{CLAIM_IN} {views}", body, ALL_PARTS + more)
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tripledger.functions.materialize import materialize
 from tripledger.operators import coverage, decisions, matching
 from tripledger.plans.bindings import oracle, view
 from tripledger.plans.registry import query
@@ -257,7 +258,7 @@ def _coverage(spark, d):
     return coverage.statement_coverage(decided, view(spark, d, "group_files"))
 
 
-def _gaps(spark, d):
+def coverage_gaps(spark, d):
     trips = view(spark, d, "trips").withColumn("buffer_days", F.lit(5))
     expected = trips.select("trip_id", F.explode(F.array(F.lit("AMEX card-1"), F.lit("visa"))).alias("account"))
     return coverage.coverage_gaps(_coverage(spark, d), trips, expected)
@@ -270,27 +271,32 @@ def _(spark, d):
 
 @query("cov2_coverage_gaps", oracle(COV_IN, "SELECT trip_id, code, count(*) AS n FROM gaps GROUP BY 1, 2", COV))
 def _(spark, d):
-    return _gaps(spark, d).groupBy("trip_id", "code").agg(F.count("*").alias("n"))
+    return coverage_gaps(spark, d).groupBy("trip_id", "code").agg(F.count("*").alias("n"))
 
 
 @query(
     "cov3_coverage_confirmation",
     oracle(
         COV_IN,
-        """, conf AS (SELECT trip_id, TIMESTAMP '1998-01-01' AS confirmed_at, CASE WHEN claim_program = 'company' THEN 'ok' ELSE '' END AS note FROM trips),
-n AS (SELECT trip_id, count(*) AS gap_count FROM gaps GROUP BY 1), ch AS (SELECT trip_id, max(updated_at) AS changed FROM dispositions GROUP BY 1)
-SELECT c.trip_id, confirmed_at, note, coalesce(gap_count, 0) AS gap_count,
-       CASE WHEN coalesce(gap_count, 0) > 0 AND note = '' THEN 'note_required' WHEN ch.changed > confirmed_at THEN 'void' ELSE 'confirmed' END AS state
+        """SELECT c.trip_id, TIMESTAMP '1998-01-01' AS confirmed_at, CASE WHEN t % 2 = 0 THEN 'ok' ELSE '' END AS note, coalesce(n.gap_count, 0) AS gap_count,
+       coalesce(gap_count, 0) - CASE WHEN t % 3 = 1 THEN coalesce(early, 0) ELSE 0 END + CASE WHEN t % 5 = 0 THEN 1 ELSE 0 END AS confirmed_count,
+       CASE WHEN coalesce(gap_count, 0) - CASE WHEN t % 3 = 1 THEN coalesce(early, 0) ELSE 0 END + CASE WHEN t % 5 = 0 THEN 1 ELSE 0 END > 0 AND t % 2 = 1 THEN 'note_required'
+            WHEN ch.changed > TIMESTAMP '1998-01-01' THEN 'void_by_decision' WHEN t % 3 = 1 AND coalesce(early, 0) > 0 THEN 'void_by_new_gap'
+            WHEN t % 5 = 0 THEN 'void_by_settled_gap' ELSE 'confirmed' END AS state
 FROM conf c LEFT JOIN n USING (trip_id) LEFT JOIN ch USING (trip_id)""",
-        COV,
-    ).replace("\n, conf", ", conf"),
+        COV
+        + """, conf AS (SELECT trip_id, CAST(substr(trip_id, 2) AS INTEGER) AS t FROM trips),
+n AS (SELECT trip_id, count(*) AS gap_count, count_if(code = 'coverage_ends_early') AS early FROM gaps GROUP BY 1),
+ch AS (SELECT trip_id, max(updated_at) AS changed FROM dispositions GROUP BY 1)""",
+    ),
 )
 def _(spark, d):
-    confirmations = view(spark, d, "trips").select(
-        "trip_id",
-        F.lit("1998-01-01").cast("timestamp").alias("confirmed_at"),
-        F.when(F.col("claim_program") == "company", F.lit("ok")).otherwise(F.lit("")).alias("note"),
-    )
-    return coverage.coverage_confirmation(
-        confirmations, _gaps(spark, d), view(spark, d, "dispositions").select("trip_id", "updated_at")
-    )
+    """Confirmed were the gaps of now, in every third trip without those at the end, in every fifth with one that is settled since."""
+    t = F.substring("trip_id", 2, 6).cast("int")
+    at = F.lit("1998-01-01").cast("timestamp").alias("confirmed_at")
+    confirmations = view(spark, d, "trips").select("trip_id", at, F.when(t % 2 == 0, F.lit("ok")).otherwise(F.lit("")).alias("note"))
+    gaps = materialize(coverage_gaps(spark, d))
+    then = gaps.filter((t % 3 != 1) | (F.col("code") != "coverage_ends_early")).select("trip_id", at, "code", "message")
+    settled = confirmations.filter(t % 5 == 0).select("trip_id", "confirmed_at", F.lit("missing_account_dates").alias("code"), F.lit("settled since").alias("message"))
+    changes = view(spark, d, "dispositions").select("trip_id", "updated_at")
+    return coverage.coverage_confirmation(confirmations, then.unionByName(settled), gaps, changes)

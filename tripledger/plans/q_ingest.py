@@ -220,20 +220,55 @@ def _(spark, d):
     )
 
 
+_UNSURE = "p = 6 AND max(day(day_value)) <= 12"
+_LAST_ROW = """list_transform(list_sort(list({'r': CAST(rn + {h} AS BIGINT), 's': words, 'a': CASE WHEN p = 3 THEN CASE WHEN back THEN -(amt + 0.50) ELSE amt + 0.50 END ELSE {v} END, 'd': day_value}))[1:3],
+         lambda x: concat(CAST(x.r AS VARCHAR), '|', CASE WHEN {u} THEN '' ELSE CAST(x.d AS VARCHAR) END, '|', x.s, '|', CAST(CAST(x.a AS DECIMAL(18,2)) AS VARCHAR)))""".replace("{h}", f"({HEADER})")
+
+
 @query(
     "lay10_file_report",
     oracle(
         "statement_base",
-        f"""SELECT trip_id, {NAMES} AS provider, CAST({HEADER} AS BIGINT) AS header_row, count(*) AS rows_read, count(*) AS rows_normalized, CAST(0 AS BIGINT) AS rows_skipped,
-       CASE WHEN p = 6 AND max(day(day_value)) <= 12 THEN count(*) ELSE 0 END AS warning_count,
-       CASE WHEN p = 6 AND max(day(day_value)) <= 12 THEN 'transactions are missing required values.' ELSE '' END AS error FROM statement_base GROUP BY trip_id, p""",
+        f"""SELECT trip_id, source_file, {NAMES} AS provider, CAST({HEADER} AS BIGINT) AS header_row, count(*) AS rows_read, count(*) AS rows_normalized, CAST(0 AS BIGINT) AS rows_skipped,
+       CASE WHEN {_UNSURE} THEN count(*) ELSE 0 END AS warning_count,
+       array_to_string({_LAST_ROW.replace("{v}", "CASE WHEN back OR pay THEN -amt ELSE amt END").replace("{u}", "unsure")}, chr(10)) AS preview,
+       CASE WHEN {_UNSURE} THEN concat(source_file, ': dates are ambiguous. Choose day-first or month-first before syncing.') ELSE '' END AS error
+FROM (SELECT *, p = 6 AND max(day(day_value)) OVER (PARTITION BY trip_id) <= 12 AS unsure FROM statement_base) GROUP BY trip_id, source_file, p, unsure
+UNION ALL SELECT trip_id, 'notes.txt', NULL, NULL, 0, 0, 0, 0, '', 'notes.txt: unsupported statement file extension .txt. Use CSV, PDF, XLS, or XLSX.' FROM (SELECT DISTINCT trip_id FROM statement_base)
+UNION ALL SELECT trip_id, 'odd.csv', NULL, NULL, 0, 0, 0, 0, '', 'odd.csv: Statement columns are not recognized.' FROM (SELECT DISTINCT trip_id FROM statement_base)""",
     ),
 )
 def _(spark, d):
+    """Beside the statement of a trip, a file of an unsupported kind and one without known columns."""
     head, named = _named(spark, d)
-    return layout.file_report(head, named, normalizers.normalize_all(named)).select(
-        "trip_id", "provider", "header_row", "rows_read", "rows_normalized", "rows_skipped", "warning_count", "error"
+    trips = head.select("trip_id").distinct()
+    more = trips.withColumn("f", F.explode(F.array(F.lit("notes.txt"), F.lit("odd.csv"))))
+    files = head.select(*FILE, F.lit(True).alias("supported")).unionByName(
+        more.select("trip_id", F.col("f").alias("source_file"), F.col("f").endswith("csv").alias("supported"))
+    )
+    legs = normalizers.mark_row_issues(materialize(normalizers.normalize_all(named)))
+    report = layout.file_report(head, named, legs, files)
+    one = lambda x: F.concat_ws(
+        "|", x["source_row"].cast("string"), F.coalesce(x["transaction_date"].cast("string"), F.lit("")), x["description"], x["settlement_amount"].cast("string")
     )
+    return report.withColumn("preview", F.array_join(F.transform("preview", one), "\n"))
+
+
+@query(
+    "lay10_file_warnings",
+    oracle(
+        "statement_base",
+        f"""SELECT trip_id, source_row, concat('row ', CAST(source_row AS VARCHAR), ': Normalization review: missing ',
+       concat_ws(', ', CASE WHEN unsure THEN 'transaction date' END, CASE WHEN source_row % 5 = 0 THEN 'description' END), '.') AS message
+FROM (SELECT trip_id, CAST(rn + {HEADER} AS BIGINT) AS source_row, p = 6 AND max(day(day_value)) OVER (PARTITION BY trip_id) <= 12 AS unsure FROM statement_base) WHERE unsure OR source_row % 5 = 0""",
+    ),
+)
+def _(spark, d):
+    """Every fifth row of a file has lost its description."""
+    _, named = _named(spark, d)
+    legs = materialize(normalizers.normalize_all(named))
+    spoiled = legs.withColumn("description", F.when(F.col("source_row") % 5 != 0, F.col("description")).otherwise(F.lit("")))
+    return layout.file_warnings(normalizers.mark_row_issues(spoiled)).select("trip_id", "source_row", "message")
 
 
 @query(

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tripledger.functions.materialize import materialize
-from tripledger.operators import alcohol, decisions, lines, quality, review
+from tripledger.operators import alcohol, claims, coverage, decisions, edits, lines, quality, review
 from tripledger.plans import tables
 from tripledger.plans.bindings import oracle, table, view
-from tripledger.plans.q_claims import LINES
-from tripledger.plans.q_decisions import DEC5
+from tripledger.plans.q_claims import LINES, POLICY_SQL, claim_oracle
+from tripledger.plans.q_decisions import COV, DEC2, DEC5, coverage_gaps
 from tripledger.plans.registry import query
 
 KEY = ["trip_id", "source_file"]
@@ -89,6 +91,42 @@ def _(spark, d):
     return review.extraction_changes(receipts, edited, edits.filter("field = 'vendor'")).select(*KEY, "field", "preserved_user_value")
 
 
+@query(
+    "rev4_line_changes",
+    oracle(
+        "receipt_lines",
+        """WITH_LISTS SELECT b.trip_id, b.source_file, 'line_items' AS field, coalesce(x.s, 'No extracted purchase lines') AS before, coalesce(y.s, 'No extracted purchase lines') AS after,
+       b.trip_id LIKE '%7' AS preserved_user_value
+FROM (SELECT DISTINCT trip_id, source_file FROM receipt_lines) b LEFT JOIN x ON x.trip_id = b.trip_id AND x.source_file = b.source_file
+LEFT JOIN y ON y.trip_id = b.trip_id AND y.source_file = b.source_file WHERE x.l IS DISTINCT FROM y.l""".replace("WITH_LISTS ", ""),
+        """later AS (SELECT trip_id, source_file,
+    CASE WHEN substr(source_file, 8, 2) = '10' THEN -pos ELSE pos END AS pos, CASE WHEN substr(source_file, 9, 1) = '1' AND pos % 4 = 0 THEN concat(' edited  ', description) ELSE description END AS description,
+    CASE WHEN substr(source_file, 9, 1) = '2' AND pos % 3 = 0 THEN NULL ELSE amount END AS amount, is_alcohol FROM receipt_lines WHERE NOT (substr(source_file, 9, 1) = '3' AND pos % 2 = 0)
+  UNION ALL SELECT DISTINCT trip_id, source_file, 0, '', CAST(1 AS DECIMAL(18,2)), false FROM receipt_lines WHERE substr(source_file, 9, 1) = '4'),
+shown AS (SELECT 'x' AS run, * FROM (SELECT trip_id, source_file, pos, description, amount, is_alcohol FROM receipt_lines) UNION ALL SELECT 'y', * FROM later),
+lists AS (SELECT run, trip_id, source_file, string_agg(concat(CASE WHEN trim(description) = '' THEN 'Unnamed line' ELSE trim(regexp_replace(description, '\\s+', ' ', 'g')) END, ' — ',
+    coalesce(CAST(amount AS VARCHAR), 'amount missing')), '; ' ORDER BY pos) AS s,
+    list({'d': trim(regexp_replace(description, '\\s+', ' ', 'g')), 'a': amount, 'x': is_alcohol} ORDER BY pos) AS l FROM shown GROUP BY 1, 2, 3),
+x AS (SELECT * FROM lists WHERE run = 'x'), y AS (SELECT * FROM lists WHERE run = 'y')""",
+    ),
+)
+def _(spark, d):
+    """A second extraction with some receipts in another order, edited, with amounts lost, lines lost or a line more."""
+    before = view(spark, d, "receipt_lines").select(*KEY, "pos", "description", "amount", "is_alcohol")
+    digit = F.substring("source_file", 9, 1)
+    pos = F.col("pos")
+    after = before.filter(~((digit == "3") & (pos % 2 == 0))).select(
+        *KEY, F.when(F.substring("source_file", 8, 2) == "10", -pos).otherwise(pos).alias("pos"),
+        F.when((digit == "1") & (pos % 4 == 0), F.concat(F.lit(" edited  "), "description")).otherwise(F.col("description")).alias("description"),
+        F.when(~((digit == "2") & (pos % 3 == 0)), F.col("amount")).alias("amount"), "is_alcohol",
+    )
+    more = before.filter(digit == "4").select(*KEY).distinct().select(
+        *KEY, F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("description"), F.lit(1).cast("decimal(18,2)").alias("amount"), F.lit(False).alias("is_alcohol")
+    )
+    decided = before.filter(F.col("trip_id").endswith("7"))
+    return review.line_changes(before, after.unionByName(more), decided)
+
+
 @query(
     "rev5_field_evidence",
     oracle(
@@ -203,6 +241,88 @@ def _(spark, d):
     return review.apply_edits(receipts, sets.unionByName(older).unionByName(resets)).select(*KEY, "vendor", "amount")
 
 
+EDIT_COLUMNS = "trip_id string, source_file string, seq bigint, line_id string, kind string, field string, value string, description string, amount decimal(18,2), is_alcohol boolean, in_sponsor boolean"
+
+
+def _edit_log(spark, d):
+    """Every kind of event: line edits at 10 to 25, a reset at 22, removals at 30, a review at 35, restored lines at 40, lines by hand at 15 and 45."""
+    k = F.substring("source_file", 2, 8).cast("int")
+    rows = view(spark, d, "receipt_lines").filter("line_type = 'item'").withColumn("line_id", F.col("pos").cast("string"))
+    receipts = view(spark, d, "receipts")
+
+    def events(df, when, seq, kind, field=None, value=None, **more):
+        values = {"field": F.lit(field), "value": F.lit(None) if value is None else value, "line_id": F.lit(None), **more}
+        names = [c.split()[0] for c in EDIT_COLUMNS.split(", ")]
+        given = {"seq": F.lit(seq) if isinstance(seq, int) else seq, "kind": F.lit(kind), **values}
+        types = dict(c.split(" ", 1) for c in EDIT_COLUMNS.split(", "))
+        return df.filter(when).select([F.col(n) if n in KEY else given.get(n, F.lit(None)).cast(types[n]).alias(n) for n in names])
+
+    pos = F.col("pos")
+    line = {"line_id": F.col("line_id")}
+    hand = {"description": F.lit("By  hand"), "amount": F.lit("3.00"), "is_alcohol": F.lit(True), "in_sponsor": F.lit(True)}
+    parts = [
+        events(rows, pos % 3 == 0, 10 + pos % 5, "set", "is_alcohol", (~F.col("is_alcohol")).cast("string"), **line),
+        events(rows, pos % 4 == 0, 20, "set", "amount", F.lit("-5.00"), **line),
+        events(rows, pos % 7 == 0, 25, "set", "description", F.lit("edited"), **line),
+        events(rows, pos % 11 == 0, 26, "set", "in_sponsor", F.lit("false"), **line),
+        events(rows, pos % 13 == 0, 27, "set", "description", F.lit("  "), **line),  # refused
+        events(rows, pos % 5 == 0, 30, "remove", **line),
+        events(rows, pos % 10 == 0, 40, "restore", **line),
+        events(receipts, k % 8 == 0, 1, "set", "vendor", F.lit("First")),
+        events(receipts, k % 10 == 0, 15, "add", line_id=F.lit("hand-1"), **hand),
+        events(receipts, k % 6 == 0, 22, "reset"),
+        events(receipts, k % 5 == 0, 35, "set", "reviewed", F.lit("true")),
+        events(receipts, k % 15 == 0, 45, "add", line_id=F.lit("hand-2"), **hand),
+        events(receipts, k % 9 == 0, 50, "set", "vendor", F.lit("Later")),
+        events(receipts, k % 7 == 0, 60, "acknowledge"),
+        events(receipts, k % 17 == 0, 61, "set", "colour", F.lit("red")),  # refused
+    ]
+    return rows, receipts, materialize(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+_EDITED = """base AS (SELECT l.*, CAST(pos AS VARCHAR) AS line_id, CAST(substr(source_file, 2, 8) AS INTEGER) AS k FROM receipt_lines l WHERE line_type = 'item'),
+kept AS (SELECT *, k % 6 = 0 AS reset FROM base WHERE NOT (pos % 5 = 0 AND pos % 10 <> 0)),
+final AS (SELECT trip_id, source_file, line_id, CASE WHEN pos % 7 = 0 THEN 'edited' ELSE trim(regexp_replace(description, '\\s+', ' ', 'g')) END AS description,
+    CAST(CASE WHEN pos % 4 = 0 AND NOT reset THEN -5 ELSE amount END AS DECIMAL(18,2)) AS amount,
+    CASE WHEN pos % 4 = 0 AND NOT reset THEN false WHEN pos % 3 = 0 AND NOT reset THEN NOT is_alcohol ELSE is_alcohol END AS is_alcohol,
+    CASE WHEN pos % 11 = 0 THEN false ELSE in_sponsor END AS wanted, is_alcohol AS automatic, k % 5 = 0 AS reviewed, false AS manual FROM kept
+  UNION ALL SELECT trip_id, source_file, 'hand-1', 'By hand', 3, true, true, true, CAST(substr(source_file, 2, 8) AS INTEGER) % 5 = 0, true FROM receipts
+    WHERE CAST(substr(source_file, 2, 8) AS INTEGER) % 10 = 0 AND CAST(substr(source_file, 2, 8) AS INTEGER) % 6 <> 0
+  UNION ALL SELECT trip_id, source_file, 'hand-2', 'By hand', 3, true, true, true, false, true FROM receipts WHERE CAST(substr(source_file, 2, 8) AS INTEGER) % 15 = 0)"""
+
+
+@query(
+    "rev10_edited_lines",
+    oracle(
+        "receipts receipt_lines",
+        """SELECT trip_id, source_file, line_id, description, amount, is_alcohol, wanted AND NOT is_alcohol AS in_sponsor,
+       CASE WHEN is_alcohol THEN 'alcohol' WHEN NOT wanted THEN 'other' END AS exclusion_reason, is_alcohol <> automatic AS alcohol_overridden, reviewed, manual FROM final""",
+        _EDITED,
+    ),
+)
+def _(spark, d):
+    rows, receipts, log = _edit_log(spark, d)
+    _, found, _ = edits.review_edits(receipts, rows, log)
+    return found.select(*KEY, "line_id", "description", "amount", "is_alcohol", "in_sponsor", "exclusion_reason", "alcohol_overridden", "reviewed", "manual")
+
+
+@query(
+    "rev10_edited_receipts",
+    oracle(
+        "receipts receipt_lines",
+        """SELECT r.trip_id, r.source_file, CASE WHEN k % 9 = 0 THEN 'Later' WHEN k % 8 = 0 AND k % 6 <> 0 THEN 'First' ELSE vendor END AS vendor,
+       k % 5 = 0 AND k % 9 <> 0 AND k % 15 <> 0 AND NOT EXISTS (SELECT 1 FROM receipt_lines l WHERE l.trip_id = r.trip_id AND l.source_file = r.source_file AND line_type = 'item' AND pos % 10 = 0) AS reviewed,
+       k % 7 = 0 AS acknowledged, (CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END + (SELECT count(*) FROM receipt_lines l WHERE l.trip_id = r.trip_id AND l.source_file = r.source_file AND line_type = 'item' AND pos % 13 = 0))::BIGINT AS refused
+FROM (SELECT *, CAST(substr(source_file, 2, 8) AS INTEGER) AS k FROM receipts) r""",
+    ),
+)
+def _(spark, d):
+    rows, receipts, log = _edit_log(spark, d)
+    found, _, refused = edits.review_edits(receipts, rows, log)
+    counts = refused.groupBy(*KEY).agg(F.count("*").alias("refused"))
+    return found.select(*KEY, "vendor", "reviewed", "acknowledged").join(counts, KEY, "left").na.fill(0, ["refused"])
+
+
 @query(
     "rev11_scan_status",
     "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'scanned' WHEN 1 THEN 'changed' ELSE 'not_scanned' END AS status FROM documents",
@@ -342,26 +462,76 @@ def _(spark, d):
     return quality.trip_overview(trips, r.unionByName(s)).select("trip_id", "receipt_count", "statement_count")
 
 
+def _recorded(spark, d):
+    """Inputs, and what was recorded when line review, reconciliation and bundle were made: not at all, before receipts or statements
+    changed, or from an older line review."""
+    t = F.substring("trip_id", 2, 6).cast("int")
+    statement = view(spark, d, "statement_legs").groupBy("trip_id", "source_file").agg(F.sum("source_row").alias("n")).select(
+        "trip_id", F.lit("statement").alias("kind"), F.col("source_file").alias("name"), F.sha2(F.col("n").cast("string"), 256).alias("sha256")
+    )
+    decision = view(spark, d, "dispositions").select("trip_id", F.lit("decision").alias("kind"), F.col("group_id").alias("name"), F.sha2("action", 256).alias("sha256"))
+    now = materialize(_inputs(spark, d).unionByName(statement).unionByName(decision))
+    old = ((F.col("kind") == "receipt") & (t % 4 == 1)) | ((F.col("kind") == "statement") & (t % 4 == 2))
+    then = now.filter(t % 4 != 0).withColumn("sha256", F.when(old, F.lit("old")).otherwise(F.col("sha256")))
+    made = materialize(quality.artifact_fingerprints(then))
+    prints = made.groupBy("trip_id").agg(F.map_from_entries(F.collect_list(F.struct("artifact", "fingerprint"))).alias("m"))
+    older = F.when(t % 8 == 3, F.lit("older")).otherwise(F.try_element_at("m", F.lit("line_review")))
+    from_ = (
+        F.when(F.col("artifact") == "reconciliation", F.create_map(F.lit("line_review"), older))
+        .when(F.col("artifact") == "bundle", F.create_map(F.lit("line_review"), older, F.lit("reconciliation"), F.try_element_at("m", F.lit("reconciliation"))))
+    )
+    return now, made.join(prints, "trip_id").select("trip_id", "artifact", "fingerprint", from_.alias("made_from"))
+
+
 @query(
-    "lng5_readiness_gates",
+    "lng1_derived_states",
     oracle(
-        "receipts matched_groups allocations",
-        """SELECT trip_id, string_agg(concat(gate, '=', CAST(n AS VARCHAR)), ',' ORDER BY gate) AS blocks FROM (
-  SELECT trip_id, gate, count(*) AS n FROM (SELECT trip_id, 'missing_amount' AS gate FROM receipts WHERE amount IS NULL UNION ALL SELECT trip_id, 'review_rows' FROM matched_groups WHERE normalization_status = 'review'
-     UNION ALL SELECT trip_id, 'split_rows' FROM allocations) GROUP BY 1, 2) GROUP BY 1""",
+        "receipts",
+        """SELECT trip_id, artifact, CASE WHEN t % 4 = 0 THEN 'missing' WHEN t % 8 = 7 THEN 'current' WHEN artifact = 'line_review' AND t % 4 <> 1 THEN 'current' ELSE 'stale' END AS state
+FROM (SELECT DISTINCT trip_id, CAST(substr(trip_id, 2) AS INTEGER) AS t FROM receipts), (VALUES ('line_review'), ('reconciliation'), ('bundle')) AS a(artifact)""",
     ),
 )
 def _(spark, d):
-    gate = lambda df, name: df.select("trip_id", F.lit(name).alias("gate"))
-    out = quality.readiness_gates(
-        [
-            gate(view(spark, d, "receipts").filter("amount is null"), "missing_amount"),
-            gate(view(spark, d, "matched_groups").filter("normalization_status = 'review'"), "review_rows"),
-            gate(view(spark, d, "allocations"), "split_rows"),
-        ]
-    )
-    text = F.array_join(F.transform("blocks", lambda b: F.concat(b["gate"], F.lit("="), b["n"].cast("string"))), ",")
-    return out.select("trip_id", text.alias("blocks"))
+    return quality.derived_states(*_recorded(spark, d))
+
+
+_HAVE = "t % 10 <> 5"
+
+
+@query(
+    "lng5_readiness_gates",
+    claim_oracle(
+        f"""SELECT trip_id, gate, CAST(n AS BIGINT) AS n FROM (
+  SELECT trip_id, 'review_not_current' AS gate, 1 AS n FROM st WHERE t % 4 IN (0, 1)
+  UNION ALL SELECT trip_id, 'reconciliation_missing', 1 FROM st WHERE t % 4 = 0 AND {_HAVE}
+  UNION ALL SELECT trip_id, 'reconciliation_stale', 1 FROM st WHERE (t % 4 IN (1, 2) OR t % 8 = 3) AND {_HAVE}
+  UNION ALL SELECT trip_id, 'line_totals', count(*) FROM totals WHERE expense_type = 'meal'
+    AND (line_total - CASE WHEN claim_program = 'sponsored' THEN sponsor_included_total ELSE company_included_total END) > 0.005 AND NOT coalesce(line_total = amount, false) GROUP BY 1
+  UNION ALL SELECT trip_id, 'blocking_exceptions', sum(n) FROM exceptions WHERE severity = 'blocking' GROUP BY 1 HAVING sum(n) > 0
+  UNION ALL SELECT g.trip_id, 'split_open', count(*) FROM dec4 g JOIN st ON st.trip_id = g.trip_id WHERE allocation_status NOT IN ('none', 'balanced') AND {_HAVE} GROUP BY 1
+  UNION ALL SELECT g.trip_id, 'needs_review', count_if(needs_review) FROM needs g JOIN st ON st.trip_id = g.trip_id WHERE {_HAVE} GROUP BY 1 HAVING count_if(needs_review) > 0
+  UNION ALL SELECT g.trip_id, 'coverage_unconfirmed', count(*) FROM gaps g JOIN st ON st.trip_id = g.trip_id JOIN trips x ON x.trip_id = g.trip_id
+    WHERE claim_program = 'company' AND {_HAVE} AND t % 6 <> 0 GROUP BY 1)""",
+        POLICY_SQL + ",\n" + CATS + ",\nst AS (SELECT DISTINCT trip_id, CAST(substr(trip_id, 2) AS INTEGER) AS t FROM receipts)" + COV.removeprefix(DEC2.format(base="matched_groups")),
+        "group_files",
+    ),
+)
+def _(spark, d):
+    """Statements in all trips but every tenth, gaps confirmed in every sixth."""
+    t = F.substring("trip_id", 2, 6).cast("int")
+    receipts, exceptions = _exceptions(spark, d)
+    totals = lines.receipt_totals(tables.program_lines(spark, d), receipts)
+    decided = materialize(tables.decided_groups(spark, d))
+    summary = claims.reconciliation_summary(tables.reconciled(spark, d), decided)
+    gaps = materialize(coverage_gaps(spark, d))
+    trips = view(spark, d, "trips")
+    given = trips.filter(t % 6 == 0).select("trip_id", F.lit("1998-01-01").cast("timestamp").alias("confirmed_at"), F.lit("ok").alias("note"))
+    then = gaps.join(given, "trip_id").select("trip_id", "confirmed_at", "code", "message")
+    none = given.select("trip_id", F.col("confirmed_at").alias("updated_at")).limit(0)
+    confirmations = coverage.coverage_confirmation(given, then, gaps, none)
+    statements = view(spark, d, "statement_legs").select("trip_id").distinct().filter(t % 10 != 5)
+    gates = quality.readiness_gates(quality.derived_states(*_recorded(spark, d)), statements, decided, totals, exceptions, summary, gaps, confirmations, trips)
+    return gates.select("trip_id", "gate", "n")
 
 
 QLT = """edited AS (SELECT trip_id, source_file, CASE WHEN expense_type = 'meal' THEN 'Other' ELSE vendor END AS vendor2, CASE WHEN expense_type = 'hotel' THEN NULL ELSE amount END AS amount2, * FROM receipts),
@@ -394,3 +564,38 @@ def _(spark, d):
 def _(spark, d):
     out = quality.compare_quality(_quality(spark, d), _quality(spark, d, spoiled=False))
     return out.select("field", "correct_delta")
+
+
+DIFFER = ["vendor", "amount", "currency", "receipt_date", "expense_type"]
+_DIFF = """other AS (SELECT trip_id, source_file, CASE WHEN expense_type = 'meal' THEN 'Other' ELSE vendor END AS vendor, CASE WHEN expense_type <> 'hotel' THEN amount END AS amount, currency, receipt_date, expense_type
+    FROM receipts WHERE source_file NOT LIKE '%7.pdf'
+  UNION ALL SELECT trip_id, concat('new-', source_file), vendor, amount, currency, receipt_date, expense_type FROM receipts WHERE source_file LIKE '%00.pdf'),
+longer AS (SELECT 'b' AS run, trip_id, source_file, unnest([{'f': 'vendor', 'v': vendor}, {'f': 'amount', 'v': CAST(amount AS VARCHAR)}, {'f': 'currency', 'v': currency}, {'f': 'receipt_date', 'v': CAST(receipt_date AS VARCHAR)}, {'f': 'expense_type', 'v': expense_type}]) AS x FROM receipts
+  UNION ALL SELECT 'o', trip_id, source_file, unnest([{'f': 'vendor', 'v': vendor}, {'f': 'amount', 'v': CAST(amount AS VARCHAR)}, {'f': 'currency', 'v': currency}, {'f': 'receipt_date', 'v': CAST(receipt_date AS VARCHAR)}, {'f': 'expense_type', 'v': expense_type}]) FROM other),
+differing AS (SELECT coalesce(a.trip_id, b.trip_id) AS trip_id, coalesce(a.source_file, b.source_file) AS source_file, coalesce(a.x.f, b.x.f) AS field, a.x.v AS base_value, b.x.v AS other_value,
+    CASE WHEN a.run IS NULL THEN 'other' WHEN b.run IS NULL THEN 'base' ELSE 'both' END AS side
+  FROM (SELECT * FROM longer WHERE run = 'b') a FULL JOIN (SELECT * FROM longer WHERE run = 'o') b ON a.trip_id = b.trip_id AND a.source_file = b.source_file AND a.x.f = b.x.f
+  WHERE a.x.v IS DISTINCT FROM b.x.v)"""
+
+
+def _two_runs(spark, d):
+    """The second run reads other vendors on meals, no amounts on hotels, misses some receipts and has some of its own."""
+    base = view(spark, d, "receipts").select(*KEY, *DIFFER)
+    other = base.filter("source_file not like '%7.pdf'").withColumns(
+        {"vendor": F.when(F.col("expense_type") == "meal", F.lit("Other")).otherwise(F.col("vendor")), "amount": F.when(F.col("expense_type") != "hotel", F.col("amount"))}
+    )
+    own = base.filter("source_file like '%00.pdf'").withColumn("source_file", F.concat(F.lit("new-"), "source_file"))
+    return quality.run_differences(base, other.unionByName(own), DIFFER)
+
+
+@query("qlt2_run_differences", oracle("receipts", "SELECT * FROM differing", _DIFF))
+def _(spark, d):
+    return _two_runs(spark, d)
+
+
+@query(
+    "qlt2_field_differences",
+    oracle("receipts", "SELECT f.field, count(d.field) AS receipts FROM (VALUES ('vendor'), ('amount'), ('currency'), ('receipt_date'), ('expense_type')) AS f(field) LEFT JOIN differing d ON d.field = f.field GROUP BY 1", _DIFF),
+)
+def _(spark, d):
+    return quality.field_differences(_two_runs(spark, d), DIFFER)

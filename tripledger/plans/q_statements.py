@@ -136,6 +136,54 @@ def _(spark, d):
     return groups(spark, d).select(*GROUP_COLS.split(", "))
 
 
+@query(
+    "grp1_group_lists",
+    oracle(
+        "statement_legs",
+        """SELECT trip_id, group_id, coalesce(string_agg(s, '; ' ORDER BY a) FILTER (k = 'cad_source'), '') AS cad_source, coalesce(string_agg(s, ' ' ORDER BY a) FILTER (k = 'review_note'), '') AS review_note
+FROM (SELECT trip_id, group_id, k, s, min(concat(source_file, lpad(CAST(source_row AS VARCHAR), 12, '0'))) AS a FROM (
+  SELECT trip_id, group_id, source_file, source_row, 'cad_source' AS k, CASE WHEN match_eligible THEN concat('rates ', CAST(source_row % 2 AS VARCHAR)) END AS s FROM statement_legs
+  UNION ALL SELECT trip_id, group_id, source_file, source_row, 'review_note', CASE WHEN source_row % 4 = 0 THEN '' ELSE concat('note ', CAST(source_row % 3 AS VARCHAR)) END FROM statement_legs)
+  WHERE coalesce(s, '') <> '' GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""",
+    ),
+)
+def _(spark, d):
+    """Legs that name one of two sources and one of three notes."""
+    legs = view(spark, d, "statement_legs").withColumns(
+        {
+            "cad_source": F.concat(F.lit("rates "), (F.col("source_row") % 2).cast("string")),
+            "review_note": F.when(F.col("source_row") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("note "), (F.col("source_row") % 3).cast("string"))),
+        }
+    )
+    return statements.group_lists(legs)
+
+
+@query(
+    "grp1_group_matches",
+    oracle(
+        "statement_legs",
+        """SELECT trip_id, group_id, CASE WHEN count(DISTINCT f) FILTER (match_eligible) = 1 THEN min(f) FILTER (match_eligible) END AS matched_file,
+       CASE WHEN NOT bool_or(match_eligible) THEN 'audit' WHEN bool_or(match_eligible AND s = 'manual') THEN 'manual' WHEN bool_or(match_eligible AND s = 'auto') THEN 'auto'
+            WHEN bool_or(match_eligible AND s = 'suggested') THEN 'suggested' ELSE 'unmatched' END AS match_status,
+       max(c) AS match_confidence, max(normalization_status = 'possible_duplicate') AS possible_duplicate, CAST(NULL AS DATE) AS cad_week_end
+FROM (SELECT *, CASE source_row % 5 WHEN 0 THEN 'manual' WHEN 1 THEN 'suggested' WHEN 2 THEN 'auto' ELSE 'unmatched' END AS s,
+  CASE WHEN source_row % 5 < 3 THEN concat('r', CAST(source_row % 2 AS VARCHAR)) END AS f, CAST((source_row % 5) / 10.0 AS DECIMAL(6,3)) AS c FROM statement_legs) GROUP BY 1, 2""",
+    ),
+)
+def _(spark, d):
+    """Legs that carry matches of their own."""
+    n = F.col("source_row") % 5
+    legs = statements.exact_cad_audit(view(spark, d, "statement_legs")).withColumns(
+        {
+            "match_status": F.when(n == 0, "manual").when(n == 1, "suggested").when(n == 2, "auto").otherwise("unmatched"),
+            "matched_file": F.when(n < 3, F.concat(F.lit("r"), (F.col("source_row") % 2).cast("string"))),
+            "suggested_file": F.lit(None).cast("string"), "match_confidence": (n / 10).cast("decimal(6,3)"), "review_reason": F.lit(""),
+            "cad_week_start": F.lit(None).cast("date"),
+        }
+    )
+    return statements.transaction_groups(legs).select("trip_id", "group_id", "matched_file", "match_status", "match_confidence", "possible_duplicate", "cad_week_end")
+
+
 DED_COLS = "trip_id, provider, group_id, leg_id, source_file, source_row, purchase_amount"
 
 
