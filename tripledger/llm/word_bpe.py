@@ -54,6 +54,32 @@ ODD_SPLITS = regex.compile(r"[\x1c-\x1f]")
 WORD_END = "</w>"
 CACHED_WORDS = 400_000
 LEARNED_TOGETHER = 20_000
+#: Characters of texts that are split and looked up together.
+ENCODED_TOGETHER = 2_000_000
+_BETWEEN = b"\xff"  # no byte of UTF-8
+_LETTER, _STOP, _GAP = (np.isin(np.arange(256), list(x)) for x in (bytes(range(97, 123)), b",.;:!?", b" \t\n\x0b\x0c\r" + _BETWEEN))
+
+
+def _apart(raw: bytes) -> bytes:
+    """raw with a blank between a letter and the stop that ends its word, so that the word is looked up without it.
+
+    Only single stops between an ASCII letter and white space: longer runs of symbols are one word of their own.
+    """
+    x = np.frombuffer(raw, np.uint8)
+    if len(x) < 2:
+        return raw
+    found = _STOP[x]
+    found[0] = False
+    found[1:] &= _LETTER[x[:-1]]
+    found[:-1] &= _GAP[x[1:]]
+    at = np.flatnonzero(found)
+    out = np.full(len(x) + len(at), 32, np.uint8)
+    stay = np.ones(len(out), bool)
+    stay[at + np.arange(len(at))] = False
+    out[stay] = x
+    return out.tobytes()
+
+
 _NO_MERGE = 1 << 40
 _END = 256  # the symbol after a word's last byte
 
@@ -131,9 +157,12 @@ class WordBpe:
             keys.append(x << 20 | y)
             values.append(z)
         self._merges = IntTable(np.array(keys), np.array(values), _NO_MERGE)
-        self._build_trie({i: ([as_byte[c] for c in s[: -len(WORD_END)]] + [_END]) if is_final[i] else [as_byte[c] for c in s] for s, i in vocab.items()})
         self._sound = self._sound_tokens(np.array(values))
-        self._cache: dict[str, bytes] = {}
+        # a token that its own letters do not encode to is in no encoding, so no proposal has it
+        self._build_trie(
+            {i: ([as_byte[c] for c in s[: -len(WORD_END)]] + [_END]) if is_final[i] else [as_byte[c] for c in s] for s, i in vocab.items() if self._sound[i]}
+        )
+        self._cache: dict[bytes, bytes] = {}
         self.proposed = self.remerged = 0
 
     def _merge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -279,66 +308,75 @@ class WordBpe:
         cut = (np.searchsorted(owner, np.arange(len(words) + 1)) * 4).tolist()
         return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
-    def _chunks(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        return NOT_SPACE.findall(text) if ODD_SPLITS.search(text) else text.split()
+    def _plain(self, text: str) -> bytes:
+        """A text in the vocabulary's normal form, its white space ASCII."""
+        if text.isascii():
+            text = text.lower()
+            return (" ".join(NOT_SPACE.findall(text)) if ODD_SPLITS.search(text) else text).encode()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return " ".join(NOT_SPACE.findall(text) if ODD_SPLITS.search(text) else text.split()).encode("utf-8", "surrogatepass")
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: set[bytes]) -> None:
         """Puts the ids of new chunks in the cache. A chunk of several words is joined from theirs, which are cached too."""
         cache = self._cache
-        if len(cache) + len(chunks) > CACHED_WORDS:
-            cache.clear()
-        words = [c for c in chunks if c.isalpha()]
-        several = {c: split_chunk(c) for c in chunks if not c.isalpha()}
-        known = set(words)
-        words += {p for own in several.values() for p in own if p not in cache and p not in known}
-        cache.update(zip(words, self.encode_words([w.encode("utf-8", "surrogatepass") for w in words]), strict=True))
+        words, several = [], {}
+        for c in chunks:
+            if c.isalpha():
+                words.append(c)
+            else:
+                own = split_chunk(c.decode("utf-8", "surrogatepass"))
+                if len(own) == 1:
+                    words.append(c)
+                else:
+                    several[c] = [p.encode("utf-8", "surrogatepass") for p in own]
+        if several:
+            words += {p for own in several.values() for p in own if p not in cache}.difference(words)
+        for at in range(0, len(words), LEARNED_TOGETHER):
+            part = words[at : at + LEARNED_TOGETHER]
+            cache.update(zip(part, self.encode_words(part), strict=True))
         for chunk, own in several.items():
             cache[chunk] = b"".join([cache[p] for p in own])
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Token ids of each text as little-endian unsigned 32-bit integers; null counts as empty.
+    def _encode_plain(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of texts in normal form; the words that none before had are learned together."""
+        split = [d.split() for d in _apart(_BETWEEN.join(raws)).split(_BETWEEN)] if raws else []
+        seen: set[bytes] = set().union(*split)
+        self._learn(seen.difference(self._cache))
+        cache = self._cache
+        if len(cache) > CACHED_WORDS:  # the words of these texts stay, older ones go
+            self._cache = {c: cache[c] for c in seen}
+        return [b"".join(map(cache.__getitem__, chunks)) for chunks in split]
 
-        Words that are not cached yet are learned together, some tens of thousands at a time.
-        """
-        out: list[bytes] = [b""] * len(texts)
-        held: list[tuple[int, list[tuple[list[str], list[bytes | None]]]]] = []
-        new: set[str] = set()
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Token ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[list[bytes], int]] = []  # where the ids of each raw go
+        raws: list[bytes] = []
+        size = 0
 
         def finish() -> None:
-            self._learn(new)
-            get = self._cache.get
-            for i, parts in held:
-                for chunks, found in parts:
-                    if None in found:
-                        found[:] = [get(c) if x is None else x for c, x in zip(chunks, found, strict=True)]
-                out[i] = b"".join([b"".join(found) for _, found in parts])
+            nonlocal size
+            for (parts, i), ids in zip(held, self._encode_plain(raws), strict=True):
+                parts[i] = ids
             held.clear()
-            new.clear()
+            raws.clear()
+            size = 0
 
-        for i, text in enumerate(texts):
+        for parts, text in zip(out, texts, strict=True):
             if not text:
                 continue
-            parts = []
             for s in self._special_split.split(text) if self._special_split and "<|" in text else [text]:
                 if s in self.specials:
-                    parts.append(([], [pack("<I", self.specials[s])]))
+                    parts.append(pack("<I", self.specials[s]))
                 elif s:
-                    chunks = self._chunks(s)
-                    found = list(map(self._cache.get, chunks))
-                    if None in found:
-                        new.update([c for c, x in zip(chunks, found, strict=True) if x is None])
-                    parts.append((chunks, found))
-            if any(None in found for _, found in parts):
-                held.append((i, parts))
-            else:
-                out[i] = b"".join([b"".join(found) for _, found in parts])
-            if len(new) > LEARNED_TOGETHER:
+                    held.append((parts, len(parts)))
+                    parts.append(b"")
+                    raws.append(self._plain(s))
+                    size += len(s)
+            if size > ENCODED_TOGETHER:
                 finish()
         finish()
-        return out
+        return [b"".join(parts) for parts in out]
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary names no decoder: token strings joined by spaces."""
