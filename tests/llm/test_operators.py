@@ -135,7 +135,7 @@ def test_simhash(request, which):
     texts = request.getfixturevalue("texts" if which == "odd" else "given_texts")
     ids = sorted(texts)
     prints = {k: simhash.fingerprint(texts[k] or "") for k in ids}
-    rows = {r.doc_id: r for r in simhash.fingerprints(docs).collect()}
+    rows = {r.doc_id: r for r in simhash.search(docs).collect()}
     for a, b in zip(ids, [*ids[1:], ids[0]], strict=True):
         text, after = texts[a] or "", texts[b] or ""
         new = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
@@ -147,8 +147,8 @@ def test_simhash(request, which):
 
 
 def test_simhash_of_repeated_rows_and_none(twice, none):
-    assert simhash.fingerprints(twice).count() == twice.count()
-    assert simhash.fingerprints(none).count() == 0
+    assert simhash.search(twice).count() == twice.count()
+    assert simhash.search(none).count() == 0
 
 
 def test_block_tables_find_the_whole_radius(spark):
@@ -178,16 +178,40 @@ def test_pairs_within_nine_bits_are_returned(spark):
         assert sorted(got) == sorted(want)
 
 
-def test_planted_near_copies_are_named(spark):
+def test_counts_equal_the_pairs(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    near = [int(b) ^ sum(1 << int(i) for i in rng.choice(64, n, replace=False)) for b in base for n in range(0, 13)]
+    prints = spark.createDataFrame([(simhash._signed(x),) for x in near + near[:5]], "fingerprint long").repartition(3)
+    queries = prints.filter("fingerprint % 3 = 0").distinct()
+    met = simhash.pairs(prints, queries).groupBy("fingerprint").agg(F.sum(F.when(F.col("distance") <= 3, F.col("n")).otherwise(0)), F.sum("n"), F.min("found"))
+    assert sorted(map(tuple, simhash.found(prints, queries).collect())) == sorted(map(tuple, met.collect()))
+
+
+def test_planted_near_copies_share_a_class(spark):
     words = [f"word{i}" for i in range(200)]
-    texts = {20: " ".join(words), 21: " ".join([*words[:100], "other", *words[101:]]), 22: " ".join(f"else{i}" for i in range(200)), 23: " ".join(words)}
-    docs, pairs = simhash.search(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
-    ids = {}
-    for r in docs.collect():
-        ids.setdefault(r.fingerprint, set()).add(r.doc_id)
-    found = {(r.fingerprint, r.found_fingerprint): r for r in pairs.collect()}
-    assert {d for (a, b) in found if 20 in ids[a] for d in ids[b]} == {20, 21, 23}
-    assert all(r.distance == (int(a, 16) ^ int(b, 16)).bit_count() and r.n_rows == len(ids[b]) for (a, b), r in found.items())
+    texts = {20: " ".join(words), 21: " ".join([*words[:100], "other", *words[101:]]), 22: " ".join(f"else{i}" for i in range(200)), 23: " ".join(words), 40: " ".join([*words, "end"])}
+    rows = {r.doc_id: r for r in simhash.search(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert len(rows) == len(texts)
+    assert (rows[20].n_found, rows[40].n_found, rows[21].n_found) == (4, 4, None)
+    assert rows[20]["class"] == rows[40]["class"]
+    assert rows[20]["class"] in {rows[k].fingerprint for k in (20, 21, 23, 40)}
+
+
+def test_fingerprint_against_plain_votes(given_texts):
+    import xxhash
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % (1 << 64)
+        return x ^ (x >> 27)
+
+    for text in [*TEXTS, *list(given_texts.values())[:40]]:
+        words = [xxhash.xxh3_64_intdigest(w) for w in ("".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode()).split()]
+        terms = words + [mix((a * 3 + mix(b)) % (1 << 64)) for a, b in zip(words, words[1:], strict=False)]
+        counts = {t: terms.count(t) for t in set(terms)} if len(terms) < 3_000 else {t: n for t, n in zip(*np.unique(np.array(terms, np.uint64), return_counts=True), strict=True)}
+        votes = [sum((1 if int(t) >> bit & 1 else -1) * n**0.5 for t, n in counts.items()) for bit in range(64)]
+        got = simhash.fingerprint(text or "")
+        assert all(abs(v) < 1e-2 * len(terms) or (v > 0) == bool(got >> bit & 1) for bit, v in enumerate(votes))
 
 
 def test_licenses(spark, odd, none, twice):
@@ -372,6 +396,27 @@ def test_pii_selects_what_looks_like_the_confirmed(spark):
     assert all(got[i] == "card:16:32" for i in range(60)) and not any(got[100 + i] for i in range(60))
 
 
+def test_loose_forms_are_found_and_numbers_left_alone(spark):
+    card = lambda i: next(x for x in range(4_000_000_000_000_000 + 13 * i, 9_999_999_999_999_999) if plain.luhn(str(x)))
+    rows = [(i, f"write to user{i}@host{i}.org or call +1 (017) 555-{7000 + i} from 10.0.0.{i}, card {card(i)}") for i in range(60)]
+    loose = {}
+    for i in range(30):
+        c = str(card(1_000 + i))
+        loose[1_000 + i] = ("email", f"user{i} (at) host{i} (dot) org")
+        loose[2_000 + i] = ("ip", ":".join(f"{(i * 7 + j * 4099) % 65536:x}" for j in range(8)))
+        loose[3_000 + i] = ("phone", f"(415) 555-{3000 + i}" if i % 2 else f"415-555-{3000 + i}")
+        loose[4_000 + i] = ("card", ".".join((c[:4], c[4:8], c[8:12], c[12:])))
+    rows += [(k, f"please note {found} as given") for k, (_, found) in loose.items()]
+    plain_numbers = [f"order {123456 + 977 * i} of lot {i}" for i in range(40)] + [f"in 2019-03-{10 + i % 20} at 12:{10 + i}:33 we had 3.{i} and {i * 1371}" for i in range(40)]
+    plain_numbers += [f"article 9780{i:02d}4561230{i % 10} is out" for i in range(40)] + [f"version 1.2.3 build {20_000_000 + i * 13}" for i in range(40)]
+    rows += [(9_000 + i, t) for i, t in enumerate(plain_numbers)]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    want = {k: f"{kind}:12:{12 + len(found)}" for k, (kind, found) in loose.items()}
+    hits = {kind: sum(got[k] == w for k, w in want.items() if w.startswith(kind)) for kind in pii.KINDS}
+    assert min(hits.values()) >= 28, (hits, [got[k] for k in want if got[k] != want[k]][:5])
+    assert not any(got[9_000 + i] for i in range(len(plain_numbers)))
+
+
 def test_redaction(spark, none, twice):
     docs = spark.createDataFrame([(1, "mail a@b.co, 8.8.8.8 and +1 (017) 555-7713!", "x"), (2, None, "y"), (3, "😀 a@b.co", "z")], "doc_id long, text string, key string")
     got = {r.doc_id: (r.text, r.key) for r in pii.redact(docs).collect()}

@@ -1,8 +1,10 @@
 """Personal data: validated patterns, and boosted trees over the spans of looser generators, in DataFrame functions only.
 
 The base patterns decide by format and check digits. Looser generators propose more spans, also overlapping ones.
-Trees are fitted on all proposals, labelled by whether the base confirms them, from format and context
-features; scores are calibrated to the share that the base confirms, and each kind keeps those of a high share.
+A proposal is confirmed where the base finds the same kind, or where it passes the checks of its kind once its disguise is
+taken off ((at), (dot), separators), for phones by the number plan or a word before it. Trees are fitted on all
+proposals from format and context features; their scores are calibrated for each generator by itself to the share that
+is confirmed, and each generator keeps those of a high share.
 """
 
 from __future__ import annotations
@@ -37,6 +39,13 @@ LOOSE = {
     "phone": [r"(?<![0-9A-Za-z.])[+(]?[0-9][\x20().0-9/-]{5,18}[0-9](?![0-9A-Za-z])"],
 }
 MAY_HOLD = r"[0-9@]|[(\[{]at[)\]}]"
+GENERATORS = [(kind, pattern) for kind in KINDS for pattern in LOOSE[kind]]
+#: Words that speak for a kind when they stand on the same line within CONTEXT characters before a span.
+CONTEXT = 24
+SPEAKS = {
+    "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b[^\n]*$", "ip": r"(?i)\b(?:ip|host|server|address|from)\b[^\n]*$",
+    "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit)\b[^\n]*$", "phone": r"(?i)\b(?:tel|phone|telephone|call|mobile|cell|fax|whatsapp)\b[^\n]*$",
+}
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -68,14 +77,17 @@ def _valid(kind: str, found: Column) -> Column:
     return n.between(10, 15) if kind == "phone" else F.lit(True)
 
 
-def _spans(text: Column, kind: str, pattern: str, checked: bool) -> Column:
-    """Matches of a pattern in text order: array of (start, kind_no, end, found, before, after), offsets in code points.
+SPAN = "array<struct<start:int,kind_no:int,end:int,found:string,before:string,generator:int,after:string>>"
+
+
+def _spans(text: Column, kind: str, pattern: str, checked: bool, generator: int = -1) -> Column:
+    """Matches of a pattern in text order: array of SPAN, offsets in code points; before: the characters before the match.
 
     checked: only those that pass the checks of the kind; the others still take their place.
     """
     kind_no = KINDS.index(kind)
     keep = (lambda m: _valid(kind, m)) if checked else (lambda m: F.lit(True))
-    empty = F.array().cast("array<struct<start:int,kind_no:int,end:int,found:string,before:string,after:string>>")
+    empty = F.array().cast(SPAN)
 
     def collect(gaps: Column, found: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
@@ -84,7 +96,7 @@ def _spans(text: Column, kind: str, pattern: str, checked: bool) -> Column:
             end = start + F.length(match)
             span = F.struct(
                 start.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"), match.alias("found"),
-                F.right(gap, F.lit(1)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"),
+                F.right(gap, F.lit(CONTEXT)).alias("before"), F.lit(generator).alias("generator"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"),
             )
             return F.struct(end.alias("at"), F.when(keep(match), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
@@ -97,7 +109,27 @@ def _spans(text: Column, kind: str, pattern: str, checked: bool) -> Column:
     return _let(F.struct(split.alias("gaps"), matches.alias("found")), lambda x: collect(x["gaps"], x["found"]))
 
 
-_FEATURES = ("digits", "others", "letters", "dots", "before", "after", "opens", "variety", "check", "kind")
+def _speaks(span: Column) -> Column:
+    """Whether a word before the span speaks for its kind."""
+    return F.coalesce(*(F.when(span["kind_no"] == i, span["before"].rlike(SPEAKS[k])) for i, k in enumerate(KINDS)))
+
+
+def _confirmed(span: Column) -> Column:
+    """Whether a proposal passes the checks of its kind without its disguise."""
+    found = span["found"]
+    digits = _digits(found)
+    bare = F.regexp_replace(F.regexp_replace(found, r" ?[(\[{]at[)\]}] ?", "@"), r" ?[(\[{]dot[)\]}] ?", ".")
+    email = bare.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,12}$") & ~bare.contains("..")
+    six = found.rlike(r"^[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}$") & found.rlike("[1-9A-Fa-f]")
+    grouped = found.rlike(r"^[3-6][0-9]{3}(?:[ .-][0-9]{4}){2,3}(?:[ .-][0-9]{1,3})?$|^3[47][0-9]{2}[ .-][0-9]{6}[ .-][0-9]{5}$")
+    card = F.length(digits).between(13, 19) & _luhn(digits) & (grouped | _speaks(span))
+    plan = found.rlike(r"^\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}$")
+    phone = F.length(digits).between(7, 15) & (plan | (_speaks(span) & found.rlike(r"[\x20()./-]")))
+    kinds = (email, six | _valid("ip", found), card, phone)
+    return F.coalesce(*(F.when(span["kind_no"] == i, c) for i, c in enumerate(kinds)), F.lit(False))
+
+
+_FEATURES = ("digits", "others", "letters", "dots", "before", "after", "opens", "variety", "check", "speaks", "shape", "generator")
 
 
 def _features(span: Column) -> list[Column]:
@@ -117,26 +149,30 @@ def _features(span: Column) -> list[Column]:
         F.when(span["kind_no"] == 0, tail & ~found.rlike(r"\.\.")).when(span["kind_no"] == 1, _valid("ip", found) | found.contains(":"))
         .when(span["kind_no"] == 2, _luhn(_digits(found))).otherwise(n.between(10, 15))
     )
+    # groups of digits: three, three and four; fours; others
+    shape = F.when(found.rlike(r"^\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}$"), 1).when(found.rlike(r"^[3-6][0-9]{3}(?:[ .-][0-9]{4}){2,3}"), 2).otherwise(0)
     variety = F.size(F.array_distinct(F.split(_digits(found), "")))
     return [
         bucket(n, 0, 6, 9, 12, 13, 15, 16, 19), bucket(F.length(found) - n - letters, 0, 1, 3, 5), bucket(letters, 0, 3),
-        bucket(F.length(found) - F.length(F.translate(found, ".", "")), 0, 1, 2, 3), side(span["before"]), side(span["after"]),
-        F.when(found.startswith("+"), 2).when(found.startswith("("), 1).otherwise(0), bucket(variety, 2, 4), check.cast("int"), span["kind_no"],
+        bucket(F.length(found) - F.length(F.translate(found, ".", "")), 0, 1, 2, 3), side(F.right(span["before"], F.lit(1))), side(span["after"]),
+        F.when(found.startswith("+"), 2).when(found.startswith("("), 1).otherwise(0), bucket(variety, 2, 4), check.cast("int"),
+        _speaks(span).cast("int"), shape, span["generator"],
     ]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """key, base spans and loose candidates (with features and label) of each row. docs: key, text; a null text counts as empty."""
     text = F.coalesce("text", F.lit(""))
-    none = F.array().cast("array<struct<start:int,kind_no:int,end:int,found:string,before:string,after:string>>")
+    none = F.array().cast(SPAN)
     held = docs.select("key", text.alias("text")).withColumn("may", F.col("text").rlike(MAY_HOLD))
 
     def spans(patterns: list[tuple[str, str]], checked: bool) -> Column:
-        return F.when(F.col("may"), F.concat(*(_spans(F.col("text"), kind, p, checked) for kind, p in patterns))).otherwise(none)
+        every = [_spans(F.col("text"), kind, p, checked, i) for i, (kind, p) in enumerate(patterns)]
+        return F.when(F.col("may"), F.concat(*every)).otherwise(none)
 
     found = held.select(
         "key", F.sort_array(spans(list(BASE.items()), True)).alias("base"),
-        F.sort_array(spans([(k, p) for k in KINDS for p in LOOSE[k]], False)).alias("loose"),
+        F.sort_array(spans(GENERATORS, False)).alias("loose"),
     )
 
     def described(span: Column, base: Column) -> Column:
@@ -144,7 +180,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         same = F.exists(base, lambda b: (b["kind_no"] == span["kind_no"]) & (b["start"] < span["end"]) & (span["start"] < b["end"]))
         return F.struct(
             span["start"].alias("start"), span["kind_no"].alias("kind_no"), span["end"].alias("end"),
-            F.array(*_features(span)).alias("x"), meets.alias("meets"), same.alias("label"),
+            F.array(*_features(span)).alias("x"), meets.alias("meets"), (same | _confirmed(span)).alias("label"),
         )
 
     return found.select(
@@ -165,32 +201,32 @@ def calibrated(levels: dict[float, list[float]]) -> list[tuple[float, float]]:
 
 
 class Scorer:
-    """Trees and a threshold for each kind."""
+    """Trees and a threshold for each generator."""
 
     def __init__(self, patterns: list[tuple[tuple[int, ...], float, float]], precision: float):
         self.trees = boosting.fit(patterns)
         self.thresholds: dict[int, float] = {}
-        for kind_no in range(len(KINDS)):
-            own = [(boosting.score(self.trees, x), n0, n1) for x, n0, n1 in patterns if x[-1] == kind_no]
+        for generator in range(len(GENERATORS)):
+            own = [(boosting.score(self.trees, x), n0, n1) for x, n0, n1 in patterns if x[-1] == generator]
             levels: dict[float, list[float]] = defaultdict(lambda: [0.0, 0.0])
             for s, n0, n1 in own:
                 levels[s][0] += n0
                 levels[s][1] += n1
             passing = [least for least, rate in calibrated(levels) if rate >= precision]
             if passing:
-                self.thresholds[kind_no] = min(passing)
+                self.thresholds[generator] = min(passing)
 
     def selects(self, span: Column) -> Column:
         odds = boosting.log_odds(self.trees, [F.get(span["x"], F.lit(i)) for i in range(len(_FEATURES))])
         score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
         passes = F.lit(False)
-        for kind_no, least in self.thresholds.items():
-            passes = passes | ((span["kind_no"] == kind_no) & (score >= least - 1e-9))
+        for generator, least in self.thresholds.items():
+            passes = passes | ((F.get(span["x"], F.lit(len(_FEATURES) - 1)) == generator) & (score >= least - 1e-9))
         return passes
 
 
 def fit(found: DataFrame, precision: float = 0.9) -> Scorer:
-    """Scorer from all candidates. Feature patterns number under 300,000 by the ranges of the features, whatever the corpus."""
+    """Scorer from all candidates. The feature patterns that reach the driver are bounded by the ranges of the features, whatever the corpus."""
     x = found.select(F.explode("loose").alias("c")).groupBy("c.x").agg(F.sum((~F.col("c.label")).cast("long")).alias("n0"), F.sum(F.col("c.label").cast("long")).alias("n1"))
     return Scorer([(tuple(r.x), float(r.n0), float(r.n1)) for r in x.collect()], precision)
 
@@ -221,7 +257,10 @@ def find(docs: DataFrame, precision: float = 0.9) -> DataFrame:
 
 
 def redact(docs: DataFrame, precision: float = 0.9) -> DataFrame:
-    """docs with its spans replaced by the name of their kind in angle brackets; all columns stay."""
+    """docs with its spans replaced by the name of their kind in angle brackets; all columns stay.
+
+    A null text stays null and an empty one empty; every repeated row is redacted by itself; an empty table gives an empty one.
+    """
     scorer = fit(candidates(docs.select(F.lit(1).alias("key"), "text")), precision)
     spans = candidates(docs.select(F.struct(*docs.columns).alias("key"), "text")).select("key", _all_spans(scorer).alias("spans"))
     text = F.col("key.text")

@@ -36,9 +36,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, and below them the pairs found: rows with found_fingerprint, whose doc_ids are those of the document rows of the two fingerprints."""
-    docs, pairs = simhash.search(documents(spark, sf_dir))
-    return docs.unionByName(pairs, allowMissingColumns=True)
+    return simhash.search(documents(spark, sf_dir))
 
 
 @register()

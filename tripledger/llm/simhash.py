@@ -136,14 +136,10 @@ _CUTS = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
 _MASKS = [((1 << (b - a)) - 1) << a for a, b in zip(_CUTS, _CUTS[1:], strict=False)]
 
 
-def pairs(prints: DataFrame, queries: DataFrame, radius: int = REACH) -> DataFrame:
-    """(fingerprint, found, distance, n): every distinct fingerprint of prints within radius of each distinct one of queries, and
-    how many rows of prints have it. The rows of a document are those of its fingerprint.
+def _dealt(prints: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
+    """(k, n, fingerprint) by key of a table, sorted: queries (n = 0) before the distinct fingerprints and the number of their rows.
 
-    Both hold a column fingerprint long; equal ones are counted together first. Queries of a key come before its
-    rows in a sorted partition, so the rows stream past them in batches; each pair
-    is given in the first table that holds it. Rows of one key are dealt over SALTS parts. A group of m near copies of which q
-    are asked for has q x m pairs.
+    Queries of a key come first, so the rows stream past them in batches. Rows of one key are dealt over SALTS parts.
     """
     flips = radius // BLOCKS  # some block differs in no more bits
     probes = [(t, sum(1 << x for x in bits)) for t, (a, b) in enumerate(zip(_CUTS, _CUTS[1:], strict=False)) for n in range(flips + 1) for bits in combinations(range(a, b), n)]
@@ -160,53 +156,93 @@ def pairs(prints: DataFrame, queries: DataFrame, radius: int = REACH) -> DataFra
     flipped = F.col("fingerprint").bitwiseXOR(F.col("p.flip"))
     start = F.get(F.array(*(key(flipped, t, F.lit(0)) for t in range(BLOCKS))), F.col("p.t"))
     asked = asked.select(F.explode(F.sequence(start, start + SALTS - 1)).alias("k"), F.lit(0).cast("long").alias("n"), "fingerprint")
-    dealt = asked.unionByName(rows).repartition("k").sortWithinPartitions("k", "n")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
-        asking: list[np.ndarray] = []
-        out: list[tuple[np.ndarray, ...]] = []
-        held = 0
-
-        def made() -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in PAIRS.split(", ")])
-
-        for batch in batches:
-            k, n, print_ = (batch.column(i).to_numpy() for i in range(3))
-            if not len(k):
+    return asked.unionByName(rows).repartition("k").sortWithinPartitions("k", "n")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(queries, found, distance, rows) of all that meet in the first table that holds them, in blocks; None ends a key."""
+    flips = radius // BLOCKS
+    now = None
+    asking: list[np.ndarray] = []
+    for batch in batches:
+        k, n, print_ = (batch.column(i).to_numpy() for i in range(3))
+        if not len(k):
+            continue
+        edge = np.flatnonzero(np.r_[True, np.diff(k) != 0])
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(k)], strict=True):
+            if k[a] != now:
+                now, asking = k[a], []
+            split = a + int(np.searchsorted(n[a:b], 1))
+            if split > a:
+                asking.append(print_[a:split].copy())
+            if not asking or split == b:
                 continue
-            edge = np.flatnonzero(np.r_[True, np.diff(k) != 0])
-            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(k)], strict=True):
-                if k[a] != now:
-                    now, asking = k[a], []
-                split = a + int(np.searchsorted(n[a:b], 1))
-                if split > a:
-                    asking.append(print_[a:split].copy())
-                if not asking or split == b:
-                    continue
-                table = int(now) // SALTS % BLOCKS
-                asking = [np.concatenate(asking)]
-                for of in range(0, len(asking[0]), 512):
-                    q = asking[0][of : of + 512]
-                    for at in range(split, b, 4_096):
-                        x = print_[at : min(at + 4_096, b)]
-                        i, j = np.nonzero(np.bitwise_count(q.view(_U)[:, None] ^ x.view(_U)[None]) <= radius)
-                        differ = (q[i] ^ x[j]).view(_U)
-                        first = np.ones(len(i), bool)
-                        for m in _MASKS[:table]:
-                            first &= np.bitwise_count(differ & _U(m)) > flips
+            table = int(now) // SALTS % BLOCKS
+            asking = [np.concatenate(asking)]
+            for of in range(0, len(asking[0]), 512):
+                q = asking[0][of : of + 512]
+                for at in range(split, b, 4_096):
+                    x = print_[at : min(at + 4_096, b)]
+                    i, j = np.nonzero(np.bitwise_count(q.view(_U)[:, None] ^ x.view(_U)[None]) <= radius)
+                    differ = (q[i] ^ x[j]).view(_U)
+                    first = np.ones(len(i), bool)
+                    for m in _MASKS[:table]:
+                        first &= np.bitwise_count(differ & _U(m)) > flips
+                    if first.any():
                         i, j, differ = i[first], j[first], differ[first]
-                        if len(i):
-                            out.append((q[i], x[j], np.bitwise_count(differ).astype(np.int32), n[at : at + 4_096][j]))
-                            held += len(i)
-                        if held > 100_000:
-                            yield made()
-                            out, held = [], 0
-        yield made()
+                        yield q[i], x[j], np.bitwise_count(differ).astype(np.int32), n[at : at + 4_096][j]
+
 
-    return dealt.mapInArrow(meet, PAIRS)
+def pairs(prints: DataFrame, queries: DataFrame, radius: int = REACH) -> DataFrame:
+    """(fingerprint, found, distance, n): every distinct fingerprint of prints within radius of each distinct one of queries, and
+    how many rows of prints have it. The rows of a document are those of its fingerprint.
+
+    Both hold a column fingerprint long; equal ones are counted together first; null ones are not asked for, and empty tables
+    give no pairs. A group of m near copies of which q are asked for has q x m pairs; ``found`` counts them without giving them out.
+    """
+    names = [f.split()[0] for f in PAIRS.split(", ")]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _meetings(batches, radius):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return _dealt(prints, queries, radius).mapInArrow(meet, PAIRS)
+
+
+FOUND = "fingerprint long, n_near long, n_found long, least long"
+
+
+def found(prints: DataFrame, queries: DataFrame, near: int = RADIUS, radius: int = REACH) -> DataFrame:
+    """(fingerprint, n_near, n_found, least): for each distinct fingerprint of queries, how many rows of prints are within near and
+    within radius, and the least fingerprint (as a signed number) within radius, the class of all that share it.
+
+    The pairs are counted where they meet, so what leaves a task is one row a query and batch of pairs. Null fingerprints are
+    not asked for; queries that meet none give no row.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            parts = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 4
+            asked, at = np.unique(parts[0], return_inverse=True)
+            n_near, n_found = (np.bincount(at, w, len(asked)).astype(np.int64) for w in (np.where(parts[2] <= near, parts[3], 0), parts[3]))
+            least = np.full(len(asked), np.iinfo(np.int64).max)
+            np.minimum.at(least, at, parts[1])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (asked, n_near, n_found, least)], [f.split()[0] for f in FOUND.split(", ")])
+
+        for columns in _meetings(batches, radius):
+            held.append(columns)
+            size += len(columns[0])
+            if size > 500_000:
+                yield counted()
+                held.clear()
+                size = 0
+        yield counted()
+
+    met = _dealt(prints, queries, radius).mapInArrow(meet, FOUND)
+    return met.groupBy("fingerprint").agg(F.sum("n_near").alias("n_near"), F.sum("n_found").alias("n_found"), F.min("least").alias("least"))
 
 
 def neighbours(prints: DataFrame, queries: DataFrame) -> DataFrame:
@@ -218,22 +254,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def search(docs: DataFrame, every: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Documents and pairs. Documents: with_next(docs), and for each whose doc_id is divisible by every how many rows (itself
-    included) have a fingerprint within RADIUS (n_near) and within REACH (n_found) of its own; null for the others.
-    Pairs: (fingerprint, found_fingerprint, distance, n_rows) of all within REACH, those behind both counts."""
+def search(docs: DataFrame, every: int = 20) -> DataFrame:
+    """with_next(docs), and for each document whose doc_id is divisible by every: how many rows (itself included) have a fingerprint
+    within RADIUS (n_near) and within REACH (n_found) of its own, and its class, the least fingerprint within REACH. Null for the
+    others and for rows without doc_id.
+
+    Null and empty texts have fingerprint 0 and find each other; every repeated row is found as a row of its own; an empty table
+    gives an empty one.
+    """
     number = F.conv("fingerprint", 16, -10).cast("long")
     rows = materialize(with_next(docs))
     prints = rows.select("doc_id", number.alias("fingerprint"))
-    met = materialize(pairs(prints, prints.filter(F.col("doc_id") % every == 0)))
-    near = met.groupBy("fingerprint").agg(F.sum(F.when(F.col("distance") <= RADIUS, F.col("n")).otherwise(0)).alias("n_near"), F.sum("n").alias("n_found"))
-    asked = rows.filter(F.col("doc_id") % every == 0).withColumn("p", number).join(near.withColumnRenamed("fingerprint", "p"), "p", "left").drop("p")
-    none = F.lit(None).cast("long")
-    others = rows.filter(F.coalesce(F.col("doc_id") % every != 0, F.lit(True))).withColumns({"n_near": none, "n_found": none})
-    name = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return asked.unionByName(others), met.select(name("fingerprint").alias("fingerprint"), name("found").alias("found_fingerprint"), "distance", F.col("n").alias("n_rows"))
-
-
-def fingerprints(docs: DataFrame, every: int = 20) -> DataFrame:
-    """The documents of search()."""
-    return search(docs, every)[0]
+    met = found(prints, prints.filter(F.col("doc_id") % every == 0)).withColumn("class", F.lower(F.lpad(F.hex("least"), 16, "0"))).drop("least")
+    asked = rows.filter(F.col("doc_id") % every == 0).withColumn("p", number).join(met.withColumnRenamed("fingerprint", "p"), "p", "left").drop("p")
+    return asked.unionByName(rows.filter(F.coalesce(F.col("doc_id") % every != 0, F.lit(True))), allowMissingColumns=True)
