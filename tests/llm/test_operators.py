@@ -433,6 +433,19 @@ def test_repeated_passages(request, which):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == plain.removed_repeats(texts)
 
 
+def test_a_passage_in_a_third_of_the_rows_is_dealt_by_string(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 8)
+    texts = {k: f"own start {k * 7919} of the row then {PASSAGE * 2}and an end of its own {k * 104729} goes on" if k % 3 == 0 else f"row {k} " + "unlike others " * (k % 5) for k in range(240)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    comparable = suffix_dedup._hashed(docs)
+    found = suffix_dedup._look_up(comparable, suffix_dedup._answers(suffix_dedup._met(comparable.select("doc_id", "text", "text_hash")))).cache()
+    most = lambda df: df.filter("anchor is not null").groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert most(found) >= 40
+    assert most(suffix_dedup._cool(found)) <= 20
+    rows = suffix_dedup.digest(suffix_dedup.remove(docs)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == plain.removed_repeats(texts)
+
+
 def test_bytes_around_a_cut_form_no_letter(spark):
     passage = "a passage in plain letters that is longer than fifty bytes"
     docs = spark.createDataFrame([(1, f"Ĩ{passage}Ī"), (2, f"one è{passage}ĩ two")], "doc_id long, text string")

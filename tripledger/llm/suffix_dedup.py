@@ -225,28 +225,79 @@ def _look_up(docs: DataFrame, answers: DataFrame) -> DataFrame:
     return map_rows(joined, make, FOUND)
 
 
+#: An anchor with more than one stretch in so many of all, and more than so many, is dealt string by string.
+HOT_SHARE, HOT_LEAST = 1_000, 64
+_WEIGHTS = _mix(_mix(np.arange(1, LENGTH + 1, dtype=_U) * _U(_BASE))) | _U(1)
+
+
+def _strings(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All 50-byte strings of the stretches: (strings, stretch of each, place of each within its stretch)."""
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+    counts = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(raws)), counts)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(np.cumsum(sizes) - sizes, counts) + within
+    return sliding_window_view(np.frombuffer(b"".join(raws), np.uint8), LENGTH)[at], owner, within
+
+
+def _runs(again: np.ndarray, docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, owner: np.ndarray, within: np.ndarray) -> list[tuple]:
+    """(doc_id, text_hash, start, stop) of the runs of neighbouring strings among the given ones."""
+    if not len(again):
+        return []
+    edge = np.flatnonzero(np.r_[True, (owner[again[1:]] != owner[again[:-1]]) | (np.diff(again) > 1)])
+    last = np.r_[edge[1:], len(again)] - 1
+    return [
+        (int(docs[owner[a]]), int(keys[owner[a]]), int(starts[owner[a]] + within[a]), int(starts[owner[a]] + within[b] + LENGTH))
+        for a, b in zip(again[edge].tolist(), again[last].tolist(), strict=True)
+    ]
+
+
+def _cool(found: DataFrame) -> DataFrame:
+    """found with the stretches of hot anchors taken apart into their strings.
+
+    A passage that very many documents share has, at its rims, an anchor with another stretch in each of them. Equal strings
+    have equal hashes, so each string of such an anchor goes by its own hash instead of the anchor. Of the equal
+    strings of a slice only those of the least document go on; the others are settled at once.
+    """
+    todo = found.filter("anchor is not null")
+    total = todo.count()
+    least = max(HOT_LEAST, total // HOT_SHARE)
+    hot = F.broadcast(todo.groupBy("anchor").count().filter(F.col("count") > least).select("anchor"))  # HOT_SHARE rows at most
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 5, 2_000_000):
+            docs, keys, starts = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            strings, owner, within = _strings(batch.column(5).to_pylist())
+            classes = suffix_classes(strings)
+            low = np.full(len(classes), np.iinfo(np.int64).max)
+            np.minimum.at(low, classes, docs[owner])
+            later = low[classes] < docs[owner]
+            rows = [(doc, key, None, a, b, None) for doc, key, a, b in _runs(np.flatnonzero(later), docs, keys, starts, owner, within)]
+            live = np.flatnonzero(~later)
+            part = _mix(strings[live].astype(_U) @ _WEIGHTS).view(np.int64)
+            at = starts[owner[live]] + within[live]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            names = ["doc_id", "text_hash", "anchor", "start", "stop", "raw"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)], names)
+            raw = pa.Array.from_buffers(
+                pa.binary(), len(live), [None, pa.py_buffer(np.arange(0, LENGTH * (len(live) + 1), LENGTH, dtype=np.int32)), pa.py_buffer(strings[live].tobytes())]
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(docs[owner[live]]), pa.array(keys[owner[live]]), pa.array(part), pa.array(at), pa.array(at + LENGTH), raw], names)
+
+    apart = materialize(todo.join(hot, "anchor", "left_semi").select(found.columns).mapInArrow(split, FOUND))
+    rest = todo.join(hot, "anchor", "left_anti").select(found.columns)
+    return found.filter("anchor is null").unionByName(apart).unionByName(rest)
+
+
 def _sorted_repeats(found: DataFrame) -> DataFrame:
     """Intervals covered by 50-byte strings that a smaller document also has, among the stretches of each anchor."""
 
     def settle(docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, raws: list[bytes]) -> list[tuple]:
-        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
-        counts = sizes - LENGTH + 1
-        owner = np.repeat(np.arange(len(raws)), counts)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.repeat(np.cumsum(sizes) - sizes, counts) + within
-        strings = sliding_window_view(np.frombuffer(b"".join(raws), np.uint8), LENGTH)[at]
+        strings, owner, within = _strings(raws)
         classes = suffix_classes(strings)
         low = np.full(len(classes), np.iinfo(np.int64).max)
         np.minimum.at(low, classes, docs[owner])
-        again = np.flatnonzero(low[classes] < docs[owner])
-        rows = []
-        if len(again):
-            edge = np.flatnonzero(np.r_[True, (owner[again[1:]] != owner[again[:-1]]) | (np.diff(again) > 1)])
-            last = np.r_[edge[1:], len(again)] - 1
-            for a, b in zip(again[edge].tolist(), again[last].tolist(), strict=True):
-                o = owner[a]
-                rows.append((int(docs[o]), int(keys[o]), int(starts[o] + within[a]), int(starts[o] + within[b] + LENGTH)))
-        return rows
+        return _runs(np.flatnonzero(low[classes] < docs[owner]), docs, keys, starts, owner, within)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -281,7 +332,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = _hashed(docs)
     comparable = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", "text_hash")
     answers = materialize(_answers(_met(comparable)))
-    found = materialize(_look_up(comparable, answers))
+    found = materialize(_cool(materialize(_look_up(comparable, answers))))
     whole = found.filter("anchor is null").select("doc_id", "text_hash", "start", "stop")
     return materialize(whole.unionByName(_sorted_repeats(found)))
 
