@@ -425,6 +425,46 @@ def test_redaction(spark, none, twice):
     assert pii.find(none).count() == 0 and pii.find(twice).count() == twice.count()
 
 
+def test_ranges_of_a_doc_id_that_holds_most_rows(spark):
+    rows = [(7, f"text {i}") for i in range(300)] + [(None, f"none {i}") for i in range(100)] + [(k, f"own {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tie = F.xxhash64("text")
+    dealt = token_files.in_ranges(docs, tie).select("doc_id", tie.alias("tie"), F.spark_partition_id().alias("part")).collect()
+    assert len(dealt) == len(rows)
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie)
+    ends = {}
+    for r in dealt:
+        low, high = ends.get(r.part, (key(r), key(r)))
+        ends[r.part] = min(low, key(r)), max(high, key(r))
+    spans = [ends[p] for p in sorted(ends)]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert len({r.part for r in dealt if r.doc_id == 7}) > 1
+
+
+def test_files_have_pages_and_give_selected_rows(spark, given, tmp_path):
+    import pyarrow.parquet as pq
+
+    folder = str(tmp_path / "ids")
+    given = given.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)))).select((F.col("doc_id") + 1_000 * F.col("i")).alias("doc_id"), "text")
+    token_files.write(given, VOCABULARY, end_id=1, folder=folder, row_group_bytes=200_000, rows_per_page=20)
+    metas = [pq.ParquetFile(f) for f in sorted(tmp_path.glob("ids/part-*.parquet"))]
+    assert sum(m.metadata.num_rows for m in metas) == given.count()
+    assert max(m.metadata.num_row_groups for m in metas) > 1
+    for m in metas:
+        group = m.metadata.row_group(0)
+        columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+        assert all(c.has_column_index and c.has_offset_index for name, c in columns.items() if "." not in name)
+        assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & {e for c in columns.values() for e in c.encodings}
+        assert all(c.compression == "ZSTD" for c in columns.values())
+    rows = token_files.read(spark, folder)
+    plan = rows.filter("doc_id = 17").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "doc_id" in plan and "EqualTo(doc_id,17)" in plan and "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
+    whole = {r.doc_id: r for r in rows.collect()}
+    one = rows.filter("doc_id = 17").first()
+    assert (one.ids, one.n_tokens) == (whole[17].ids, len(whole[17].ids))
+    assert rows.agg(F.sum("n_tokens")).first()[0] == sum(len(r.ids) for r in whole.values())
+
+
 @pytest.mark.parametrize("which", ["odd", "given"])
 def test_repeated_passages(request, which):
     docs = request.getfixturevalue(which)
