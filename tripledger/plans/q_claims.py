@@ -384,11 +384,25 @@ def _(spark, d):
     return claims.reconciliation_summary(tables.reconciled(spark, d), tables.decided_groups(spark, d))
 
 
-@query("clm12_policy_warnings", claim_oracle("SELECT trip_id, warning_id, false AS resolved FROM policy", POLICY_SQL))
+@query(
+    "clm12_policy_warnings",
+    claim_oracle(
+        """SELECT trip_id, warning_id, CASE WHEN done THEN 'approved by phone' ELSE '' END AS exception_note, done AS resolved
+FROM (SELECT *, warning_id LIKE 'category:%' AND substr(warning_id, 18, 1) IN ('1', '5') AS done FROM policy)""",
+        POLICY_SQL,
+    ),
+)
 def _(spark, d):
+    """Exceptions are documented for the category of every fifth receipt; some notes are blank."""
+    digit = F.substring("source_file", 9, 1)
+    given = view(spark, d, "receipts").filter(digit.isin("1", "3", "5")).select(
+        "trip_id", F.concat(F.lit("category:"), "source_file").alias("k"), F.when(digit == "3", F.lit("  ")).otherwise(F.lit(" approved by phone ")).alias("v")
+    )
+    noted = given.groupBy("trip_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("noted"))
+    trips = _policy_trips(spark, d).join(noted, "trip_id", "left").withColumn("policy_exceptions", F.coalesce("noted", "policy_exceptions")).drop("noted")
     return claims.policy_warnings(
-        tables.reconciled(spark, d), view(spark, d, "matched_groups"), view(spark, d, "allocations"), _policy_trips(spark, d)
-    ).select("trip_id", "warning_id", "resolved")
+        tables.reconciled(spark, d), view(spark, d, "matched_groups"), view(spark, d, "allocations"), trips
+    ).select("trip_id", "warning_id", "exception_note", "resolved")
 
 
 @query(

@@ -209,15 +209,14 @@ def _(spark, d):
 
 @query(
     "lay9_rows_as_named",
-    oracle("statement_base", f"SELECT trip_id, CAST(rn + {HEADER} AS BIGINT) AS source_row, words FROM statement_base WHERE p IN (0, 1, 2, 4, 5)"),
+    oracle("statement_base", f"SELECT trip_id, {NAMES} AS provider, CAST(rn + {HEADER} AS BIGINT) AS source_row, words FROM statement_base"),
 )
 def _(spark, d):
     rows = _cells(spark, d)
-    named = layout.named_rows(rows, layout.headers(rows, layout.detect_provider(rows)))
-    return (
-        layout.as_map(named.filter("provider not in ('wise', 'generic')"))
-        .select("trip_id", "source_row", F.try_element_at("row", F.lit("description")).alias("words"))
-    )
+    head = materialize(layout.headers(rows, layout.detect_provider(rows)))
+    found = layout.as_map(layout.named_rows(rows, head)).join(head.select(*FILE, "provider"), FILE)
+    names = ["description", "target_name", "shop_details"]
+    return found.select("trip_id", "provider", "source_row", F.coalesce(*[F.try_element_at("row", F.lit(n)) for n in names]).alias("words"))
 
 
 _UNSURE = "p = 6 AND max(day(day_value)) <= 12"

@@ -53,40 +53,46 @@ def _key_pairs(spark, d):
 KEYED = "substr(source_file, 2, 8) = substr(group_id, 2, 8)"
 
 
+_DATE = "CASE WHEN delta = 0 THEN 0.30 WHEN delta <= 3 THEN greatest(0.00, 0.24 - 0.05 * delta) ELSE 0.00 END"
+_AMOUNT = "CASE WHEN same_amount THEN 0.36 WHEN fx_amount THEN 0.46 WHEN number_amount THEN 0.18 WHEN has_gap THEN 0.22 ELSE 0.00 END"
+
+
 @query(
     "join1_candidate_pairs",
     match_oracle(
-        """SELECT trip_id, vendor, description, receipt_date, transaction_date, min(lower(source_file)) AS first_file
-FROM scored WHERE delta <= 3 AND (CASE WHEN delta = 0 THEN 0.30 ELSE greatest(0.00, 0.24 - 0.05 * delta) END) + 0.46 * same_text >= 0.35
-GROUP BY 1, 2, 3, 4, 5"""
+        f"""SELECT 'date' AS kind, trip_id, vendor, description, receipt_date, transaction_date, min(lower(source_file)) AS first_file
+FROM scored WHERE delta <= 3 AND {_DATE} + 0.46 * same_text >= 0.35 GROUP BY 1, 2, 3, 4, 5, 6
+UNION ALL SELECT 'word', trip_id, vendor, description, NULL, NULL, min(lower(source_file)) FROM scored WHERE same_text = 1 GROUP BY 1, 2, 3, 4"""
     ),
 )
 def _(spark, d):
+    """Pairs of features that meet without an amount: by a near date, and by words alone."""
     side, g = receipt_sides(spark, d)
-    pairs = matching.evidence_pairs(side, matching.card_rows(g)).filter("kind = 'date'")
-    return pairs.select(
-        "trip_id", "vendor", "description", "receipt_date", "transaction_date", F.col("first.file_key").alias("first_file")
-    )
+    pairs = matching.evidence_pairs(side, matching.card_rows(g)).filter("kind in ('date', 'word')")
+    dated = lambda c: F.when(F.col("kind") == "date", F.col(c)).alias(c)
+    cols = ["kind", "trip_id", "vendor", "description", "receipt_date", "transaction_date"]
+    rows = pairs.select("kind", "trip_id", "vendor", "description", dated("receipt_date"), dated("transaction_date"), F.col("first.file_key").alias("first_file"))
+    return rows.groupBy(*cols).agg(F.min("first_file").alias("first_file"))
 
 
 @query(
     "join2_band_pairs",
     match_oracle(
-        """SELECT trip_id, vendor, description, receipt_date, transaction_date, share, p_abs AS purchase_abs, c_abs AS cad_abs,
+        f"""SELECT 'both' AS kind, trip_id, vendor, description, receipt_date, transaction_date, share, p_abs AS purchase_abs, c_abs AS cad_abs,
        CAST(max(score) AS DECIMAL(6,3)) AS score
-FROM scored WHERE delta <= 3 AND share IS NOT NULL AND (same_amount OR fx_amount OR number_amount OR has_gap) AND score >= 0.35
-GROUP BY ALL"""
-    ).replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"),
+FROM scored WHERE delta <= 3 AND share IS NOT NULL AND (same_amount OR fx_amount OR number_amount OR has_gap) AND score >= 0.35 GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9
+UNION ALL SELECT 'amount', trip_id, vendor, description, NULL, NULL, share, p_abs, c_abs, CAST(max({_AMOUNT} + 0.46 * same_text) AS DECIMAL(6,3))
+FROM scored WHERE share IS NOT NULL AND (same_amount OR fx_amount OR number_amount OR has_gap) AND {_AMOUNT} + 0.46 * same_text >= 0.35 GROUP BY 1, 2, 3, 4, 7, 8, 9"""
+    ),
 )
 def _(spark, d):
+    """Pairs of features that meet by an amount: alone, and together with a near date."""
     side, g = receipt_sides(spark, d)
-    pairs = matching.evidence_pairs(side, matching.card_rows(g)).filter("kind = 'both'")
-    return (
-        pairs.groupBy(
-            "trip_id", "vendor", "description", "receipt_date", "transaction_date", "share", "purchase_abs", "cad_abs"
-        )
-        .agg(F.max("score").cast("decimal(6,3)").alias("score"))
-    )
+    pairs = matching.evidence_pairs(side, matching.card_rows(g)).filter("kind in ('amount', 'both')")
+    dated = lambda c: F.when(F.col("kind") == "both", F.col(c)).alias(c)
+    cols = ["kind", "trip_id", "vendor", "description", "receipt_date", "transaction_date", "share", "purchase_abs", "cad_abs"]
+    rows = pairs.select("kind", "trip_id", "vendor", "description", dated("receipt_date"), dated("transaction_date"), "share", "purchase_abs", "cad_abs", "score")
+    return rows.groupBy(*cols).agg(F.max("score").cast("decimal(6,3)").alias("score"))
 
 
 @query("scr1_match_score", match_oracle(f"SELECT trip_id, source_file, group_id, score FROM scored WHERE {KEYED}"))

@@ -59,7 +59,8 @@ def _(spark, d):
     "rev3_preserve_decisions",
     oracle(
         "receipts receipt_lines",
-        """SELECT r.trip_id, r.source_file, count(l.pos) + 1 AS line_count FROM receipts r LEFT JOIN receipt_lines l ON l.trip_id = r.trip_id AND l.source_file = r.source_file GROUP BY 1, 2""",
+        """SELECT trip_id, source_file, pos, description, CASE WHEN pos % 4 = 0 THEN NOT is_alcohol ELSE is_alcohol END AS is_alcohol, pos % 4 = 0 AS reviewed, false AS manual FROM receipt_lines
+UNION ALL SELECT trip_id, source_file, 0, 'Added by hand', false, true, true FROM receipts""",
     ),
 )
 def _(spark, d):
@@ -72,7 +73,7 @@ def _(spark, d):
     new = _ids(spark, d)
     none = new.select(*KEY, "line_id").filter(F.lit(False))
     merged = review.merge_rescan(new, _stored(spark, d).unionByName(manual), none, receipts)
-    return merged.groupBy(*KEY).agg(F.count("*").alias("line_count"))
+    return merged.select(*KEY, "pos", "description", "is_alcohol", "reviewed", "manual")
 
 
 @query(

@@ -237,21 +237,12 @@ def _(spark, d):
     return statements.duplicate_evidence(flagged).drop("dup_key")
 
 
-@query(
-    "set1_union_statements",
-    oracle(
-        "statement_legs",
-        "SELECT provider, count(*) AS legs, sum(purchase_amount) AS purchase_total FROM statement_legs GROUP BY 1",
-    ),
-)
+@query("set1_union_statements", oracle("statement_legs", f"SELECT {', '.join(LEG_COLUMNS)} FROM statement_legs"))
 def _(spark, d):
+    """The legs of three providers, each with its columns in another order, in one table."""
     legs = view(spark, d, "statement_legs")
-    parts = [legs.filter(F.col("provider") == p) for p in ("amex", "bmo", "wise")]
-    return (
-        statements.union_statements(parts)
-        .groupBy("provider")
-        .agg(F.count("*").alias("legs"), F.sum("purchase_amount").alias("purchase_total"))
-    )
+    parts = [legs.filter(F.col("provider") == p).select(*LEG_COLUMNS[i:], *LEG_COLUMNS[:i]) for i, p in enumerate(("amex", "bmo", "wise"))]
+    return statements.union_statements(parts).select(*LEG_COLUMNS)
 
 
 @query("ord1_order_statements", oracle("statement_legs", f"SELECT {', '.join(LEG_COLUMNS)} FROM statement_legs"))
