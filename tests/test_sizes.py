@@ -45,3 +45,22 @@ def test_queries_take_tables_by_their_rows(spark, tmp_path):
 def _plain(spark, size, key: str, d: str) -> int:
     spark.conf.set(key, "1.0")
     return size(spark, d)
+
+
+def test_line_audit_reads_its_rows_from_one_table(spark):
+    from tripledger.operators import reports
+
+    expenses = spark.createDataFrame(
+        [("T1", "a.pdf", "v", "CAD", 1, D("10.00"), D("3.00"), True, True, None), ("T1", "b.pdf", "v", "CAD", 2, D("8.00"), D("4.00"), True, False, "other")],
+        "trip_id string, source_file string, vendor string, currency string, number_of_people int, amount decimal(18,2), sponsor_excluded_cad decimal(18,2), "
+        "in_company boolean, in_sponsor boolean, exclusion_reason string",
+    )
+    lines = spark.createDataFrame(
+        [("T1", "a.pdf", i, "wine", D("1.00"), True, True, False, "alcohol") for i in (1, 2, 3)],
+        "trip_id string, source_file string, pos long, description string, amount decimal(18,2), is_alcohol boolean, in_company boolean, in_sponsor boolean, exclusion_reason string",
+    )
+    out = reports.line_audit(expenses, lines)
+    assert "Union" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.source_file, r.pos, r.removed_cad) for r in out.collect()) == [
+        ("a.pdf", 1, D("1.00")), ("a.pdf", 2, D("1.00")), ("a.pdf", 3, D("1.00")), ("b.pdf", 0, D("4.00")),
+    ]
