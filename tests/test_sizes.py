@@ -64,3 +64,21 @@ def test_line_audit_reads_its_rows_from_one_table(spark):
     assert sorted((r.source_file, r.pos, r.removed_cad) for r in out.collect()) == [
         ("a.pdf", 1, D("1.00")), ("a.pdf", 2, D("1.00")), ("a.pdf", 3, D("1.00")), ("b.pdf", 0, D("4.00")),
     ]
+
+
+def test_header_search_reads_only_files_without_a_signature(spark, monkeypatch):
+    from tripledger.operators import layout
+
+    rows = spark.createDataFrame(
+        [
+            ("T1", "amex.csv", 1, ["Date", "Date Processed", "Description", "Card Member", "Account", "Amount"]),
+            ("T1", "amex.csv", 2, ["2026-01-02", "2026-01-02", "cafe", "Jo", "x1", "5.00"]),
+            ("T1", "own.csv", 1, ["Export", None, ""]), ("T1", "own.csv", 2, ["When bought", "Shop details", "Price"]), ("T1", "own.csv", 3, ["2026-01-02", "cafe", "5.00"]),
+        ],
+        "trip_id string, source_file string, row_no long, cells array<string>",
+    )
+    search, asked = layout.header_candidates, []
+    monkeypatch.setattr(layout, "header_candidates", lambda r: asked.append(r) or search(r))
+    found = {r.source_file: (r.provider, r.header_row) for r in layout.detect_provider(rows).collect()}
+    assert found == {"amex.csv": ("amex", 1), "own.csv": ("generic", 2)}
+    assert {r.source_file for r in asked[0].collect()} == {"own.csv"}
