@@ -82,3 +82,15 @@ def test_header_search_reads_only_files_without_a_signature(spark, monkeypatch):
     found = {r.source_file: (r.provider, r.header_row) for r in layout.detect_provider(rows).collect()}
     assert found == {"amex.csv": ("amex", 1), "own.csv": ("generic", 2)}
     assert {r.source_file for r in asked[0].collect()} == {"own.csv"}
+
+
+def test_notices_of_many_files_are_few_batches(spark, tmp_path):
+    from tripledger.streaming.streams import StatementIngest
+
+    for i in range(120):
+        (tmp_path / "in" / f"T{i}").mkdir(parents=True)
+        (tmp_path / "in" / f"T{i}" / "a.csv").write_text("Date,Description,Amount,Currency\n13/07/2026,Shop,-10.00,EUR\n")
+    ingest = StatementIngest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
+    ingest.scan()
+    assert spark.read.parquet(ingest.notices).count() == 120
+    assert len(list((tmp_path / "out" / "notices").glob("*.parquet"))) == 1
