@@ -94,3 +94,32 @@ def test_notices_of_many_files_are_few_batches(spark, tmp_path):
     ingest.scan()
     assert spark.read.parquet(ingest.notices).count() == 120
     assert len(list((tmp_path / "out" / "notices").glob("*.parquet"))) == 1
+
+
+def test_keys_of_few_rows_are_numbered_by_one_shuffle(spark, monkeypatch):
+    from tripledger.functions import ranking
+
+    df = spark.createDataFrame([("a", i) for i in range(400)] + [("b", i) for i in range(5)] + [(None, i) for i in range(300)], "k string, o int").repartition(7)
+    out = ranking.positions_within(df, ["k"], ["o"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = sorted((str(r.k), r.o, r.o + 1) for r in df.collect())
+    assert sorted((str(r.k), r.o, r.position) for r in out.collect()) == want
+    monkeypatch.setattr(ranking, "MANY", 100)
+    assert sorted((str(r.k), r.o, r.position) for r in ranking.positions_within(df, ["k"], ["o"]).collect()) == want
+
+
+def test_a_rescan_numbers_its_lines_once(spark, tmp_path, monkeypatch):
+    from tripledger.operators import lines
+    from tripledger.plans import load_all
+    from tripledger.plans.registry import QUERIES
+
+    load_all()
+    when = "timestamp '1996-01-02 00:00:00'"
+    spark.sql(f"select 7L o_orderkey, 3L o_custkey, 'O' o_orderstatus, 900.5D o_totalprice, {when} o_orderdate, '2-HIGH' o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql("select 5L p_partkey, 'blue cup' p_name").write.parquet(str(tmp_path / "part.parquet"))
+    spark.sql("select 7L l_orderkey, 5L l_partkey, 2L l_suppkey, cast(id as int) l_linenumber, 10.0D l_extendedprice from range(1, 5)").write.parquet(str(tmp_path / "lineitem.parquet"))
+    number, asked = lines.line_ids, []
+    monkeypatch.setattr(lines, "line_ids", lambda rows: asked.append(rows) or number(rows))
+    for name, rows in (("rev1_merge_rescan", 4), ("rev3_preserve_decisions", 5)):
+        asked.clear()
+        assert QUERIES[name](spark, str(tmp_path)).count() == rows and len(asked) == 1
