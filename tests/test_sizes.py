@@ -123,3 +123,24 @@ def test_a_rescan_numbers_its_lines_once(spark, tmp_path, monkeypatch):
     for name, rows in (("rev1_merge_rescan", 4), ("rev3_preserve_decisions", 5)):
         asked.clear()
         assert QUERIES[name](spark, str(tmp_path)).count() == rows and len(asked) == 1
+
+
+def test_amounts_are_marked_once_and_only_beside_digits(spark):
+    from tripledger.operators import receipt_text
+
+    df = spark.createDataFrame([(1, "no amount here\nTotal USD 1,234.50\n$45.00\n7,25 x")], "id int, raw_text string")
+    plan = receipt_text.with_lines(df)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") <= 5
+    (row,) = receipt_text.with_lines(df).selectExpr("transform(info, x -> size(x.money)) n", "transform(flatten(info.money), m -> m.amount) a").collect()
+    assert row.n == [0, 1, 1, 1] and row.a == [D("1234.50"), D("45.00"), D("7.25")]
+
+
+def test_documents_are_dealt_before_their_amounts_are_read(spark, tmp_path):
+    from tripledger.plans import load_all
+    from tripledger.plans.registry import QUERIES
+
+    load_all()
+    spark.createDataFrame([(1, "a 5.00"), (2, None)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["txt2_money_tokens_documents"](spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.token_count for r in out.collect()} == {1: 1, 2: 0}

@@ -54,7 +54,7 @@ def _(spark, d):
 
 @query("txt2_money_tokens_documents")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("raw_text"))
+    docs = spread(table(spark, d, "documents").select("doc_id", F.col("text").alias("raw_text")))
     money = F.flatten(F.transform("info", lambda x: x["money"]))
     return receipt_text.with_lines(docs).select("doc_id", F.size(money).alias("token_count"))
 
