@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from decimal import Decimal as D
 
+from pyspark.sql import functions as F
+
 from tripledger.functions.materialize import materialize
 from tripledger.operators import matching
 from tripledger.plans.registry import FILE_GROWTH, sized_by_rows
@@ -144,3 +146,19 @@ def test_documents_are_dealt_before_their_amounts_are_read(spark, tmp_path):
     out = QUERIES["txt2_money_tokens_documents"](spark, str(tmp_path))
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
     assert {r.doc_id: r.token_count for r in out.collect()} == {1: 1, 2: 0}
+
+
+def test_line_match_leaves_only_its_result(spark):
+    from pathlib import Path
+
+    from tripledger.operators import review
+
+    rows = spark.createDataFrame(
+        [("T1", "a.pdf", i, d, D(a), False) for i, (d, a) in enumerate([("red wine", "5.00"), ("red wine", "5.00"), ("bread", "2.00"), ("breads", "2.00")], 1)],
+        "trip_id string, source_file string, pos long, description string, amount decimal(18,2), is_alcohol boolean",
+    )
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.iterdir())
+    out = review.fuzzy_line_match(rows, rows.withColumn("description", F.regexp_replace("description", "^bread$", "bred")))
+    assert sorted((r.new_pos, r.stored_pos) for r in out.collect()) == [(1, 1), (2, 2), (3, 4), (4, 3)]
+    assert len(set(shared.iterdir()) - before) <= 4
