@@ -7,8 +7,10 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from tripledger.functions.materialize import materialize
-from tripledger.operators import matching
+from tripledger.functions import ranking
+from tripledger.operators import alcohol, matching, review
 from tripledger.plans.registry import FILE_GROWTH, sized_by_rows
+from tripledger.sources import tables as source
 
 
 def _sides(spark):
@@ -162,3 +164,64 @@ def test_line_match_leaves_only_its_result(spark):
     out = review.fuzzy_line_match(rows, rows.withColumn("description", F.regexp_replace("description", "^bread$", "bred")))
     assert sorted((r.new_pos, r.stored_pos) for r in out.collect()) == [(1, 1), (2, 2), (3, 4), (4, 3)]
     assert len(set(shared.iterdir()) - before) <= 4
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_that_grow_never_pass_through_the_driver(spark):
+    side, groups = _sides(spark)
+    matched = materialize(matching.match_groups(side, groups))
+    best, suggested = matching.best_match(side, groups), matching.suggestions(side, matched)
+    assert "BroadcastExchange" not in _plan(best) + _plan(suggested) + _plan(matching.auto_assign(best, side))
+    assert {(r.source_file, r.group_id) for r in suggested.filter("rank = 1").collect()} == {(f"r{i}.pdf", f"g{i}") for i in range(20)}
+
+
+def test_written_rows_are_numbered_without_another_copy(spark, monkeypatch):
+    df = materialize(spark.createDataFrame([(i % 7, i) for i in range(300)] + [(None, i) for i in range(150)], "k int, o int"))
+    paths = []
+    monkeypatch.setattr(ranking, "materialize", lambda x: paths.append(x.columns) or materialize(x))
+    want = sorted((str(k), o, p) for k in [*range(7), None] for p, o in enumerate([o for o in range(300 if k is not None else 150) if k in (o % 7, None)], 1))
+    for many in (100_000, 100, 43):
+        monkeypatch.setattr(ranking, "MANY", many)
+        paths.clear()
+        got = ranking.positions_within(df, ["k"], ["o"], written=True)
+        assert sorted((str(r.k), r.o, r.position) for r in got.collect()) == want
+        assert paths[0] == ["_group"] and (many < 100_000 or len(paths) == 1)
+
+
+def test_only_evidence_that_may_be_an_exception_meets_its_receipt(spark):
+    receipts = spark.createDataFrame(
+        [("T1", f"r{i}.pdf", "shop" if i else None, 0.9 if i < 3 else 0.5, i == 4, "company") for i in range(5)],
+        "trip_id string, source_file string, vendor string, confidence double, reviewed boolean, claim_program string",
+    )
+    lines = spark.createDataFrame(
+        [], "trip_id string, source_file string, line_id string, line_type string, description string, amount decimal(18,2), "
+        "confidence double, alcohol_confidence decimal(3,2), manual boolean, line_reviewed boolean",
+    )
+    totals = spark.createDataFrame([], "trip_id string, source_file string, difference decimal(18,2), blocking boolean")
+    out = review.receipt_exceptions(receipts, review.field_evidence(receipts), lines, totals)
+    assert sorted((r.source_file, r.category) for r in out.collect()) == [("r0.pdf", "missing_field"), ("r3.pdf", "low_confidence_field")]
+    below = out._jdf.queryExecution().optimizedPlan().toString().split("Join", 2)[1]
+    assert "0.72" in below
+
+
+def test_manifest_lines_are_made_once(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(source, "materialize", lambda df: made.append(df.columns) or materialize(df))
+    receipts = spark.createDataFrame([("T2", "b", "receipt"), ("T1", "a", "receipt")], "trip_id string, id string, kind string")
+    reports = spark.createDataFrame([("T1", "trip_report"), ("T2", "trip_report")], "trip_id string, kind string")
+    source.write_manifest(receipts, reports, str(tmp_path / "m"))
+    assert made == [["trip_id", "value", "_order"]]
+    r, t = source.read_manifest(spark, str(tmp_path / "m"))
+    assert (r.count(), t.count()) == (2, 2)
+
+
+def test_phrases_are_found_as_before(spark):
+    texts = ["Red Wine, white wine", "gin & tonic 5%abv", "GIN AND TONIC", "Stone Wood lager", "garlic bread 10%", "Asaht", "pina colada", "redwine", "0.3% alc 4.5% alc/vol"]
+    got = {r.description: (r.alcohol_reason, r.alcohol_matched_term) for r in alcohol.detect_alcohol(spark.createDataFrame([(t,) for t in texts], "description string")).collect()}
+    assert got["Red Wine, white wine"] == ("alcohol category", "white wine") and got["redwine"][0] == "no alcohol evidence"
+    assert got["gin & tonic 5%abv"] == ("explicit non-zero alcohol content", "5%") and got["GIN AND TONIC"] == ("recognized cocktail", "gin and tonic")
+    assert got["Stone Wood lager"] == ("recognized alcohol brand", "stone wood") and got["Asaht"][1] == "asahi"
+    assert got["0.3% alc 4.5% alc/vol"][1] == "4.5%" and got["garlic bread 10%"][0] == "no alcohol evidence"
