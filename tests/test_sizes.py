@@ -225,3 +225,37 @@ def test_phrases_are_found_as_before(spark):
     assert got["gin & tonic 5%abv"] == ("explicit non-zero alcohol content", "5%") and got["GIN AND TONIC"] == ("recognized cocktail", "gin and tonic")
     assert got["Stone Wood lager"] == ("recognized alcohol brand", "stone wood") and got["Asaht"][1] == "asahi"
     assert got["0.3% alc 4.5% alc/vol"][1] == "4.5%" and got["garlic bread 10%"][0] == "no alcohol evidence"
+
+
+def _in_slices(spark, monkeypatch, most: int, step):
+    """Rows of a step whose tables are cut to slices of at most so many rows, and the folders it leaves."""
+    from tripledger.functions import materialize as written
+
+    whole = sorted(map(str, step().collect()))
+    monkeypatch.setattr(written, "SLICE", most)
+    out = step()
+    assert sorted(map(str, out.collect())) == whole and whole
+    return {f.rsplit("/", 1)[0] for f in out.inputFiles()}
+
+
+def test_lines_are_matched_slice_by_slice(spark, monkeypatch):
+    words = ["tea", "teas", "green tea", "cake", ""]
+    rows = [(f"T{i % 3}", f"r{i % 13}", i, words[i % 5], D("5.00") + i % 4, i % 7 == 0) for i in range(300)]
+    lines = spark.createDataFrame(rows, "trip_id string, source_file string, pos bigint, description string, amount decimal(18,2), is_alcohol boolean")
+    left = _in_slices(spark, monkeypatch, 100, lambda: review.fuzzy_line_match(lines, lines.filter("pos % 3 <> 1")))
+    assert len(left) >= 3  # each slice is written
+
+
+def test_line_pairs_meet_once_and_only_within_reach(spark):
+    rows = [("T", "r", 1, "tea", D("0.05"), False), ("T", "r", 2, "tea", D("0.07"), False), ("T", "r", 3, "teas", D("0.05"), False), ("T", "r", 4, "zzzzzzzzzz", D("0.05"), False)]
+    lines = spark.createDataFrame(rows, "trip_id string, source_file string, pos bigint, description string, amount decimal(18,2), is_alcohol boolean")
+    n, s = (review._with_kind(review._line_kinds(lines, x), x) for x in "ns")
+    pairs = [(r.n_kind, r.s_kind) for r in review.fuzzy_candidates(n, s).collect()]
+    assert len(pairs) == len(set(pairs)) == 10
+
+
+def test_trips_are_matched_slice_by_slice(spark, monkeypatch):
+    side, groups = (t.withColumn("trip_id", F.concat(F.lit("T"), F.substring(c, 2, 1))) for t, c in zip(_sides(spark), ("source_file", "group_id"), strict=True))
+    assert len(_in_slices(spark, monkeypatch, 5, lambda: matching.best_match(side, groups))) == 4
+    matched = materialize(matching.match_groups(side, groups))
+    assert len(_in_slices(spark, monkeypatch, 5, lambda: matching.suggestions(side, matched))) == 4
