@@ -113,7 +113,7 @@ x AS (SELECT * FROM lists WHERE run = 'x'), y AS (SELECT * FROM lists WHERE run
 )
 def _(spark, d):
     """A second extraction with some receipts in another order, edited, with amounts lost, lines lost or a line more."""
-    before = view(spark, d, "receipt_lines").select(*KEY, "pos", "description", "amount", "is_alcohol")
+    before = materialize(view(spark, d, "receipt_lines").select(*KEY, "pos", "description", "amount", "is_alcohol"))
     digit = F.substring("source_file", 9, 1)
     pos = F.col("pos")
     after = before.filter(~((digit == "3") & (pos % 2 == 0))).select(
