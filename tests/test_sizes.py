@@ -259,3 +259,69 @@ def test_trips_are_matched_slice_by_slice(spark, monkeypatch):
     assert len(_in_slices(spark, monkeypatch, 5, lambda: matching.best_match(side, groups))) == 4
     matched = materialize(matching.match_groups(side, groups))
     assert len(_in_slices(spark, monkeypatch, 5, lambda: matching.suggestions(side, matched))) == 4
+
+
+def test_large_files_are_hashed_block_by_block(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from tripledger.sources import statements
+
+    (tmp_path / "T1").mkdir()
+    contents = {"a.csv": b"x" * 10, "b [1].csv": b"y\n" * 5_000, ".hidden.csv": b"z" * 9_000, "c.txt": b"q" * 8_000}
+    for name, content in contents.items():
+        (tmp_path / "T1" / name).write_bytes(content)
+    monkeypatch.setattr(statements, "HASHED_WHOLE", 1_000)
+    monkeypatch.setattr(statements, "_stream_sha256", lambda s, path, f=statements._stream_sha256: streamed.append(path) or f(s, path))
+    streamed: list[str] = []
+    key = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(key, "1000")  # what a value of 2 GB is to a larger file
+    try:
+        rows = statements.scan_files(spark, str(tmp_path)).select("source_file", "size", "sha256", "supported").collect()
+    finally:
+        spark.conf.unset(key)
+    assert {r.source_file: (r.size, r.sha256) for r in rows} == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items() if n[0] != "."}
+    assert len(streamed) == 2
+    assert statements.scan_files(spark, str(tmp_path)).filter("source_file = 'b [1].csv'").first().content == contents["b [1].csv"]
+
+
+def test_statement_files_are_written_by_all_tasks_over_older_ones(spark, tmp_path):
+    from tripledger.plans import q_streams
+
+    texts = lambda mark: spark.createDataFrame([(f"T{i}", f"f {i % 3}.csv", f"{mark} {i}\n\nb") for i in range(40)], "trip_id string, source_file string, content string").coalesce(1)
+    q_streams.write_statement_files(texts("old"), str(tmp_path / "in"))
+    tasks: list[int] = []
+    kept = q_streams.spread
+    try:
+        q_streams.spread = lambda df: tasks.append(kept(df).rdd.getNumPartitions()) or kept(df)
+        q_streams.write_statement_files(texts("new"), str(tmp_path / "in"))
+    finally:
+        q_streams.spread = kept
+    assert tasks == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    found = {(p.parent.name, p.name): p.read_text() for p in (tmp_path / "in").glob("*/*.csv")}
+    assert found == {(f"T{i}", f"f {i % 3}.csv"): f"new {i}\n\nb\n" for i in range(40)}
+    q_streams.remove_files(spark, f"{tmp_path}/in/*/f 1.csv")
+    assert len(list((tmp_path / "in").glob("*/*.csv"))) == 40 - 13
+
+
+def test_notices_are_dealt_by_bytes_too(spark, tmp_path, monkeypatch):
+    from tripledger.streaming import streams
+
+    (tmp_path / "in" / "T").mkdir(parents=True)
+    for i in range(30):
+        (tmp_path / "in" / "T" / f"{i}.csv").write_text("Date,Description,Amount,Currency\n13/07/2026,Shop,-10.00,EUR\n")
+    monkeypatch.setattr(streams, "BYTES_PER_BATCH", 1_000)
+    ingest = streams.StatementIngest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
+    ingest.scan()
+    assert spark.read.parquet(ingest.notices).count() == 30
+    assert len(list((tmp_path / "out" / "notices").glob("*.parquet"))) == 2
+
+
+def test_changed_receipts_are_found_once(spark, tmp_path, monkeypatch):
+    schema = "trip_id string, source_file string, pos bigint, description string, amount decimal(18,2), is_alcohol boolean"
+    made: list[list[str]] = []
+    monkeypatch.setattr(review, "materialize", lambda df: made.append(df.columns) or materialize(df))
+    old = spark.createDataFrame([("T", f"r{i}", 1, "tea", D("1.00"), False) for i in range(4)], schema)
+    new = spark.createDataFrame([("T", f"r{i}", 1, "tea" if i else "cake", D("1.00"), False) for i in range(5)], schema)
+    out = review.line_changes(old, new, old.limit(1))
+    assert {(r.source_file, r.before, r.after) for r in out.collect()} == {("r0", "tea — 1.00", "cake — 1.00"), ("r4", "No extracted purchase lines", "tea — 1.00")}
+    assert made == [["trip_id", "source_file"]]
